@@ -4,6 +4,6 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-MODULES = ("listings",)
+MODULES = ("listings", "voxels", "similarity")
 for _name in MODULES:
     importlib.import_module(f".{_name}", __name__)

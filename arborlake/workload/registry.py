@@ -62,7 +62,7 @@ SELECT nodes.*, s.acronym AS region_acronym, s.name AS region_name
 FROM nodes LEFT JOIN structures s ON s.id = nodes.region_id""",
     "closure": """
 SELECT CAST(ids[p] AS INT) AS ancestor_region_id, id AS direct_region_id, CAST(len(ids) - p AS INT) AS depth
-FROM (SELECT id, list_filter(string_split(structure_id_path, '/'), v -> v <> '') AS ids FROM structures) s,
+FROM (SELECT id, string_split(trim(structure_id_path, '/'), '/') AS ids FROM structures) s,
      generate_series(1, 9) g(p) WHERE p <= len(ids)""",
     "mask": "SELECT ai, bi, ci FROM annotation WHERE ai BETWEEN 4 AND 9 AND bi BETWEEN 2 AND 6 AND ci BETWEEN 3 AND 8",
     "points": """
@@ -106,7 +106,10 @@ def with_relations(names: str, body: str) -> str:
     if not ctes:
         return body
     rest = body.strip()
-    return f"WITH {ctes},\n{rest[4:]}" if rest.upper().startswith("WITH ") else f"WITH {ctes}\n{rest}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if rest.startswith(head):
+            return f"{head}{ctes},\n{rest[len(head):]}"
+    return f"WITH {ctes}\n{rest}"
 
 
 def query(name: str, reads: str = "", sql: str | None = None):
