@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.quantiles import order_statistics
 from ..model import DENDRITE_TYPES, SOMA, Grid, all_finite
@@ -134,8 +134,8 @@ def _texts(values: Iterable[str]):
     return F.array(*[F.lit(v) for v in sorted(set(values))]).cast("array<string>")
 
 
-def annotation_filter(entries: DataFrame, rule: AnnotationRule) -> DataFrame:
-    """``entries`` has label text and a ``tags`` array."""
+def annotation_test(rule: AnnotationRule) -> Column:
+    """The rule as a condition on a label text and a ``tags`` array."""
     tags = F.array_distinct(F.coalesce(F.col("tags"), F.array().cast("array<string>")))
     test = F.lit(True)
     if rule.label is not None:
@@ -157,7 +157,11 @@ def annotation_filter(entries: DataFrame, rule: AnnotationRule) -> DataFrame:
             test = test & missing
         else:
             test = test & missing & (F.size(F.array_except(tags, wanted)) == 0)
-    return entries.filter(test)
+    return test
+
+
+def annotation_filter(entries: DataFrame, rule: AnnotationRule) -> DataFrame:
+    return entries.filter(annotation_test(rule))
 
 
 def cluster_filter(table: DataFrame, clusters: Iterable[int] = (), unclustered: bool = False, all_clusters: bool = False):

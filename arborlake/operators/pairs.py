@@ -71,10 +71,13 @@ def with_block(df: DataFrame, blocks: int) -> DataFrame:
 
 
 def all_pairs(files: DataFrame, n_files: int, block_size: int = FILES_PER_BLOCK) -> DataFrame:
-    """Every unordered pair (i < j) of files with the other columns of both, by an equi-join on block pairs."""
+    """Every unordered pair (i < j) of files with the other columns of both, by an equi-join on block pairs.
+
+    A column ``block`` of the caller (0 … blocks-1) takes the place of the hashed one.
+    """
     blocks = _blocks(n_files, block_size)
-    stats = [c for c in files.columns if c != "file_id"]
-    sent = block_pairs(with_block(files, blocks), blocks)
+    stats = [c for c in files.columns if c not in ("file_id", "block")]
+    sent = block_pairs(files if "block" in files.columns else with_block(files, blocks), blocks)
     side = lambda at, name: sent.filter(F.col("block") == F.col(at)).select(
         "bi", "bj", F.struct("file_id", *stats).alias(name)
     )
