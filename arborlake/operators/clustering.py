@@ -68,7 +68,7 @@ class Tree:
             moved = lookup_join(state.filter("up IS NOT NULL"), table, "up", salt_by=["node"]).select(
                 "node", F.col("_up").alias("up"), (F.col("start") + F.col("_start")).alias("start")
             )
-            state = settle(state.filter("up IS NULL").unionByName(moved))
+            state = settle(state.filter("up IS NULL").unionByName(moved), replaces=state)
         return state.select("node", "start")
 
     @property
@@ -113,7 +113,7 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     ))
     left, total, rounds, merges = ids.count(), ids.count(), 0, []
     while left > 1:
-        rounds += 1
+        rounds, old = rounds + 1, state
         rows = state.withColumn("d", _distance(method))
         seen = lambda x, y: F.struct(
             F.col(x).alias("x"), F.struct("d", F.col(y).alias("y"), "s", "na", "nb", "wa", "wb", "ka", "kb").alias("v"))
@@ -153,7 +153,7 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         fold = {"complete": F.max("s"), "single": F.min("s")}.get(
             method, F.sum(F.col("s") * F.col("na") * F.col("nb")) / F.sum(F.col("na") * F.col("nb"))
         )
-        state = settle(state.groupBy(*keys).agg(fold.alias("s")))
+        state = settle(state.groupBy(*keys).agg(fold.alias("s")), replaces=old)
     if not merges:
         schema = "node string, left_node string, right_node string, left_id string, right_id string, height double, size long, left_size long, round int"
         return Tree(ids.sparkSession.createDataFrame([], schema), settle(ids.select("file_id")), total)

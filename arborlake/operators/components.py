@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import lookup_join, settle
+from ..session import forget, lookup_join, settle
 
 
 def _relabel(rows: DataFrame, column: str, table: DataFrame) -> DataFrame:
@@ -35,5 +35,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             return hooked.select("id", "component")
         pointers = hooked.select("id", "component")
         used = pointers.select(F.col("component").alias("id")).distinct()
-        jump = settle(pointers.join(used, "id", "left_semi").select(F.col("id").alias("_key"), F.col("component").alias("_new")))
-        state = settle(_relabel(pointers, "component", jump))
+        jump = pointers.join(used, "id", "left_semi").select(F.col("id").alias("_key"), F.col("component").alias("_new"))
+        state = settle(_relabel(pointers, "component", jump), replaces=state)
+        forget(hooked)

@@ -89,7 +89,7 @@ def reachable_counts(nodes: DataFrame) -> DataFrame:
     while still_open and still_open != before:
         jump = state.select("file_id", F.col("node_id").alias("up"), F.col("up").alias("next"))
         moved = state.filter("up >= 0").join(jump, ["file_id", "up"]).select("file_id", "node_id", F.col("next").alias("up"))
-        state = settle(state.filter("up < 0").unionByName(moved))
+        state = settle(state.filter("up < 0").unionByName(moved), replaces=state)
         still_open, before = state.filter("up >= 0").count(), still_open
     return state.groupBy("file_id").agg(F.count_if(F.col("up") == -1).alias("reached"), F.count(F.lit(1)).alias("total"))
 

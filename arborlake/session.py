@@ -18,7 +18,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -31,29 +30,50 @@ def session(master: str | None = None, app: str = "arborlake", **extra: str) ->
     return builder.getOrCreate()
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+_local_root: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; only a local session may use its own."""
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    shared = context.getConf().get("spark.checkpoint.dir")
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-checkpoint-"))
-    else:
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _local_root:
+        _local_root.append(tempfile.mkdtemp(prefix="run-arborlake-"))
+    return _local_root[0]
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the frame once to the shared checkpoint folder and read on from there."""
-    _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared folder."""
+    return f"{shared_folder(spark)}/arborlake-{name}-{uuid.uuid4().hex}"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{name}-{uuid.uuid4().hex[:12]}"
+def settle(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Write the frame once to the shared folder and read on from there.
+
+    A written table survives lost executors and gives later joins its true size. A checkpointed frame would keep
+    the estimated size of its plan, which in a loop of joins is squared every round until planning takes longer
+    than the work. ``replaces`` is an earlier settled frame that is no longer needed.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_path = path
+    if replaces is not None:
+        forget(replaces)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the folder of a settled frame."""
+    path = df.__dict__.get("_settled_path")
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
