@@ -137,7 +137,8 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         moves = merged.select(F.col("a").alias("id"), *target).unionByName(merged.select(F.col("b").alias("id"), *target))
         for side in "ab":
             table = moves.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("to", "tn", "tw", "tk")])
-            state = lookup_join(state, table, side, "left", salt_by=["a", "b"])
+            # every cluster has the same number of rows, and the small written table tells Spark its size
+            state = state.join(table, side, "left")
         new = lambda c, moved, side: F.coalesce(F.col(f"{moved}_{side}"), F.col(c))
         state = state.select(
             new("a", "to", "a").alias("a1"), new("b", "to", "b").alias("b1"), "s", "na", "nb",

@@ -182,8 +182,7 @@ def read_points_csv(spark: SparkSession, path: str, mapping: Mapping[str, str] |
     """Standard points with the file name as ``origin_csv`` where the file has none."""
     kind = infer_points_format(spark, path, mapping)
     if kind == "two-row":
-        raw = read_points_two_row(spark, path)
-        points = apply_mapping(raw.drop("_file").withColumn("_f", raw["_file"]), TWO_ROW_MAPPING)
+        points = apply_mapping(read_points_two_row(spark, path).withColumnRenamed("_file", "_f"), TWO_ROW_MAPPING)
     else:
         raw = read_raw_points(spark, path).withColumnRenamed("_file", "_f")
         points = apply_mapping(raw, mapping) if kind == "mapping" else raw

@@ -38,7 +38,7 @@ def write_search_csv(references: DataFrame, hits: DataFrame, context: Mapping |
     problems = search_problems(rows)
     if problems:
         raise ValueError("; ".join(problems))
-    rows.orderBy("rank", "file_id").write.mode(mode).option("header", "true").csv(path, quoteAll=True)
+    rows.orderBy("rank", "file_id").write.mode(mode).option("header", "true").csv(path, quoteAll=True, escape='"')
 
 
 def _good_distance() -> Column:
