@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -18,6 +19,8 @@ from .pairs import all_pairs
 
 LINKAGES = ("average", "ward", "complete", "single")
 BLOCK = 512
+# So few clusters are merged one by one in a task: at most 2,016 pairs, against one round of jobs per few merges.
+LAST_CLUSTERS = 64
 
 
 def soma_distances(coords: DataFrame, dims: Sequence[str] = "xyz", n: int | None = None) -> DataFrame:
@@ -96,6 +99,47 @@ def _distance(method: str) -> Column:
     return F.sqrt(F.greatest(F.lit(2.0) * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * between, F.lit(0.0)))
 
 
+_MERGES = (
+    "node string, left_node string, right_node string, left_id string, right_id string, height double, size long, "
+    "left_size long, round int"
+)
+
+
+def _last_merges(method: str, start: int):
+    """Merge the last few clusters in order of distance, the smaller ids on a tie."""
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        ids = sorted(set(rows["a"]) | set(rows["b"]))
+        at = {v: i for i, v in enumerate(ids)}
+        a, b = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
+        s = np.full((len(ids), len(ids)), np.inf)
+        n, w, key = np.ones(len(ids)), np.zeros(len(ids)), np.array(ids, dtype=object)
+        s[a, b] = s[b, a] = rows["s"]
+        for side, index in (("a", a), ("b", b)):
+            n[index], w[index], key[index] = rows[f"n{side}"], rows[f"w{side}"], rows[f"k{side}"]
+        out, upper = [], np.triu(np.ones(s.shape, dtype=bool), 1)
+        for step in range(len(ids) - 1):
+            d = s
+            if method == "ward":
+                between = s - w[:, None] - w[None, :]
+                d = np.sqrt(np.maximum(2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * between, 0.0))
+            i, j = np.unravel_index(np.argmin(np.where(upper, d, np.inf)), s.shape)
+            size, node = n[i] + n[j], f"{start + step}:{ids[i]}"
+            out.append((node, key[i], key[j], ids[i], ids[j], float(d[i, j]), int(size), int(n[i]), start + step))
+            w[i] = (n[i] ** 2 * w[i] + n[j] ** 2 * w[j] + n[i] * n[j] * s[i, j]) / size**2
+            if method == "complete":
+                row = np.maximum(s[i], s[j])
+            elif method == "single":
+                row = np.minimum(s[i], s[j])
+            else:
+                row = (n[i] * s[i] + n[j] * s[j]) / size
+            s[i], s[:, i], n[i], key[i] = row, row, size, node
+            s[j], s[:, j], s[i, i] = np.inf, np.inf, np.inf
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGES.split(", ")])
+
+    return finish
+
+
 def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", distance: str = "distance") -> Tree:
     """Agglomerate a complete pair table (i, j, distance).
 
@@ -111,8 +155,9 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (d * d if method == "ward" else d).alias("s"),
         one.alias("na"), one.alias("nb"), zero.alias("wa"), zero.alias("wb"), F.least("i", "j").alias("ka"), F.greatest("i", "j").alias("kb"),
     ))
-    left, total, rounds, merges = ids.count(), ids.count(), 0, []
-    while left > 1:
+    total = left = ids.count()
+    rounds, merges = 0, []
+    while left > LAST_CLUSTERS:
         rounds, old = rounds + 1, state
         rows = state.withColumn("d", _distance(method))
         seen = lambda x, y: F.struct(
@@ -131,8 +176,6 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         ))
         merges.append(merged.withColumn("round", F.lit(rounds)))
         left -= merged.count()
-        if left <= 1:
-            break
         target = [F.col("a").alias("to"), F.col("n").alias("tn"), F.col("w").alias("tw"), F.col("node").alias("tk")]
         moves = merged.select(F.col("a").alias("id"), *target).unionByName(merged.select(F.col("b").alias("id"), *target))
         for side in "ab":
@@ -155,14 +198,12 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
             method, F.sum(F.col("s") * F.col("na") * F.col("nb")) / F.sum(F.col("na") * F.col("nb"))
         )
         state = settle(state.groupBy(*keys).agg(fold.alias("s")), replaces=old)
-    if not merges:
-        schema = "node string, left_node string, right_node string, left_id string, right_id string, height double, size long, left_size long, round int"
-        return Tree(ids.sparkSession.createDataFrame([], schema), settle(ids.select("file_id")), total)
-    table = union_all(merges).select(
+    tables = [state.groupBy(F.lit(0).alias("all")).applyInPandas(_last_merges(method, rounds + 1), _MERGES)]
+    tables += [m.select(
         "node", F.col("ka").alias("left_node"), F.col("kb").alias("right_node"), F.col("a").alias("left_id"),
         F.col("b").alias("right_id"), "height", F.col("n").cast("long").alias("size"), F.col("na").cast("long").alias("left_size"), "round",
-    )
-    return Tree(settle(table), settle(ids.select("file_id")), total)
+    ) for m in merges]
+    return Tree(settle(union_all(tables)), settle(ids.select("file_id")), total)
 
 
 def leaf_order(tree: Tree) -> DataFrame:

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_ROWS = 250_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS_KEY = "spark.arborlake.salts"
 
 SETTINGS = {
