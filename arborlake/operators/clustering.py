@@ -358,7 +358,7 @@ def _near_tile(dims: Sequence[str], eps: float):
         xyz = group[list(dims)].to_numpy()
         a, b = xyz[mine], xyz[~mine]
         hit = len(a) and len(b) and bool((((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) <= eps * eps).any())
-        return pd.DataFrame({"src": group["src"].iloc[:1], "dst": group["dst"].iloc[:1]}) if hit else pd.DataFrame({"src": [], "dst": []})
+        return pd.DataFrame({c: [group[c].iloc[0]] if hit else [] for c in ("src", "dst")}, dtype=object)
 
     return look
 
