@@ -67,7 +67,7 @@ def stream_append_points(
     number = lambda c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
     good = F.coalesce(F.trim("label") != "", F.lit(False))
     for c in "xyz":
-        good = good & F.coalesce(~F.isnan(number(c)), F.lit(False))
+        good = good & number(c).isNotNull() & ~F.isnan(number(c))
 
     def add(batch: DataFrame, epoch: int) -> None:
         marked = batch.withColumn("_good", good)
