@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import number_rows, running_before
-from ..session import lookup_join, settle, union_all
+from ..session import forget, lookup_join, settle, union_all
 from .components import connected_components
 from .pairs import all_pairs
 
@@ -172,9 +172,9 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         spread = (F.col("na") ** 2 * F.col("wa") + F.col("nb") ** 2 * F.col("wb") + F.col("na") * F.col("nb") * F.col("s")) / (size * size)
         merged = settle(found.select(
             "a", "b", F.col("d").alias("height"), "na", "nb", size.alias("n"), spread.alias("w"),
-            F.concat(F.lit(f"{rounds}:"), "a").alias("node"), "ka", "kb",
+            F.concat(F.lit(f"{rounds}:"), "a").alias("node"), "ka", "kb", F.lit(rounds).alias("round"),
         ))
-        merges.append(merged.withColumn("round", F.lit(rounds)))
+        merges.append(merged)
         left -= merged.count()
         target = [F.col("a").alias("to"), F.col("n").alias("tn"), F.col("w").alias("tw"), F.col("node").alias("tk")]
         moves = merged.select(F.col("a").alias("id"), *target).unionByName(merged.select(F.col("b").alias("id"), *target))
@@ -203,7 +203,10 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         "node", F.col("ka").alias("left_node"), F.col("kb").alias("right_node"), F.col("a").alias("left_id"),
         F.col("b").alias("right_id"), "height", F.col("n").cast("long").alias("size"), F.col("na").cast("long").alias("left_size"), "round",
     ) for m in merges]
-    return Tree(settle(union_all(tables)), settle(ids.select("file_id")), total)
+    tree = Tree(settle(union_all(tables)), settle(ids.select("file_id")), total)
+    for used in (state, *merges):
+        forget(used)
+    return tree
 
 
 def leaf_order(tree: Tree) -> DataFrame:

@@ -125,18 +125,27 @@ def resolve_selection(closure: DataFrame, regions: Regions) -> DataFrame:
     return closure.join(chosen, "ancestor_region_id", "left_semi").select(F.col("direct_region_id").alias("region_id")).distinct()
 
 
-def _ids(closure: DataFrame, regions: Regions) -> list[int]:
-    """The ids as a list: their number is bounded by the ontology."""
-    return sorted(r[0] for r in resolve_selection(closure, regions).collect())
+def _resolve(closure: DataFrame, tree) -> dict[Regions, list[int]]:
+    """Direct ids of every selection of a tree from one job; their number is bounded by the ontology."""
+    selections = {c.regions for _, c in conditions(tree)}
+    wanted = sorted({i for s in selections for i in s.ids})
+    rows = closure.filter(F.col("ancestor_region_id").isin(wanted)).select("ancestor_region_id", "direct_region_id").collect()
+    below: dict[int, set[int]] = {}
+    for row in rows:
+        below.setdefault(row[0], set()).add(row[1])
+    unknown = [i for i in wanted if i not in below]
+    if unknown:
+        raise ValueError(f"unknown regions {unknown}")
+    return {s: sorted(set().union(*(below[i] for i in s.ids)) if s.descendants else set(s.ids)) for s in selections}
 
 
 def query_explain(closure: DataFrame, tree) -> DataFrame:
     """One row per condition with its selected and resolved region ids."""
-    rows = []
+    rows, resolved = [], _resolve(closure, tree)
     for path, c in conditions(tree):
         compartment = "soma" if isinstance(c, SomaIn) else getattr(c, "compartment", "neurite")
         rows.append((
-            path, c.kind, list(c.regions.ids), c.regions.descendants, _ids(closure, c.regions), compartment,
+            path, c.kind, list(c.regions.ids), c.regions.descendants, resolved[c.regions], compartment,
             getattr(c, "laterality", EITHER), getattr(c, "measure", None), getattr(c, "comparison", None),
             float(c.value) if isinstance(c, Threshold) else None,
         ))
@@ -179,9 +188,9 @@ def _combine(tree, leaves: dict[str, Column], path: str = "query") -> Column:
 def matching_files(profile: DataFrame, closure: DataFrame, tree, scope=None) -> DataFrame:
     """file_ids of the scope that satisfy the tree; an explicit scope is cut to the profile's files."""
     rows = profile if scope is None else keep_keys(profile, scope)
-    leaves, outputs = {}, []
+    leaves, outputs, resolved = {}, [], _resolve(closure, tree)
     for i, (path, condition) in enumerate(conditions(tree)):
-        outputs.append(_aggregate(condition, _ids(closure, condition.regions)).alias(f"_c{i}"))
+        outputs.append(_aggregate(condition, resolved[condition.regions]).alias(f"_c{i}"))
         leaves[path] = F.col(f"_c{i}")
     grouped = rows.groupBy("file_id").agg(*outputs)
     return grouped.filter(_combine(tree, leaves)).select("file_id")
@@ -190,6 +199,7 @@ def matching_files(profile: DataFrame, closure: DataFrame, tree, scope=None) ->
 def matching_files_by_sets(profile: DataFrame, closure: DataFrame, tree, scope=None) -> DataFrame:
     """The same files from set operations on one file list per condition."""
     universe = (profile if scope is None else keep_keys(profile, scope)).select("file_id").distinct()
+    resolved = _resolve(closure, tree)
 
     def build(node) -> DataFrame:
         if isinstance(node, AllOf):
@@ -201,7 +211,7 @@ def matching_files_by_sets(profile: DataFrame, closure: DataFrame, tree, scope=N
             return union_all([build(child) for child in node.children]).distinct()
         if isinstance(node, Not):
             return universe.subtract(build(node.child))
-        ids = _ids(closure, node.regions)
+        ids = resolved[node.regions]
         if isinstance(node, Threshold):
             return threshold_left_join(profile, universe, node, ids)
         rows = profile.filter(_rows_of(node, ids))

@@ -97,16 +97,17 @@ def result_rank(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(Window.orderBy("pearson_distance", "file_id")))
 
 
-def check_request(nodes: DataFrame, request: VoxelSearch) -> None:
-    """References must exist and at least one other candidate must remain."""
-    present = {r[0] for r in keep_keys(nodes, request.references).select(F.col("file_id").cast("string")).distinct().collect()}
-    missing = [r for r in request.references if r not in present]
-    if missing:
-        raise ValueError(f"references not in the table: {missing}")
-    pool = nodes if request.candidates is None else keep_keys(nodes, request.candidates)
+def check_request(nodes: DataFrame, counts: DataFrame, request: VoxelSearch) -> None:
+    """References must exist and have usable nodes, and a candidate must remain. The counts answer first."""
+    ids = lambda rows: {r[0] for r in keep_keys(rows, request.references).select(F.col("file_id").cast("string")).distinct().collect()}
+    unusable = set(request.references) - ids(counts)
+    if unusable:
+        missing = sorted(unusable - ids(nodes))
+        raise ValueError(f"references not in the table: {missing}" if missing else f"references without usable nodes: {sorted(unusable)}")
+    pool = counts if request.candidates is None else keep_keys(counts, request.candidates)
     if request.exclude_references:
         pool = keep_keys(pool, request.references, keep=False)
-    if not pool.select("file_id").limit(1).count():
+    if not pool.limit(1).count():
         raise ValueError("no candidate neurons")
 
 
@@ -128,9 +129,9 @@ def voxel_search(
     exclude: DataFrame | None = None, lut: DataFrame | None = None, check: bool = True,
 ) -> DataFrame:
     """(rank, file_id, neuron_id, subject, pearson_distance) of the nearest candidates."""
-    if check:
-        check_request(nodes, request)
     counts = settle(search_counts(nodes, request, grid, include, exclude, lut))
+    if check:
+        check_request(nodes, counts, request)
     scores = score(counts, request.references, request.policy, request.candidates)
     if request.exclude_references:
         scores = keep_keys(scores, request.references, keep=False)

@@ -31,12 +31,13 @@ def session(master: str | None = None, app: str = "arborlake", **extra: str) ->
 
 
 _local_root: list[str] = []
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``; only a local session may use its own."""
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not context.master.startswith("local"):
@@ -48,7 +49,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared folder."""
-    return f"{shared_folder(spark)}/arborlake-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/arborlake-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every folder made by ``scratch_path``; frames read from them can no longer be used."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 def settle(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
@@ -71,9 +85,8 @@ def forget(df: DataFrame) -> None:
     """Delete the folder of a settled frame."""
     path = df.__dict__.get("_settled_path")
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        _made.remove(path)
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
