@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
+from .. import session
 from ..session import lookup_join, settle
 from .topology import validate_trees
 
@@ -73,13 +74,22 @@ def node_side(grid: Grid) -> Column:
 
 
 def cable_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
-    """(file_id, region_id, side, compartment, cable). Portions are summed per voxel before regions are looked up."""
+    """(file_id, region_id, side, compartment, cable).
+
+    With a volume that fits a broadcast each portion finds its region at once and folds to a few rows per file before
+    the shuffle. A larger volume is joined after the portions are summed per voxel, so that fewer rows move.
+    """
     child = nodes.select("file_id", "parent_id", "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
     parent = nodes.select("file_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    portions = split_edges(child.join(parent, ["file_id", "parent_id"]), grid)
-    sums = portions.groupBy("file_id", "voxel", "side", _compartment().alias("compartment")).agg(F.sum("length_um").alias("cable"))
+    portions = split_edges(child.join(parent, ["file_id", "parent_id"]), grid).select(
+        "file_id", "voxel", "side", _compartment().alias("compartment"), F.col("length_um").alias("cable")
+    )
     volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("voxel"), "region_id")
-    joined = lookup_join(sums, volume, "voxel", "left", salt_by=["file_id", "side"])
+    if session.fits_broadcast(volume):
+        joined = portions.join(F.broadcast(volume), "voxel", "left")
+    else:
+        sums = portions.groupBy("file_id", "voxel", "side", "compartment").agg(F.sum("cable").alias("cable"))
+        joined = lookup_join(sums, volume, "voxel", "left", salt_by=["file_id", "side"], check=False)
     region = F.coalesce("region_id", F.lit(0))
     return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"))
 
