@@ -100,8 +100,8 @@ def validate_points(points: DataFrame, check: bool = True) -> DataFrame:
 
 
 def _first_lines(spark: SparkSession, path: str, n: int = 2) -> list[list[str]]:
-    """The header lines of one file: the reader returns the start of the first file first."""
-    lines = spark.read.text(path).limit(n).collect()
+    """The first lines of one file; only pieces that begin a file are read."""
+    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").limit(n).collect()
     cells = spark.createDataFrame([(r[0],) for r in lines], "value string").select(
         F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(max((r[0] or "").count(",") for r in lines) + 1))))
     ).collect() if lines else []

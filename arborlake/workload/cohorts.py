@@ -54,10 +54,22 @@ def _(t):
     return K.soma_dbscan(somas(t), 60.0, 4)
 
 
-@query("flatmap_soma_clusters")
+relation("flat_d", """
+WITH p AS (SELECT file_id, x_flat / (y1 - y0) AS x, y_flat / (y1 - y0) AS y, depth_um / (d1 - d0) AS z FROM flat_somas, bounds)
+SELECT a.file_id AS i, b.file_id AS j FROM p a, p b WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) <= 0.2""", "flat_somas", "bounds")
+
+
+@query("flatmap_soma_clusters", "flat_d", """
+WITH RECURSIVE core AS (SELECT i FROM flat_d GROUP BY i HAVING count(*) >= 3),
+reach AS (SELECT i, i AS j FROM core UNION SELECT r.i, e.j FROM reach r JOIN flat_d e ON e.i = r.j JOIN core c ON c.i = e.j),
+low AS (SELECT i, min(j) AS m FROM reach GROUP BY i),
+numbered AS (SELECT i, 1 + dense_rank() OVER (ORDER BY m) AS label FROM low),
+border AS (SELECT e.i, min(n.label) AS label FROM flat_d e JOIN numbered n ON n.i = e.j WHERE e.i NOT IN (SELECT i FROM core) GROUP BY e.i)
+SELECT s.i AS file_id, coalesce(n.label, b.label, 1)::INT AS label FROM (SELECT DISTINCT i FROM flat_d) s
+LEFT JOIN numbered n ON n.i = s.i LEFT JOIN border b ON b.i = s.i""")
 def _(t):
     coords = M.normalize_soma(M.flatmap_soma_coords(t.nodes, "shaped"), M.grid_bounds(t.nodes, "shaped"))
-    return K.soma_dbscan(coords, 0.08, 3)
+    return K.soma_dbscan(coords, 0.2, 3)
 
 
 def correlation_tree(t, method="average"):
@@ -357,15 +369,20 @@ def _(t):
 HEADER = ["Marker,Experiment,,,,Channels,Atlas,,,Region,,,", "Marker,x,y,z,strength,Channel mono channel,x,y,z,name,acronym,id,hemisphere"]
 
 
+def headed(batches):
+    """Both header lines at the start of every part file."""
+    import pandas as pd
+
+    for number, batch in enumerate(batches):
+        yield pd.concat([pd.DataFrame({"value": HEADER}), batch]) if number == 0 else batch
+
+
 @query("read_points_two_row", "points", f"SELECT {POINT_COLS}, x::VARCHAR AS experiment_x FROM points")
 def _(t):
     path = scratch_path(t.spark, "two-row")
     cells = ["label", "x", "y", "z", F.lit("1"), F.lit("m"), "x", "y", "z", "region_name", "acronym", "id", "hemisphere"]
     body = t.points.select(F.concat_ws(",", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cells]).alias("value"))
-    head = t.spark.createDataFrame([(h,) for h in HEADER], "value string")
-    # one part, because a header belongs to the first lines of a file: the rows of this small file are its feature
-    lines = head.withColumn("_o", F.monotonically_increasing_id() * 0).unionByName(body.withColumn("_o", F.lit(1).cast("long")))
-    lines.coalesce(1).select("value").write.text(path)
+    body.mapInPandas(headed, "value string").write.text(path)
     return SP.read_points_csv(t.spark, path).select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere", "experiment_x")
 
 
@@ -452,8 +469,9 @@ def _(t):
     return SN.scan_nodes(t.spark, path)
 
 
-@query("append_nodes", "nodes", "SELECT file_id, node_id, CASE WHEN x < 200 AND file_id LIKE '%5.swc' THEN x ELSE x END AS x FROM nodes")
+@query("append_nodes", "nodes", "SELECT file_id, node_id, x FROM nodes")
 def _(t):
+    # some neurons are in the table before; the whole table is appended, with other coordinates for the known ones
     path = scratch_path(t.spark, "nodes")
     SN.write_nodes(t.nodes.filter("file_id LIKE '%5.swc'"), path)
     SN.append_nodes(t.spark, path, t.nodes.withColumn("x", F.when(F.col("file_id").like("%5.swc"), -1.0).otherwise(F.col("x"))))
@@ -562,6 +580,7 @@ def _(t):
 @query("stream_append_swc", "nodes", f"SELECT {TEXT_COLS} FROM nodes")
 def _(t):
     folder, table, state = (scratch_path(t.spark, n) for n in ("incoming", "nodes", "state"))
+    # some neurons are in the table before; the stream brings all of them
     SN.write_nodes(t.nodes.filter("file_id LIKE '%1.swc'"), table)
     SN.write_swc(t.nodes, folder)
     appends.stream_append_swc(t.spark, folder, table, state, exported=True).awaitTermination()

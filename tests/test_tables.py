@@ -334,3 +334,34 @@ def test_one_file_with_a_third_of_all_nodes(spark, tmp_path):
 
     assert T.edges(nodes).count() == items.count() - len(sizes)
     assert {(r["reached"], r["total"]) for r in T.reachable_counts(nodes).collect()} == {(r["n"], r["n"]) for r in sizes}
+
+
+def plan_of(df) -> str:
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_mask_scan_reads_few_columns_and_pushes_its_box(spark, tmp_path, grid):
+    path = str(tmp_path / "nodes")
+    Tables(spark, "/root/testdata/sf0.001").nodes.write.parquet(path)
+    mask = spark.createDataFrame([(4, 2, 3), (5, 3, 4)], "ai int, bi int, ci int")
+    plan = plan_of(neurons_in_masks(spark.read.parquet(path), grid, [mask], node_types=[2]))
+    scan = plan[plan.index("Scan parquet"):]
+    assert "GreaterThanOrEqual(x,100.0)" in scan and "LessThan(x,150.0)" in scan and "radius" not in scan
+    counted = plan_of(V.voxel_counts(spark.read.parquet(path), 25.0))
+    assert counted.count("Exchange") == plan_of(spark.read.parquet(path).groupBy("file_id").count()).count("Exchange")
+
+
+def test_region_query_is_one_scan(spark):
+    from arborlake.plans import region_query as Q
+
+    profile = spark.createDataFrame([("a", 1, "unknown", "neurite", 1.0, 1, 1)], "file_id string, region_id int, laterality string, compartment string, cable_length_um double, node_count long, terminus_count long")
+    closure = spark.createDataFrame([(1, 1, 0), (2, 2, 0)], "ancestor_region_id int, direct_region_id int, depth int")
+    leaf = lambda r: Q.NeuriteIn(Q.Regions((r,)))
+    plan = plan_of(Q.matching_files(profile, closure, Q.AllOf((leaf(1), Q.Not(leaf(2)), Q.Threshold(Q.Regions((1,)), "node_count", ">", 0)))))
+    assert plan.count("Scan ExistingRDD") <= 2 and "Join" not in plan
