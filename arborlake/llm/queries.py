@@ -71,3 +71,17 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op3_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_rows(table(spark, sf_dir, "documents"))
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    import public_tokenizers as files
+
+    from .packing import pack
+
+    pieces = pack(docs, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN, window=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
