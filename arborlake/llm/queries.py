@@ -85,3 +85,19 @@ def packed_rows(docs: DataFrame) -> DataFrame:
 
     pieces = pack(docs, files.path("byte_bpe_50k.json"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN, window=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def host_of(url):
+    return F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)
+
+
+@query("op10_language_id")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (source as host, lang as declaration) and pages (host of the address, the markup's declaration)."""
+    from .language_id import fit, language_id
+
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = fit(docs)
+    texts = language_id(docs, model, host=F.col("source"), declared="lang").withColumnRenamed("id", "doc_id").drop("code")
+    sites = language_id(pages, model, text="html", id_col="page_id", host=host_of(F.col("url")), markup=True).withColumnRenamed("id", "page_id").drop("code")
+    return texts.unionByName(sites, allowMissingColumns=True)

@@ -265,11 +265,16 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shi
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the component_id of their group, one row for each such id.
+    """One document of every group: the one whose id is the component_id.
 
-    Defined results: rows that repeat an id are repeats of one document, of which one stays; a row without an id
-    stays, since no group can name it.
+    Defined results: rows that repeat an id are one document, of which one row stays; rows without an id stay unless
+    their group has a document with one.
     """
-    first = groups.filter(same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_id"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = settle(groups)
+    gone = settle(groups.filter(~same(F.col("doc_id"), F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct())
+    kept = docs.join(gone, same(docs[id_col], gone["_id"]), "left_anti")
+    twice = settle(groups.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id"))
+    if not twice.limit(1).count():
+        return kept
+    once = kept.join(twice, kept[id_col] == twice["_id"], "left_anti")
+    return once.unionByName(kept.join(twice, kept[id_col] == twice["_id"], "left_semi").dropDuplicates([id_col]))
