@@ -115,19 +115,52 @@ def _score(model: dict[str, np.ndarray], text: str, declared: str | None, markup
                     says = pc.utf8_lower(row.field(declared).cast(pa.string()))
                 bins, begins = trigrams(texts)
                 sums = np.add.reduceat(table[bins], begins[:-1], axis=0, dtype=np.float64) if len(bins) else np.zeros((0, table.shape[1]))
+                grams = sums[:, -1].astype(np.int64)
+                votes = _softmax(sums[:, :-1] + np.log(_flat_prior(len(names)))) * (grams > 0)[:, None]
                 yield pa.RecordBatch.from_arrays([
-                    part.column("id"), part.column("code"), part.column("host"), says,
-                    *[pa.array(sums[:, k]) for k in range(len(names) + 1)], pa.array(sums[:, -1].astype(np.int64)),
-                ], ["id", "code", "host", "declared", *[f"ll{k}" for k in range(len(names) + 1)], "grams"])
+                    part.column("id"), part.column("code"), part.column("host"), says, pa.array(grams), _lists(sums[:, :-1]),
+                    *[pa.array(votes[:, k]) for k in range(len(names) + 1)],
+                ], ["id", "code", "host", "declared", "grams", "ll", *[f"r{k}" for k in range(len(names) + 1)]])
 
     return run
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    exps = [F.exp(x - top) for x in logs]
-    total = sum(exps[1:], exps[0])
-    return [e / total for e in exps]
+def _flat_prior(languages: int) -> np.ndarray:
+    return np.array([(1 - UNKNOWN_PRIOR) / languages] * languages + [UNKNOWN_PRIOR])
+
+
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    exps = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return exps / exps.sum(axis=1, keepdims=True)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def _fuse(names: list[str], whole: np.ndarray, strength: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = len(names)
+        for batch in batches:
+            own, logs, *counts = (
+                pc.list_flatten(batch.column(c)).to_numpy(zero_copy_only=False).reshape(-1, wide) for c in ("votes", "ll", "suffix", "domain", "host", "declared_votes"))
+            said = batch.column("declared").is_valid().to_numpy(zero_copy_only=False)
+            # a row's own vote is taken out of every count before the count speaks about the row
+            suffix, domain, host, declared = (np.maximum(c - own, 0.0) for c in counts)
+            prior = (whole + strength * _flat_prior(wide - 1)) / (whole.sum() + strength)
+            for level in (suffix, domain, host):
+                prior = (level + strength * prior) / (level.sum(axis=1, keepdims=True) + strength)
+            # P(declared | language): the share of the language's votes that came with this declaration
+            trust = np.where(said[:, None], np.log((declared + 1.0) / (whole + strength)), 0.0)
+            chance = _softmax(logs + np.log(prior) + trust)
+            best = chance.argmax(axis=1)
+            rejected = (best == wide - 1) | (batch.column("grams").to_numpy() == 0)
+            yield pa.RecordBatch.from_arrays([
+                batch.column("id"), batch.column("code"), pa.array([names[k] for k in best], pa.string()), pa.array(chance[np.arange(len(best)), best]),
+                batch.column("declared"), batch.column("grams"), pa.array(rejected),
+            ], ["id", "code", "lang", "probability", "declared", "grams", "rejected"])
+
+    return run
 
 
 def _with(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
@@ -158,40 +191,16 @@ def language_id(rows: DataFrame, model: dict[str, np.ndarray], text: str = "text
         return given.select("id", "code", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"),
                             F.lit(None).cast("string").alias("declared"), F.lit(0).cast("long").alias("grams"), F.lit(False).alias("rejected"))
     many = range(len(names))
-    kind = f"id {id_type}, code long, host string, declared string, " + ", ".join(f"ll{k} double" for k in many) + ", grams long"
-    scored = given.mapInArrow(_score(model, text, declared, markup), kind)
-    first = [F.col(f"ll{k}") + float(np.log(UNKNOWN_PRIOR if k == len(names) - 1 else (1 - UNKNOWN_PRIOR) / (len(names) - 1))) for k in many]
-    votes = [F.when(F.col("grams") > 0, p).otherwise(F.lit(0.0)).alias(f"r{k}") for k, p in enumerate(_softmax(first))]
-    scored = settle(scored.select("*", *votes).withColumns({
+    kind = f"id {id_type}, code long, host string, declared string, grams long, ll array<double>, " + ", ".join(f"r{k} double" for k in many)
+    scored = settle(given.mapInArrow(_score(model, text, declared, markup), kind).withColumns({
         "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract("host", r"\.([^.]+)$", 1)}))
-
-    def counted(key: str, name: str) -> DataFrame:
-        return settle(scored.filter(F.col(key) != "").groupBy(key).agg(*[F.sum(f"r{k}").alias(f"{name}{k}") for k in many]))
-
-    whole = scored.agg(*[F.sum(f"r{k}") for k in many]).first()
-    whole = [x or 0.0 for x in whole]
-    every = sum(whole)
-    out = scored
-    for key, name in (("host", "h"), ("domain", "m"), ("suffix", "s"), ("declared", "d")):
-        out = _with(out, counted(key, name), key)
-
-    def others(name: str, k: int) -> Column:
-        """Votes of the other rows with this row's key."""
-        return F.greatest(F.coalesce(F.col(f"{name}{k}") - F.col(f"r{k}"), F.lit(0.0)), F.lit(0.0))
-
-    base = [(w + strength * (UNKNOWN_PRIOR if k == len(names) - 1 else (1 - UNKNOWN_PRIOR) / (len(names) - 1))) / (every + strength) for k, w in enumerate(whole)]
-    prior: list[Column] = [F.lit(b) for b in base]
-    for name in ("s", "m", "h"):
-        seen = sum((others(name, k) for k in many[1:]), others(name, 0))
-        prior = [(others(name, k) + strength * p) / (seen + strength) for k, p in enumerate(prior)]
-    # P(declared | language): the share of the language's votes that came with this declaration
-    logs = [
-        F.col(f"ll{k}") + F.log(prior[k])
-        + F.when(F.col("declared").isNotNull(), F.log((others("d", k) + 1.0) / F.lit(whole[k] + strength))).otherwise(F.lit(0.0))
-        for k in many
-    ]
-    chances = out.select("id", "code", "declared", "grams", F.array(*_softmax(logs)).alias("p"))
-    best = F.array_position("p", F.array_max("p"))
-    return chances.select(
-        "id", "code", F.element_at(F.array(*[F.lit(n) for n in names]), best.cast("int")).alias("lang"), F.array_max("p").alias("probability"),
-        "declared", "grams").withColumn("rejected", (F.col("grams") == 0) | (F.col("lang") == UNKNOWN))
+    sums = [F.sum(f"r{k}") for k in many]
+    whole = np.array([x or 0.0 for x in scored.agg(*sums).first()])
+    out = scored.withColumn("votes", F.array(*[F.col(f"r{k}") for k in many])).drop(*[f"r{k}" for k in many])
+    none = F.array(*[F.lit(0.0) for _ in many])
+    for key in ("host", "domain", "suffix", "declared"):
+        counted = settle(scored.filter(F.col(key) != "").groupBy(key).agg(F.array(*sums).alias(f"of_{key}")))
+        out = _with(out, counted, key).withColumn(f"of_{key}", F.coalesce(f"of_{key}", none))
+    out = out.select("id", "code", "declared", "grams", "ll", "votes", F.col("of_suffix").alias("suffix"), F.col("of_domain").alias("domain"),
+                     F.col("of_host").alias("host"), F.col("of_declared").alias("declared_votes"))
+    return out.mapInArrow(_fuse(names, whole, strength), f"id {id_type}, code long, lang string, probability double, declared string, grams long, rejected boolean")
