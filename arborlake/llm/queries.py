@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -101,3 +103,22 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = language_id(docs, model, host=F.col("source"), declared="lang").withColumnRenamed("id", "doc_id").drop("code")
     sites = language_id(pages, model, text="html", id_col="page_id", host=host_of(F.col("url")), markup=True).withColumnRenamed("id", "page_id").drop("code")
     return texts.unionByName(sites, allowMissingColumns=True)
+
+
+@query("op1_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    done = shard(table(spark, sf_dir, "documents"), shards=16, seed=7)
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query("op6_token_counts")
+def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, empty at first, so that every distinct text is encoded."""
+    import public_tokenizers as files
+
+    from .token_counts import token_counts
+
+    done = token_counts(table(spark, sf_dir, "documents"), files.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
+    return done.withColumn("over_limit", F.col("n_tokens") > 4096)
