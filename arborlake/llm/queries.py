@@ -122,3 +122,14 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     done = token_counts(table(spark, sf_dir, "documents"), files.path("piece_bpe_32k.model"), scratch_path(spark, "token-cache"))
     return done.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@query("op8_warc")
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_warc, write_warc
+
+    found = read_warc(spark, write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"), least=0))
+    number = "^urn:page:(-?[0-9]+)$"
+    return found.select(
+        F.nullif(F.regexp_extract("record_id", number, 1), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.nullif(F.regexp_extract(F.coalesce("refers_to", F.lit("")), number, 1), F.lit("")).cast("long").alias("refers_to"))
