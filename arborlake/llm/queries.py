@@ -133,3 +133,36 @@ def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.nullif(F.regexp_extract("record_id", number, 1), F.lit("")).cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.nullif(F.regexp_extract(F.coalesce("refers_to", F.lit("")), number, 1), F.lit("")).cast("long").alias("refers_to"))
+
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss,
+         -- escaped texts: every control string and backslash has a backslash more, and every turn its marks
+         string_agg(regexp_replace(text, '(\\|</?s>|\[/?(?:INST|SYS|ROLE)\]|\[TEXT\]|</?s?$|\[/?(?:I|IN|INS|INST|S|SY|SYS|R|RO|ROL|ROLE)?$|\[(?:T|TE|TEX|TEXT)$)', 'x\1', 'g'), '' ORDER BY turn, role, text) AS escaped,
+         sum(CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 4 WHEN 'system' THEN 11 ELSE 19 + length(role) END) AS marks
+  FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       (3 + length(escaped) + marks)::BIGINT AS formatted_chars
+FROM t
+"""
+
+
+@query("op4_chat_formatting", CHAT)
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_template import format_conversations, read_conversations
+
+    hard = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    back = read_conversations(format_conversations(turns))
+    said = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
