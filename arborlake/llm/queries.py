@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
+from ..session import scratch_path, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -166,3 +166,13 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op5_image_copies")
+def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images drawn from all vectors; every image whose id is divisible by 50 is sought among all of them."""
+    from .image_copies import find_copies
+    from .media import vector_images
+
+    images = settle(vector_images(table(spark, sf_dir, "embeddings")))
+    return find_copies(images, queries=F.col("image_id") % 50 == 0)
