@@ -2,7 +2,7 @@
 
 Rows of a source are shuffled by a seeded hash and ranked; the rank divided by the source's size is its fractional rank.
 Sorting all rows by fractional rank interleaves the sources evenly, and cutting that order into runs of equal length gives shards
-whose mixture matches the whole to within a row or two per source.
+whose mixture matches the whole to within a few rows per source.
 
 Neither ranking is a window over a source or over the table. Hashes are cut into cells of bounded size; a cell's rows are
 ranked on their own and shifted by the sizes of the cells before it. The same is done along the fractional rank.
