@@ -11,6 +11,11 @@ PLAIN_NAME = r"^(\d+)_(\d+)_"
 DOTTED_NAME = r"^(H\d+(?:\.\d+){6})_(\d+)"
 
 
+def file_metadata(field: str) -> Column:
+    """``file_name`` or ``file_path`` of a row's file as it is on disk; Spark gives both percent-encoded."""
+    return F.url_decode(F.replace(F.col(f"_metadata.{field}"), F.lit("+"), F.lit("%2B")))
+
+
 def file_stem(name: Column | str) -> Column:
     return F.regexp_replace(col(name), r"\.[^.]*$", "")
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import neuron_of, subject_of
+from ..functions import file_metadata, neuron_of, subject_of
 from ..model import NODE_SCHEMA
 from ..session import keep_keys, lookup_join
 
@@ -41,7 +43,7 @@ def read_swc_lines(spark: SparkSession, folder: str, recursive: bool = True) ->
         .text(folder)
     )
     return lines.select(
-        F.col("_metadata.file_name").alias("file_id"), F.col("_metadata.file_path").alias("path"), "value"
+        file_metadata("file_name").alias("file_id"), file_metadata("file_path").alias("path"), "value"
     )
 
 
@@ -134,7 +136,27 @@ def swc_lines(nodes: DataFrame) -> DataFrame:
         "%d %d %.3f %.3f %.3f %.3f %d", "node_id", "type", "x", "y", "z", "radius", "parent_id").alias("value"))
 
 
-def write_swc(nodes: DataFrame, folder: str, mode: str = "error") -> None:
-    """A directory per file_id; lines of one file are ranged by node id, so large files use several tasks."""
-    lines = swc_lines(nodes).repartitionByRange("file_id", "node_id").sortWithinPartitions("file_id", "node_id")
-    lines.select("file_id", "value").write.mode(mode).partitionBy("file_id").text(folder)
+def write_swc(nodes: DataFrame, folder: str, mode: str = "append") -> None:
+    """One text file per neuron, named by its ``file_id``, as ``ingest_swc`` reads them.
+
+    A task writes the lines of a neuron in order of node id; the finished files are moved to their names only when all are
+    written. Names that exist are replaced; with ``mode="error"`` the folder must be new.
+    """
+    spark = nodes.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    target = path(folder)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode == "error" and store.exists(target):
+        raise FileExistsError(folder)
+    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
+    lines = swc_lines(nodes).repartition("file_id").sortWithinPartitions("file_id", "node_id")
+    lines.select("file_id", "value").write.partitionBy("file_id").text(staging)
+    for neuron in store.listStatus(path(staging)):
+        name = neuron.getPath().getName()
+        if not name.startswith("file_id="):
+            continue
+        (part,) = (f.getPath() for f in store.listStatus(neuron.getPath()) if f.getPath().getName().startswith("part-"))
+        final = path(target, unquote(name.removeprefix("file_id=")))
+        store.delete(final, False)
+        store.rename(part, final)
+    store.delete(path(staging), True)

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import csv
 import json
 import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate, zip_longest
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import origin_form
+from ..functions import file_metadata, origin_form
 from ..model import ORIGIN_MISSING, POINT_OPTIONAL, POINT_REQUIRED
 
+#: Column that carries the name of a row's file until it becomes the row's origin.
+FILE = "_file"
 STANDARD = (*POINT_REQUIRED, *POINT_OPTIONAL)
 
 # Fixed values of the two-row header format: standard column -> flattened source column, and columns it must have.
@@ -69,6 +76,20 @@ def _number(name: str) -> Column:
     return F.expr(f"try_cast(trim(CAST(`{name}` AS STRING)) AS DOUBLE)")
 
 
+def row_faults(points: DataFrame) -> Column:
+    """Names of the columns whose value breaks a rule: blank label, coordinate or integer id that is none."""
+    def unless(bad: Column, name: str) -> Column:
+        return F.when(F.coalesce(bad, F.lit(True)), F.lit(name))
+
+    faults = [unless(F.trim(F.col("label").cast("string")) == "", "label")]
+    faults += [unless(_number(c).isNull() | F.isnan(_number(c)), c) for c in "xyz"]
+    if "id" in points.columns:
+        given = F.trim(F.coalesce(F.col("id").cast("string"), F.lit(""))) != ""
+        whole = (_number("id") == F.floor(_number("id"))) & (F.abs(_number("id")) < float(1 << 62))
+        faults.append(F.when(given & ~F.coalesce(whole, F.lit(False)), F.lit("id")))
+    return F.array_compact(F.array(*faults))
+
+
 def validate_points(points: DataFrame, check: bool = True) -> DataFrame:
     """Standard types and order: text label, double coordinates, optional columns, integer id, extras last.
 
@@ -77,116 +98,161 @@ def validate_points(points: DataFrame, check: bool = True) -> DataFrame:
     missing = [c for c in POINT_REQUIRED if c not in points.columns]
     if missing:
         raise PointFormatError(f"missing point columns {missing}")
-    label = F.trim(F.col("label").cast("string"))
-    text = lambda c: F.col(c).cast("string") if c in points.columns else F.lit(None).cast("string")
-    has_id = "id" in points.columns
-    blank = F.coalesce(F.trim(F.col("id").cast("string")) == "", F.lit(True)) if has_id else F.lit(True)
-    number = F.when(~blank, _number("id")) if has_id else F.lit(None).cast("double")
     if check:
-        bad_number = lambda c: _number(c).isNull() | F.isnan(_number(c))
-        counts = {"label": F.count_if(label.isNull() | (label == "")), **{c: F.count_if(bad_number(c)) for c in "xyz"}}
-        if has_id:
-            counts["id"] = F.count_if(~blank & (number.isNull() | (number != F.floor(number))))
-        row = points.agg(*[v.alias(k) for k, v in counts.items()]).first().asDict()
+        tested = points.select(row_faults(points).alias("faults"))
+        row = tested.agg(*[F.count_if(F.array_contains("faults", c)).alias(c) for c in ("label", "x", "y", "z", "id")]).first().asDict()
         broken = {k: v for k, v in row.items() if v}
         if broken:
             raise PointFormatError(f"invalid values per column: {broken}")
+    text = lambda c: F.col(c).cast("string") if c in points.columns else F.lit(None).cast("string")
+    number = _number("id") if "id" in points.columns else F.lit(None).cast("double")
     extras = [c for c in points.columns if c not in STANDARD]
     return points.select(
-        label.alias("label"), *[_number(c).alias(c) for c in "xyz"], text("region_name").alias("region_name"),
+        F.trim(F.col("label").cast("string")).alias("label"), *[_number(c).alias(c) for c in "xyz"], text("region_name").alias("region_name"),
         text("acronym").alias("acronym"), number.cast("long").alias("id"), text("hemisphere").alias("hemisphere"),
         *[F.col(f"`{c}`") for c in extras],
     )
 
 
-def _first_lines(spark: SparkSession, path: str, n: int = 2) -> list[list[str]]:
-    """The first lines of one file; only pieces that begin a file are read."""
-    lines = spark.read.text(path).filter("_metadata.file_block_start = 0").limit(n).collect()
-    cells = spark.createDataFrame([(r[0],) for r in lines], "value string").select(
-        F.from_csv("value", F.lit(", ".join(f"c{i} STRING" for i in range(max((r[0] or "").count(",") for r in lines) + 1))))
-    ).collect() if lines else []
-    return [[(v or "") for v in r[0]] for r in cells]
+# -- CSV files, each under its own header ------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How files that share their first lines are read: ``kind`` and the names of their columns."""
+
+    kind: str
+    names: tuple[str, ...]
+    skipped: tuple[str, ...]
+
+
+def _heads(batches):
+    """The first two lines of every file; the rows are those of the files' first blocks, in order."""
+    current, seen = None, 0
+    for batch in batches:
+        paths = batch.column("path").to_pylist()
+        keep = []
+        for k, path in enumerate(paths):
+            if path != current:
+                current, seen = path, 0
+            if seen < 2:
+                keep.append(k)
+            seen += 1
+        yield batch.take(pa.array(keep, pa.int64()))
+
+
+def file_heads(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(path, lines): the first two lines of every file that has any, in one pass."""
+    lines = spark.read.text(path).select(file_metadata("file_path").alias("path"), "value", F.col("_metadata.file_block_start").alias("block"))
+    first = lines.filter("block = 0").select("path", "value").mapInArrow(_heads, "path string, value string")
+    numbered = first.select("path", F.struct(F.monotonically_increasing_id().alias("n"), "value").alias("line"))
+    return numbered.groupBy("path").agg(F.transform(F.array_sort(F.collect_list("line")), lambda x: x["value"]).alias("lines"))
 
 
-def _token(text: str) -> str:
-    text = text.strip()
-    return "" if text.startswith("Unnamed:") else re.sub(r"[^0-9A-Za-z]+", "_", text).strip("_").lower()
+def _words(cell: str) -> str:
+    return "_".join(re.findall("[0-9A-Za-z]+", cell)).lower()
+
+
+def _two_row_name(group: str, part: str) -> str:
+    """A column is called after its group and its own cell; markers, channels and the strength have no group in their name."""
+    if group == "marker":
+        return group
+    alone = group in ("", "channels") or (group, part) == ("experiment", "strength")
+    return part if alone else "_".join(filter(None, (group, part)))
 
 
 def flatten_header(top: Sequence[str], sub: Sequence[str]) -> list[str]:
-    """One name per column of a two-row header; an empty group cell repeats the group on its left."""
-    names, group = [], ""
-    for upper, lower in padded(top, sub):
-        group, part = _token(upper) or group, _token(lower)
-        if group == "marker":
-            name = "marker"
-        elif group == "channels" or not group:
-            name = part
-        elif group == "experiment" and part == "strength":
-            name = "strength"
-        else:
-            name = f"{group}_{part}" if part else group
-        if not name:
-            raise PointFormatError("a column of the two-row header has no name")
-        names.append(name)
+    """One name per column of a two-row header; a blank group cell belongs to the group on its left."""
+    cells = [(_words(a), _words(b)) for a, b in zip_longest(top, sub, fillvalue="")]
+    groups = accumulate((a for a, _ in cells), lambda group, cell: cell or group)
+    names = [_two_row_name(group, part) for group, (_, part) in zip(groups, cells)]
+    if not all(names):
+        raise PointFormatError("a column of the two-row header has no name")
     return names
 
 
-def padded(top: Sequence[str], sub: Sequence[str]):
-    """Cells of two rows side by side, the shorter row filled with blanks."""
-    size = max(len(top), len(sub))
-    pad = lambda row: [*row, *[""] * (size - len(row))]
-    return zip(pad(top), pad(sub))
+def layout_of(lines: Sequence[str], mapping: Mapping[str, str] | None = None) -> Layout:
+    """What a file's first lines say: the mapping's columns, the standard ones, or a two-row header."""
+    rows = list(csv.reader(lines[:2]))
+    names = [c.strip().lstrip("\ufeff") for c in rows[0]] if rows else []
+    kind = "mapping" if mapping is not None else "standard"
+    wanted = set(check_mapping(mapping).values()) if mapping is not None else set(POINT_REQUIRED)
+    skipped = tuple(lines[:1])
+    if not wanted <= set(names):
+        flat = flatten_header(*rows) if mapping is None and len(rows) == 2 else []
+        lacking = sorted((set(TWO_ROW_MAPPING.values()) | set(TWO_ROW_EXTRAS)) - set(flat))
+        if mapping is not None:
+            raise PointFormatError(f"mapped source columns not found {sorted(wanted - set(names))}")
+        if not set(TWO_ROW_MAPPING.values()) <= set(flat):
+            raise PointFormatError("point columns cannot be inferred: give a mapping")
+        if lacking:
+            raise PointFormatError(f"two-row file lacks columns {lacking}")
+        kind, names, skipped = "two-row", flat, tuple(lines[:2])
+    if len({n.lower() for n in names}) < len(names) or "" in names:
+        raise PointFormatError("a column of the header is blank or named twice")
+    return Layout(kind, tuple(names), skipped)
+
+
+def file_layouts(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> tuple[dict[Layout, list[str]], dict[str, str]]:
+    """Files by layout, and the reason for every file that has none."""
+    layouts: dict[Layout, list[str]] = {}
+    refused: dict[str, str] = {}
+    for row in file_heads(spark, path).groupBy("lines").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
+        try:
+            layouts.setdefault(layout_of(row["lines"], mapping), []).extend(row["paths"])
+        except PointFormatError as error:
+            refused |= dict.fromkeys(row["paths"], str(error))
+    return layouts, refused
+
+
+def _read_layout(spark: SparkSession, layout: Layout, paths: list[str], mapping: Mapping[str, str] | None) -> DataFrame:
+    """Rows of the files under the standard names, every column as text, with the file's name."""
+    plain = [f"c{k}" for k in range(len(layout.names))]
+    reader = spark.read.schema(", ".join(f"{c} STRING" for c in plain))
+    if layout.kind == "two-row":
+        raw = reader.csv(paths)
+        for line in layout.skipped:  # rows that are a header line again
+            cells = next(csv.reader([line]), [])
+            alike = [F.coalesce(F.col(c), F.lit("")) == cell for c, cell in zip_longest(plain, cells[: len(plain)], fillvalue="")]
+            raw = raw.filter(~reduce(lambda a, b: a & b, alike))
+        mapping = TWO_ROW_MAPPING
+    else:
+        raw = reader.option("header", "true").csv(paths)
+    name = file_metadata("file_name").alias(FILE)
+    named = raw.select(*[F.col(c).alias(n) for c, n in zip(plain, layout.names)], name)
+    return apply_mapping(named, mapping) if mapping is not None else named
 
 
-def read_points_two_row(spark: SparkSession, path: str) -> DataFrame:
-    """Rows below a two-row header, under the flattened names. All files of the path share the header."""
-    header = _first_lines(spark, path)
-    if len(header) < 2:
-        raise PointFormatError("two header rows are needed")
-    names = flatten_header(*header)
-    missing = sorted((set(TWO_ROW_MAPPING.values()) | set(TWO_ROW_EXTRAS)) - set(names))
-    if missing:
-        raise PointFormatError(f"two-row file lacks columns {missing}")
-    raw = spark.read.schema(", ".join(f"`{n}` STRING" for n in names)).csv(path)
-    is_header = F.lit(False)
-    for row in header:
-        same = F.lit(True)
-        for name, value in padded(names, row):
-            same = same & (F.coalesce(F.col(f"`{name}`"), F.lit("")) == value)
-        is_header = is_header | same
-    return raw.select("*", F.col("_metadata.file_name").alias("_file")).filter(~is_header)
+def read_point_files(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of all readable files, each read under its own header, and the reasons for the others."""
+    layouts, refused = file_layouts(spark, path, mapping)
+    frames = [_read_layout(spark, layout, paths, mapping) for layout, paths in sorted(layouts.items(), key=lambda x: x[1])]
+    return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), refused
 
 
-def read_raw_points(spark: SparkSession, path: str) -> DataFrame:
-    """One-row header, every column as text."""
-    raw = spark.read.option("header", "true").csv(path)
-    return raw.select("*", F.col("_metadata.file_name").alias("_file"))
+def infer_points_format(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> str:
+    """The kinds of all files of the path, comma-separated; an unreadable file is an error that names it."""
+    layouts, refused = file_layouts(spark, path, mapping)
+    _refuse(refused)
+    return ",".join(sorted({layout.kind for layout in layouts}))
 
 
-def infer_points_format(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> str:
-    """mapping if one is given, then standard headers, then the two-row header; otherwise an error."""
-    if mapping is not None:
-        return "mapping"
-    header = _first_lines(spark, path)
-    if header and set(POINT_REQUIRED) <= {c.strip() for c in header[0]}:
-        return "standard"
-    if len(header) == 2:
-        names = flatten_header(*header)
-        if set(TWO_ROW_MAPPING.values()) <= set(names):
-            return "two-row"
-    raise PointFormatError("point columns cannot be inferred: give a mapping")
-
-
-def read_points_csv(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None, check: bool = True) -> DataFrame:
-    """Standard points with the file name as ``origin_csv`` where the file has none."""
-    kind = infer_points_format(spark, path, mapping)
-    if kind == "two-row":
-        points = apply_mapping(read_points_two_row(spark, path).withColumnRenamed("_file", "_f"), TWO_ROW_MAPPING)
-    else:
-        raw = read_raw_points(spark, path).withColumnRenamed("_file", "_f")
-        points = apply_mapping(raw, mapping) if kind == "mapping" else raw
-    return with_origin(validate_points(points, check), F.col("_f")).drop("_f")
+def _refuse(refused: dict[str, str]) -> None:
+    if refused:
+        raise PointFormatError("; ".join(f"{path}: {reason}" for path, reason in sorted(refused.items())))
+
+
+def read_points_csv(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None, check: bool = True) -> DataFrame:
+    """Standard points of all files, with the file name as ``origin_csv`` where the file has none.
+
+    Each file is read under its own header: columns may come in any order, some files may have extra columns, and
+    standard and two-row headers may stand side by side. A file without a known header is an error that names it.
+    """
+    points, refused = read_point_files(spark, path, mapping)
+    _refuse(refused)
+    if points is None:
+        raise PointFormatError("no point file has a header")
+    return with_origin(validate_points(points, check), F.col(FILE)).drop(FILE)
 
 
 def with_origin(points: DataFrame, default: Column | str) -> DataFrame:

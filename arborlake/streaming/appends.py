@@ -8,39 +8,35 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.nodes import canonical_nodes, new_files_only, parse_swc, write_nodes
-from ..sources.points import apply_mapping, validate_points, with_origin
+from ..sources.points import FILE, read_point_files, row_faults, validate_points, with_origin
+from ..functions import file_metadata
 from ..model import NODE_SCHEMA
+from ..session import forget, settle
 
 
 def stream_append_swc(
     spark: SparkSession, folder: str, table: str, checkpoint: str, files_per_batch: int | None = None, once: bool = True,
-    exported: bool = False,
 ) -> StreamingQuery:
     """Append the neurons of new files to a node table.
 
     A file is read whole in one batch. The checkpoint remembers seen files, and the anti join on file_id keeps a
-    batch that is replayed after a lost driver from being added twice. With ``exported`` the folder was written by
-    ``write_swc``: a neuron is a directory of parts that may arrive apart, so nodes are told apart one by one.
+    batch that is replayed after a lost driver from being added twice. The ids of the table are read once, when the stream
+    starts, and kept beside the checkpoint; each batch adds its own, so no batch reads the node table.
     """
-    reader = spark.readStream.format("text")
-    if exported:
-        reader = reader.schema("value string, file_id string")
-    else:
-        reader = reader.schema("value string").option("pathGlobFilter", "*.[sS][wW][cC]").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("text").schema("value string").option("pathGlobFilter", "*.[sS][wW][cC]").option("recursiveFileLookup", "true")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    name = F.col("file_id") if exported else F.col("_metadata.file_name")
-    path = name if exported else F.col("_metadata.file_path")
-    lines = reader.load(folder).select(name.alias("file_id"), path.alias("path"), "value")
+    lines = reader.load(folder).select(file_metadata("file_name").alias("file_id"), file_metadata("file_path").alias("path"), "value")
+    known = f"{checkpoint.rstrip('/')}-known"
+    _table_or_empty(spark, table).select("file_id").distinct().write.mode("overwrite").parquet(known)
 
     def add(batch: DataFrame, _epoch: int) -> None:
+        session = batch.sparkSession
         incoming = canonical_nodes(parse_swc(batch).nodes)
-        present = _table_or_empty(batch.sparkSession, table)
-        if exported:
-            fresh = incoming.join(present.select("file_id", "node_id"), ["file_id", "node_id"], "left_anti")
-        else:
-            fresh = new_files_only(present, incoming)
+        fresh = settle(new_files_only(session.read.parquet(known), incoming))
         write_nodes(fresh, table, mode="append")
+        fresh.select("file_id").distinct().write.mode("append").parquet(known)
+        forget(fresh)
 
     writer = lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -53,35 +49,41 @@ def _table_or_empty(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_append_points(
-    spark: SparkSession, folder: str, columns: list[str], table: str, checkpoint: str, mapping: Mapping[str, str] | None = None,
-    once: bool = True,
+    spark: SparkSession, folder: str, table: str, checkpoint: str, mapping: Mapping[str, str] | None = None,
+    files_per_batch: int | None = None, once: bool = True,
 ) -> StreamingQuery:
-    """Append the points of new CSV files; each file becomes the origin of its rows.
+    """Append the points of new CSV files; each file is read under its own header and is the origin of its rows.
 
-    The file sink records finished batches, so rows arrive exactly once. Rows that break the point rules go to
-    a folder ``<table>_rejected`` instead of stopping the stream.
+    A batch replaces its own part of the table, so rows arrive once even if it is repeated. Files without a known header
+    and rows that break a rule of the point tables go to the folder ``<table>_rejected``, with the reason.
     """
-    reader = spark.readStream.option("header", "true").schema(", ".join(f"`{c}` STRING" for c in columns))
-    raw = reader.csv(folder).select("*", F.col("_metadata.file_name").alias("_f"))
-    points = apply_mapping(raw, mapping) if mapping else raw
-    number = lambda c: F.expr(f"try_cast(trim(`{c}`) AS DOUBLE)")
-    good = F.coalesce(F.trim("label") != "", F.lit(False))
-    for c in "xyz":
-        good = good & number(c).isNotNull() & ~F.isnan(number(c))
+    reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def add(batch: DataFrame, epoch: int) -> None:
-        marked = batch.withColumn("_good", good)
-        ready = with_origin(validate_points(marked.filter("_good").drop("_good"), check=False), F.col("_f")).drop("_f")
-        ready.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(table)
-        bad = marked.filter("NOT _good").drop("_good").withColumn("_epoch", F.lit(epoch))
-        bad.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").json(f"{table}_rejected")
+    def put(rows: DataFrame, epoch: int, kind: str, path: str) -> None:
+        writer = rows.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("_epoch").format(kind).save(path)
 
-    writer = points.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    def add(batch: DataFrame, epoch: int) -> None:
+        session = batch.sparkSession
+        paths = [r["path"] for r in batch.select("path").distinct().collect()]
+        points, refused = read_point_files(session, paths, mapping) if paths else (None, {})
+        bad = session.createDataFrame([(path, reason, None) for path, reason in refused.items()], "file string, reason string, row string")
+        if points is not None:
+            marked = points.withColumn("_faults", row_faults(points))
+            ready = validate_points(marked.filter(F.size("_faults") == 0).drop("_faults"), check=False)
+            put(with_origin(ready, F.col(FILE)).drop(FILE), epoch, "parquet", table)
+            rows = marked.filter(F.size("_faults") > 0)
+            bad = bad.unionByName(rows.select(F.col(FILE).alias("file"), F.concat_ws(",", "_faults").alias("reason"), F.to_json(F.struct(*[f"`{c}`" for c in points.columns])).alias("row")))
+        put(bad, epoch, "json", f"{table}_rejected")
+
+    writer = reader.load(folder).select("path").writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def streamed_points(spark: SparkSession, table: str) -> DataFrame:
     """The table written by the point stream, without its batch number."""
-    return spark.read.parquet(table).drop("_epoch")
+    return spark.read.option("mergeSchema", "true").parquet(table).drop("_epoch")
 
 

@@ -350,19 +350,35 @@ def without_origin(rows):
     return rows.select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere")
 
 
-@query("read_points_csv", "points", f"SELECT {POINT_COLS}, label AS note FROM points")
+FIFTH = "pmod(xxhash64(x, y, z, label), 5)"
+
+
+def mixed_files(t, rows, folder, orders):
+    """Files of different column orders in one folder; the last order also gets an extra column."""
+    columns = rows.columns
+    for k, order in enumerate(orders):
+        own = rows.filter(f"{FIFTH} % {len(orders)} = {k}").select(*sorted(columns, key=order), *([F.lit("n").alias("note")] if k == len(orders) - 1 else []))
+        own.coalesce(1).write.mode("append").option("header", "true").csv(folder)
+
+
+ORDERS = (lambda c: 0, lambda c: c, lambda c: c[::-1])
+
+
+@query("read_points_csv", "points", f"SELECT {POINT_COLS} FROM points")
 def _(t):
     raw = t.points.select(
-        F.col("label").alias("marker"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "id",
-        F.col("hemisphere").alias("side"), F.col("label").alias("note"))
-    path = point_csv(t, raw.withColumnRenamed("id", "region"), "points")
-    mapping = {"label": "marker", "x": "px", "y": "py", "z": "pz", "id": "region", "hemisphere": "side"}
-    return SP.read_points_csv(t.spark, path, mapping).drop("origin_csv")
+        F.col("label").alias("marker"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.col("id").alias("region"),
+        F.col("hemisphere").alias("side"), F.col("region_name").alias("area"), F.col("acronym").alias("short"))
+    path = scratch_path(t.spark, "points")
+    mixed_files(t, raw, path, ORDERS)
+    mapping = {"label": "marker", "x": "px", "y": "py", "z": "pz", "id": "region", "hemisphere": "side", "region_name": "area", "acronym": "short"}
+    return SP.read_points_csv(t.spark, path, mapping).drop("origin_csv", "note")
 
 
-@query("infer_points_format", "points", "SELECT 'standard' AS kind, count(*) AS n FROM points")
+@query("infer_points_format", "points", "SELECT 'standard,two-row' AS kind, 2 * count(*) AS n FROM points")
 def _(t):
     path = point_csv(t, without_origin(t.points), "infer")
+    two_row_files(t, t.points, path)
     return SP.read_points_csv(t.spark, path).agg(F.lit(SP.infer_points_format(t.spark, path)).alias("kind"), F.count("*").alias("n"))
 
 
@@ -377,12 +393,16 @@ def headed(batches):
         yield pd.concat([pd.DataFrame({"value": HEADER}), batch]) if number == 0 else batch
 
 
+def two_row_files(t, rows, path):
+    cells = ["label", "x", "y", "z", F.lit("1"), F.lit("m"), "x", "y", "z", "region_name", "acronym", "id", "hemisphere"]
+    body = rows.select(F.concat_ws(",", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cells]).alias("value"))
+    body.mapInPandas(headed, "value string").write.mode("append").text(path)
+
+
 @query("read_points_two_row", "points", f"SELECT {POINT_COLS}, x::VARCHAR AS experiment_x FROM points")
 def _(t):
     path = scratch_path(t.spark, "two-row")
-    cells = ["label", "x", "y", "z", F.lit("1"), F.lit("m"), "x", "y", "z", "region_name", "acronym", "id", "hemisphere"]
-    body = t.points.select(F.concat_ws(",", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in cells]).alias("value"))
-    body.mapInPandas(headed, "value string").write.text(path)
+    two_row_files(t, t.points, path)
     return SP.read_points_csv(t.spark, path).select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere", "experiment_x")
 
 
@@ -403,12 +423,17 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("convert_points_dir", "points", f"SELECT {POINT_COLS}, {ORIGIN} FROM points")
+@query("convert_points_dir", "points", f"""
+SELECT {POINT_COLS}, {ORIGIN}, FALSE AS two FROM points UNION ALL SELECT {POINT_COLS}, NULL, TRUE FROM points""")
 def _(t):
     folder, out = scratch_path(t.spark, "csv"), scratch_path(t.spark, "points")
-    t.points.select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere", origin_form("origin_csv").alias("origin_csv")).write.option("header", "true").csv(folder)
+    rows = t.points.select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere", origin_form("origin_csv").alias("origin_csv"))
+    mixed_files(t, rows, folder, ORDERS)
+    two_row_files(t, t.points, folder)
     SP.convert_points_dir(t.spark, folder, out)
-    return t.spark.read.parquet(out)
+    two = F.col("strength").isNotNull()
+    done = t.spark.read.parquet(out).withColumn("two", two).withColumn("origin_csv", F.when(~two, F.col("origin_csv")))
+    return done.select("label", "x", "y", "z", "region_name", "acronym", "id", "hemisphere", "origin_csv", "two")
 
 
 # --- morphology text and node tables
@@ -482,8 +507,7 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "swc")
     SN.write_swc(t.nodes, path)
-    lines = t.spark.read.text(path).select("file_id", F.col("file_id").alias("path"), "value")
-    return SN.parse_swc(lines).nodes.select("file_id", "node_id", "type", "x", "y", "z", "radius", "parent_id")
+    return SN.ingest_swc(t.spark, path).nodes.select("file_id", "node_id", "type", "x", "y", "z", "radius", "parent_id")
 
 
 @query("write_profile", "profile", """
@@ -577,20 +601,25 @@ def _(t):
 
 # --- streams
 
-@query("stream_append_swc", "nodes", f"SELECT {TEXT_COLS} FROM nodes")
+@query("stream_append_swc", "nodes", f"""
+SELECT file_id, node_id, type, CASE WHEN file_id LIKE '%1.swc' THEN -1 ELSE x END AS x, y, z, radius, parent_id FROM nodes""")
 def _(t):
     folder, table, state = (scratch_path(t.spark, n) for n in ("incoming", "nodes", "state"))
-    # some neurons are in the table before; the stream brings all of them
-    SN.write_nodes(t.nodes.filter("file_id LIKE '%1.swc'"), table)
+    # some neurons are in the table before, with other coordinates; the stream brings all of them and leaves those alone
+    SN.write_nodes(t.nodes.filter("file_id LIKE '%1.swc'").withColumn("x", F.lit(-1.0)), table)
     SN.write_swc(t.nodes, folder)
-    appends.stream_append_swc(t.spark, folder, table, state, exported=True).awaitTermination()
+    appends.stream_append_swc(t.spark, folder, table, state).awaitTermination()
     return t.spark.read.parquet(table).select("file_id", "node_id", "type", "x", "y", "z", "radius", "parent_id")
 
 
-@query("stream_append_points", "points", f"SELECT {POINT_COLS} FROM points")
+@query("stream_append_points", "points", f"""
+SELECT {POINT_COLS}, NULL AS reason FROM points UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'id' FROM points WHERE label = 'error'""")
 def _(t):
     folder, table, state = (scratch_path(t.spark, n) for n in ("incoming", "points", "state"))
-    rows = without_origin(t.points)
-    rows.write.option("header", "true").csv(folder)
-    appends.stream_append_points(t.spark, folder, rows.columns, table, state).awaitTermination()
-    return appends.streamed_points(t.spark, table).drop("origin_csv")
+    rows = without_origin(t.points).withColumn("id", F.col("id").cast("string"))
+    bad = rows.filter("label = 'error'").withColumn("id", F.lit("7.5"))
+    mixed_files(t, rows.unionByName(bad), folder, ORDERS)
+    appends.stream_append_points(t.spark, folder, table, state).awaitTermination()
+    good = appends.streamed_points(t.spark, table).select(*rows.columns, F.lit(None).cast("string").alias("reason"))
+    rejected = t.spark.read.json(f"{table}_rejected").select("reason")
+    return good.unionByName(rejected, allowMissingColumns=True)

@@ -84,14 +84,54 @@ def test_streams_add_only_new_files(spark, tmp_path):
 def test_point_stream_sets_bad_rows_aside(spark, tmp_path):
     folder, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
     swc(folder, {"one.csv": "label,x,y,z,note\nA,1,2,3,n\n,1,2,3,n\nB,1,no,3,n\n"})
-    appends.stream_append_points(spark, str(folder), ["label", "x", "y", "z", "note"], table, state).awaitTermination()
+    appends.stream_append_points(spark, str(folder), table, state).awaitTermination()
     swc(folder, {"two.csv": "label,x,y,z,note\nC,4,5,6,m\n"})
-    appends.stream_append_points(spark, str(folder), ["label", "x", "y", "z", "note"], table, state).awaitTermination()
+    appends.stream_append_points(spark, str(folder), table, state).awaitTermination()
     rows = sorted((r["label"], r["y"], r["origin_csv"], r["note"]) for r in appends.streamed_points(spark, table).collect())
     assert rows == [("A", 2.0, "one.csv", "n"), ("C", 5.0, "two.csv", "m")]
     assert spark.read.json(f"{table}_rejected").count() == 2
 
 
+def test_each_point_file_has_its_own_header(spark, tmp_path):
+    folder = tmp_path / "p"
+    swc(folder, {"a.csv": "label,x,y,z\nA,10,20,30\n", "b b.csv": "label,z,y,x,id,more\nB,30,20,10,77,m\n", "c.csv": "\ufeffz,label,y,x\n30,C,20,10\n", "empty.csv": "",
+                 "two.csv": HEADER + "M,1,2,3,9,c,10,20,30,Area,A1,11,left\n"})
+    rows = {r["label"]: r for r in SP.read_points_csv(spark, str(folder)).collect()}
+    assert {k: (r["x"], r["y"], r["z"], r["id"], r["more"], r["origin_csv"]) for k, r in rows.items()} == {
+        "A": (10.0, 20.0, 30.0, None, None, "a.csv"), "B": (10.0, 20.0, 30.0, 77, "m", "b b.csv"), "C": (10.0, 20.0, 30.0, None, None, "c.csv"),
+        "M": (10.0, 20.0, 30.0, 11, None, "two.csv")}
+    assert SP.infer_points_format(spark, str(folder)) == "standard,two-row"
+    swc(folder, {"odd.csv": "p,q\n1,2\n"})
+    with pytest.raises(SP.PointFormatError, match="odd.csv"):
+        SP.read_points_csv(spark, str(folder))
+
+
+def test_point_stream_reads_each_header(spark, tmp_path):
+    folder, table, state = tmp_path / "in", str(tmp_path / "t"), str(tmp_path / "state")
+    swc(folder, {"a.csv": "label,x,y,z\nA,10,20,30\n", "b.csv": "z,y,x,label,id,more\n30,20,10,B,7,m\n30,20,10,B,7.5,m\n30,20,10,B,abc,m\n", "odd.csv": "p,q\n1,2\n"})
+    appends.stream_append_points(spark, str(folder), table, state).awaitTermination()
+    swc(folder, {"two.csv": HEADER + "M,1,2,3,9,c,10,20,30,Area,A1,11,left\n"})
+    appends.stream_append_points(spark, str(folder), table, state).awaitTermination()
+    rows = sorted((r["label"], r["x"], r["z"], r["id"], r["more"], r["strength"]) for r in appends.streamed_points(spark, table).collect())
+    assert rows == [("A", 10.0, 30.0, None, None, None), ("B", 10.0, 30.0, 7, "m", None), ("M", 10.0, 30.0, 11, None, "9")]
+    bad = sorted((r["file"].rsplit("/", 1)[-1], r["reason"]) for r in spark.read.json(f"{table}_rejected").collect())
+    assert bad[:2] == [("b.csv", "id"), ("b.csv", "id")] and bad[2][0] == "odd.csv" and len(bad) == 3
+
+
+def test_written_morphology_is_read_back(spark, tmp_path):
+    found = SN.ingest_swc(spark, swc(tmp_path / "in", FILES | {"odd name=1.swc": "1 1 0.1235 0 0 1 -1\n"})).nodes
+    out = str(tmp_path / "out")
+    SN.write_swc(found, out)
+    again = SN.ingest_swc(spark, out)
+    assert again.failures.count() == 0
+    keep = ["file_id", "node_id", "type", F.round("x", 3).alias("x"), "parent_id"]
+    assert sorted(map(tuple, again.nodes.select(*keep).collect())) == sorted(map(tuple, found.select(*keep).collect()))
+    SN.write_swc(found, out)
+    assert SN.ingest_swc(spark, out).nodes.count() == found.count()
+    with pytest.raises(FileExistsError):
+        SN.write_swc(found, out, mode="error")
+
+
 HEADER = "Marker,Experiment,,,,Channels,Atlas,,,Region,,,\nMarker,x,y,z,strength,channel mono channel,x,y,z,name,acronym,id,hemisphere\n"
 
 
