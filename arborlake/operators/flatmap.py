@@ -12,9 +12,8 @@ from ..functions import clamp
 from ..model import CORTICAL_LAYERS, INVALID_CODES, SOMA, Grid, all_finite, col, finite
 from ..session import keep_keys, lookup_join
 from .pearson import PearsonResult, pearson
+from .volumes import scoped_nodes
 
-MAX_VOXELS = 100_000_000
-MAX_SEGMENTS = 250_000
 MIRROR_MIDLINE_UM = 5687.5
 
 
@@ -51,8 +50,6 @@ class FlatGrid:
             object.__setattr__(self, "x_bins", max(1, math.floor(self.y_bins * aspect + 0.5)))
         if self.x_bins < 1:
             raise ValueError("bins must be positive")
-        if self.cells > MAX_VOXELS:
-            raise ValueError("the flatmap grid has too many voxels: use fewer bins or a larger depth bin")
 
     @property
     def offset(self) -> int:
@@ -139,16 +136,26 @@ def linear_bin(grid: FlatGrid) -> Column:
     return plane if grid.collapse_depth else F.col("depth_bin") * grid.plane_size + plane
 
 
-def flat_counts(df: DataFrame, grid: FlatGrid, node_filter=None) -> DataFrame:
-    """(file_id, voxel, c) on the flatmap grid."""
-    rows = df if node_filter is None else node_filter.apply(df, df)
+def flat_counts(
+    df: DataFrame, grid: FlatGrid, node_filter=None, voxels: Grid | None = None, file_ids=None,
+    include: DataFrame | None = None, exclude: DataFrame | None = None,
+) -> DataFrame:
+    """(file_id, voxel, c) on the flatmap grid, of the chosen files and of nodes inside and outside the masks of ``voxels``."""
+    if include is not None or exclude is not None:
+        rows = scoped_nodes(df, voxels, file_ids, include, exclude, node_filter)
+    else:
+        rows = df if file_ids is None else keep_keys(df, file_ids)
+        rows = rows if node_filter is None else node_filter.apply(rows, rows)
     return flatmap_bins(rows, grid).groupBy(F.col("file_id").cast("string").alias("file_id"), linear_bin(grid).alias("voxel")).agg(
         F.count(F.lit(1)).alias("c")
     )
 
 
-def flatmap_pearson(df: DataFrame, grid: FlatGrid, node_filter=None) -> PearsonResult:
-    return pearson(flat_counts(df, grid, node_filter), "flatmap")
+def flatmap_pearson(
+    df: DataFrame, grid: FlatGrid, node_filter=None, voxels: Grid | None = None, file_ids=None,
+    include: DataFrame | None = None, exclude: DataFrame | None = None,
+) -> PearsonResult:
+    return pearson(flat_counts(df, grid, node_filter, voxels, file_ids, include, exclude), "flatmap")
 
 
 def flatmap_stats(df: DataFrame, grid: FlatGrid) -> DataFrame:
@@ -437,10 +444,8 @@ def projection_summary(projected: DataFrame, segments: DataFrame | None = None)
     return out if segments is None else out.withColumn("rendered_segments", segments.agg(F.count(F.lit(1))).scalar())
 
 
-def segment_pixels(segments: DataFrame, grid: FlatGrid, limit: int = MAX_SEGMENTS) -> DataFrame:
-    """Segment start and direction in image pixels; more than the limit is refused, never cut."""
-    if segments.limit(limit + 1).count() > limit:
-        raise ValueError(f"more than {limit} segments: select fewer neurons or use a heatmap")
+def segment_pixels(segments: DataFrame, grid: FlatGrid) -> DataFrame:
+    """Segment start and direction in image pixels, for any number of segments."""
     def pixel(name, bounds, bins):
         scaled = (F.col(name).cast("double") - F.lit(bounds[0])) / F.lit(bounds[1] - bounds[0]) * bins - F.lit(0.5)
         return F.least(F.greatest(scaled, F.lit(-0.5)), F.lit(bins - 0.5))

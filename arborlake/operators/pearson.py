@@ -82,7 +82,7 @@ def ccf_pearson(counts: DataFrame, corrected: bool = True) -> DataFrame:
 def corr_matrix(table: DataFrame) -> DataFrame:
     """The complete square in row order, symmetric, diagonal 1; an incomplete or undefined table is an error.
 
-    The square stays in long form; ``pivot_matrix`` widens a small one for export.
+    The square stays in long form, which has no width to run out of.
     """
     table = settle(table)
     bad = ~(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") < F.lit(float("inf"))))
@@ -100,14 +100,3 @@ def corr_matrix(table: DataFrame) -> DataFrame:
     return means.select(F.explode(both).alias("p"), value.alias("r")).select(
         F.col("p.i").alias("swc_id_1"), F.col("p.j").alias("swc_id_2"), "r"
     ).orderBy("swc_id_1", "swc_id_2")
-
-
-MAX_PIVOT = 5000
-
-
-def pivot_matrix(square: DataFrame, value: str = "r") -> DataFrame:
-    """One row and one column per id, for matrices that fit a sheet."""
-    ids = [r[0] for r in square.select("swc_id_1").distinct().orderBy("swc_id_1").limit(MAX_PIVOT + 1).collect()]
-    if len(ids) > MAX_PIVOT:
-        raise ValueError(f"more than {MAX_PIVOT} columns: keep the long form")
-    return square.groupBy("swc_id_1").pivot("swc_id_2", ids).agg(F.first(value)).orderBy("swc_id_1")

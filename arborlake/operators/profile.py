@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
-from .. import session
 from ..session import lookup_join, settle
 from .topology import validate_trees
 
@@ -29,79 +28,95 @@ def _crossings(axis: str, size: int, step: float) -> Column:
     return F.coalesce(F.transform(inner, lambda k: (k * F.lit(step) - a) / width), none)
 
 
-def split_edges(tree_edges: DataFrame, grid: Grid) -> DataFrame:
-    """Cut every edge at voxel planes and the midline.
+def _cuts(rows: DataFrame, grid: Grid) -> Column:
+    """Edge parameters 0 < … < 1 at which an edge changes voxel or side; an edge inside one voxel and side has none.
 
-    Adds per portion t0, t1, length_um, its voxel (null outside the grid) and physical side; all from array
-    expressions of the edge row, so an edge never leaves its task.
+    Crossings closer than ``GAP`` become one cut, so no length is lost between them.
     """
     axis = "xyz"[grid.lr_axis]
     a, b, mid = F.col(f"{axis}1"), F.col(f"{axis}2"), F.lit(float(grid.midline_um))
     none = F.array().cast("array<double>")
-    at = (mid - a) / F.nullif(b - a, F.lit(0.0))
-    midline = F.when((a != b), F.filter(F.array(at), lambda t: (t > 0) & (t < 1)))
-    cuts = F.concat(
-        F.array(F.lit(0.0), F.lit(1.0)), *[_crossings(n, s, r) for n, s, r in zip("xyz", grid.shape, grid.resolution)],
-        F.coalesce(midline, none),
-    )
-    cuts = F.array_sort(F.filter(cuts, lambda t: (t >= 0) & (t <= 1)))
+    at = F.when(F.least(a, b) < mid, F.when(F.greatest(a, b) > mid, F.array((mid - a) / (b - a))))
+    inside = F.lit(True)
+    for name, step in zip("xyz", grid.resolution):
+        inside = inside & (F.floor(F.col(f"{name}1") / F.lit(step)) == F.floor(F.col(f"{name}2") / F.lit(step)))
+    crossings = F.concat(*[_crossings(n, s, r) for n, s, r in zip("xyz", grid.shape, grid.resolution)], F.coalesce(at, none))
+    return F.when(inside & at.isNull(), none).otherwise(F.array_sort(F.filter(crossings, lambda t: (t > GAP) & (t < 1 - GAP))))
+
+
+def _portions(rows: DataFrame, grid: Grid) -> DataFrame:
+    """Adds ``_p``, the array of (t0, t1) of an edge's portions, and its length ``_length``; an edge of no length has none."""
     squares = [F.pow(F.col(f"{n}2") - F.col(f"{n}1"), F.lit(2.0)) for n in "xyz"]
-    rows = tree_edges.withColumn("_length", F.sqrt(squares[0] + squares[1] + squares[2])).filter("_length > 0")
-    rows = rows.withColumn("_cuts", cuts)
-    pair = F.transform(
-        F.sequence(F.lit(1), F.size("_cuts") - 1),
-        lambda i: F.struct(F.element_at("_cuts", i).alias("t0"), F.element_at("_cuts", i + 1).alias("t1")),
-    )
-    pieces = rows.withColumn("_p", F.explode(F.filter(pair, lambda p: p["t1"] - p["t0"] > F.lit(GAP)))).drop("_cuts")
-    t = (F.col("_p.t0") + F.col("_p.t1")) / F.lit(2.0)
+    rows = rows.withColumns({"_length": F.sqrt(squares[0] + squares[1] + squares[2]), "_inner": _cuts(rows, grid)})
+    merged = F.filter("_inner", lambda t, i: (i == 0) | (t - F.get("_inner", i - 1) > F.lit(GAP)))
+    rows = rows.withColumn("_inner", F.when(F.size("_inner") < 2, F.col("_inner")).otherwise(merged))
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(0.0)), "_inner").alias("t0"), F.concat("_inner", F.array(F.lit(1.0))).alias("t1"))
+    return rows.withColumn("_p", F.when(F.col("_length") > 0, pairs)).drop("_inner")
+
+
+def _portion_place(grid: Grid) -> dict[str, Column]:
+    """Voxel (null outside the grid) and physical side of the portion (t0, t1), by its middle."""
+    axis = "xyz"[grid.lr_axis]
+    a, b, mid = F.col(f"{axis}1"), F.col(f"{axis}2"), F.lit(float(grid.midline_um))
+    t = (F.col("t0") + F.col("t1")) / F.lit(2.0)
     middle = {n: F.col(f"{n}1") + t * (F.col(f"{n}2") - F.col(f"{n}1")) for n in "xyz"}
     index = [F.floor(middle[n] / F.lit(r)) for n, r in zip("xyz", grid.resolution)]
     side = F.when((a == mid) & (b == mid), "midline").when(middle[axis] < mid, "lower").otherwise("upper")
+    return {"voxel": F.when(grid.holds(*index), grid.linear(*index)), "side": side}
+
+
+def split_edges(tree_edges: DataFrame, grid: Grid) -> DataFrame:
+    """Cut every edge at voxel planes and the midline.
+
+    Adds per portion t0, t1, length_um, its voxel (null outside the grid) and physical side; all from array
+    expressions of the edge row, so an edge never leaves its task.
+    """
+    pieces = _portions(tree_edges, grid).select(*tree_edges.columns, "_length", F.inline("_p"))
+    place = _portion_place(grid)
     return pieces.select(
-        *tree_edges.columns, F.col("_p.t0").alias("t0"), F.col("_p.t1").alias("t1"),
-        ((F.col("_p.t1") - F.col("_p.t0")) * F.col("_length")).alias("length_um"),
-        F.when(grid.holds(*index), grid.linear(*index)).alias("voxel"), side.alias("side"),
+        *tree_edges.columns, "t0", "t1", ((F.col("t1") - F.col("t0")) * F.col("_length")).alias("length_um"),
+        place["voxel"].alias("voxel"), place["side"].alias("side"),
     )
 
 
-def _compartment() -> Column:
-    return F.when(F.col("type") == SOMA, "soma").otherwise("neurite")
+def _compartment(kind: Column) -> Column:
+    return F.when(kind == SOMA, "soma").otherwise("neurite")
 
 
-def node_side(grid: Grid) -> Column:
-    c, mid = F.col("xyz"[grid.lr_axis]), F.lit(float(grid.midline_um))
+def node_side(grid: Grid, suffix: str = "") -> Column:
+    c, mid = F.col("xyz"[grid.lr_axis] + suffix), F.lit(float(grid.midline_um))
     return F.when(c == mid, "midline").when(c < mid, "lower").otherwise("upper")
 
 
-def cable_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
-    """(file_id, region_id, side, compartment, cable).
+def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
+    """(file_id, region_id, side, compartment, cable, termini): edges by the region of their portions, termini by their own.
 
-    With a volume that fits a broadcast each portion finds its region at once and folds to a few rows per file before
-    the shuffle. A larger volume is joined after the portions are summed per voxel, so that fewer rows move.
+    One join finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
+    terminus unless it is a soma. Cable is summed per voxel before the regions of voxels are looked up, whatever the size
+    of the volume, so the sums do not depend on it.
     """
-    child = nodes.select("file_id", "parent_id", "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    parent = nodes.select("file_id", F.col("node_id").alias("parent_id"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    portions = split_edges(child.join(parent, ["file_id", "parent_id"]), grid).select(
-        "file_id", "voxel", "side", _compartment().alias("compartment"), F.col("length_um").alias("cable")
+    parent = nodes.select("file_id", "node_id", F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    child = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
+    met = _portions(parent.join(child, ["file_id", "node_id"], "left"), grid)
+    met = met.select("file_id", "own_type", "own_region", "type", *[f"{c}{k}" for c in "xyz" for k in (1, 2)], "_length", F.inline_outer("_p"))
+    place, childless = _portion_place(grid), F.col("type").isNull()
+    own = node_side(grid, "2")
+    rows = met.select(
+        "file_id", F.when(~childless, place["voxel"]).alias("voxel"), F.when(childless, F.col("own_region")).alias("own_region"),
+        F.when(childless, own).otherwise(place["side"]).alias("side"), _compartment(F.when(childless, F.col("own_type")).otherwise(F.col("type"))).alias("compartment"),
+        F.coalesce((F.col("t1") - F.col("t0")) * F.col("_length"), F.lit(0.0)).alias("cable"),
+        F.when(childless & (F.col("own_type") != SOMA), 1).otherwise(0).cast("long").alias("termini"), childless.alias("_end"),
     )
+    sums = rows.groupBy("file_id", "voxel", "own_region", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
     volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("voxel"), "region_id")
-    if session.fits_broadcast(volume):
-        joined = portions.join(F.broadcast(volume), "voxel", "left")
-    else:
-        sums = portions.groupBy("file_id", "voxel", "side", "compartment").agg(F.sum("cable").alias("cable"))
-        joined = lookup_join(sums, volume, "voxel", "left", salt_by=["file_id", "side"], check=False)
-    region = F.coalesce("region_id", F.lit(0))
-    return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"))
+    joined = lookup_join(sums.filter("_end OR cable > 0"), volume, "voxel", "left", salt_by=["file_id", "side"])
+    region = F.when(F.col("_end"), F.col("own_region")).otherwise(F.coalesce("region_id", F.lit(0)))
+    return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
 
 
 def node_rows(nodes: DataFrame, grid: Grid) -> DataFrame:
-    """(file_id, region_id, side, compartment, nodes, termini); a terminus is a childless node other than the soma."""
-    parents = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), F.lit(True).alias("_has_child")).distinct()
-    rows = nodes.select("file_id", "node_id", "type", "region_id", *"xyz").join(parents, ["file_id", "node_id"], "left")
-    ends = F.col("_has_child").isNull() & (F.col("type") != SOMA)
-    return rows.groupBy("file_id", "region_id", node_side(grid).alias("side"), _compartment().alias("compartment")).agg(
-        F.count(F.lit(1)).alias("nodes"), F.count_if(ends).alias("termini")
-    )
+    """(file_id, region_id, side, compartment, nodes): counts alone, so nothing but partial sums moves."""
+    return nodes.groupBy("file_id", "region_id", node_side(grid).alias("side"), _compartment(F.col("type")).alias("compartment")).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def soma_sides(nodes: DataFrame, grid: Grid) -> DataFrame:
@@ -114,20 +129,24 @@ def soma_sides(nodes: DataFrame, grid: Grid) -> DataFrame:
 def build_profile(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid, validate: bool = True) -> DataFrame:
     """The profile of valid trees; with ``validate`` the first broken rules raise.
 
-    Sides are relative to the soma, so they are resolved after both parts are folded to a few rows per file:
-    the node table is never joined with the soma table.
+    Sides are relative to the soma, so they are resolved after both parts are folded to a few rows per file: the node
+    table is never joined with the soma table, and moves twice, as parents and as children.
     """
     if validate:
-        issues = validate_trees(nodes, structures).orderBy("file_id", "issue").limit(20).collect()
-        if issues:
-            raise ValueError("trees failed validation: " + "; ".join(f"{r['file_id']}: {r['issue']} ({r['n']})" for r in issues))
+        issues = settle(validate_trees(nodes, structures))
+        totals = {r["issue"]: (r["files"], r["n"]) for r in issues.groupBy("issue").agg(F.count(F.lit(1)).alias("files"), F.sum("n").alias("n")).collect()}
+        if totals:
+            first = issues.agg(F.min(F.struct("file_id", "issue"))).first()[0]
+            what = "; ".join(f"{issue}: {n} in {files} files" for issue, (files, n) in sorted(totals.items()))
+            raise ValueError(f"trees failed validation: {what}; the first is {first['file_id']}: {first['issue']}")
         foreign = annotation.select("region_id").distinct().filter("region_id <> 0").join(
-            structures.select(F.col("id").alias("region_id")), "region_id", "left_anti").limit(5).collect()
-        if foreign:
-            raise ValueError(f"annotation regions absent from the hierarchy: {[r[0] for r in foreign]}")
-    cable = cable_rows(nodes, annotation, grid).select("*", F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("termini"))
-    counted = node_rows(nodes, grid).withColumn("cable", F.lit(0.0))
-    rows = cable.unionByName(counted)
+            structures.select(F.col("id").alias("region_id")), "region_id", "left_anti").agg(
+            F.count(F.lit(1)).alias("n"), F.min("region_id").alias("first")).first()
+        if foreign["n"]:
+            raise ValueError(f"{foreign['n']} annotation regions absent from the hierarchy, the smallest is {foreign['first']}")
+    trees = tree_rows(nodes, annotation, grid).withColumn("nodes", F.lit(0).cast("long"))
+    counted = node_rows(nodes, grid).withColumns({"cable": F.lit(0.0), "termini": F.lit(0).cast("long")})
+    rows = trees.unionByName(counted)
     rows = lookup_join(rows, soma_sides(nodes, grid), "file_id", "left", salt_by=["region_id", "side"], check=False)
     known = F.coalesce(F.col("soma_side").isin("lower", "upper"), F.lit(False))
     laterality = (

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -69,54 +68,31 @@ class Assignments:
     cohort: DataFrame  # assignment_id, file_id
     runs: tuple[dict, ...] = ()
 
-    def next_run_name(self, method: str) -> str:
-        """``<method> N`` with the next number of that method, made unique."""
-        prefix = method.strip() or "Cluster Assignment"
-        numbered = re.compile(rf"^{re.escape(prefix)}\s+(\d+)$", re.IGNORECASE)
-        used = [0]
-        for run in self.runs:
-            found = numbered.match(run["name"])
-            if str(run.get("method") or "").casefold() == prefix.casefold() and run.get("run_index") is not None:
-                used.append(int(run["run_index"]))
-            elif found:
-                used.append(int(found.group(1)))
-        return self.unique_name(f"{prefix} {max(used) + 1}")
-
-    def unique_name(self, base: str) -> str:
-        taken = {r["name"].casefold() for r in self.runs}
-        name, index = base, 2
-        while name.casefold() in taken:
-            name, index = f"{base} {index}", index + 1
-        return name
-
-    def unique_column(self, name: str) -> str:
-        base = "cluster_" + (re.sub(r"[^0-9a-z]+", "_", name.lower()).strip("_") or "assignment")
-        taken, column, index = {r["column_name"] for r in self.runs}, base, 2
-        while column in taken:
-            column, index = f"{base}_{index}", index + 1
-        return column
-
-    def add(self, assignment_id: str, labels: DataFrame, cohort: DataFrame, method: str, name: str | None = None, **facts) -> Assignments:
-        """Append a run; its labels and cohort become part of the tables."""
-        if any(r["assignment_id"] == assignment_id for r in self.runs):
-            raise ValueError(f"assignment {assignment_id} exists")
-        name = self.unique_name(name) if name else self.next_run_name(method)
-        found = re.search(r"(\d+)$", name)
-        run = {"assignment_id": assignment_id, "name": name, "column_name": self.unique_column(name), "method": method,
-               "run_index": int(found.group(1)) if found else None, **facts}
+    def add(self, assignment_id: str, labels: DataFrame, cohort: DataFrame, name: str, column: str, **facts) -> Assignments:
+        """Append a run; its labels and cohort become part of the tables. Id, name and column must be new."""
+        run = {"assignment_id": assignment_id, "name": name.strip(), "column_name": column, **facts}
+        self._refuse_twins(run)
         own = F.lit(assignment_id).alias("assignment_id")
         rows = labels.filter("label IS NOT NULL").select(own, F.col("file_id").cast("string").alias("file_id"), F.col("label").cast("int").alias("label"))
         scope = cohort.select(own, F.col("file_id").cast("string").alias("file_id")).distinct()
         return Assignments(self.labels.unionByName(rows), self.cohort.unionByName(scope), (*self.runs, run))
 
+    def _refuse_twins(self, run: dict) -> None:
+        """Runs differ in id, name and column, whatever their case, and none of these is blank."""
+        for key in ("assignment_id", "name", "column_name"):
+            if not run[key] or any(r[key].lower() == run[key].lower() for r in self.runs):
+                raise ValueError(f"{key} {run[key]!r} is blank or in use")
+
     def drop(self, assignment_id: str) -> Assignments:
         keep = F.col("assignment_id") != assignment_id
         return Assignments(self.labels.filter(keep), self.cohort.filter(keep), tuple(r for r in self.runs if r["assignment_id"] != assignment_id))
 
     def rename(self, assignment_id: str, name: str) -> Assignments:
-        others = Assignments(self.labels, self.cohort, tuple(r for r in self.runs if r["assignment_id"] != assignment_id))
-        return Assignments(self.labels, self.cohort, tuple(
-            {**r, "name": others.unique_name(name.strip() or r["name"])} if r["assignment_id"] == assignment_id else r for r in self.runs))
+        (run,) = (r for r in self.runs if r["assignment_id"] == assignment_id)
+        others = Assignments(self.labels, self.cohort, tuple(r for r in self.runs if r is not run))
+        changed = run | {"name": name.strip()}
+        others._refuse_twins(changed)
+        return Assignments(self.labels, self.cohort, tuple(changed if r is run else r for r in self.runs))
 
     def of(self, assignment_id: str) -> DataFrame:
         return self.labels.filter(F.col("assignment_id") == assignment_id).select("file_id", "label")

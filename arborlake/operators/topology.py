@@ -10,7 +10,6 @@ from ..model import AXON, SOMA, all_finite
 from ..session import keep_keys, lookup_join, settle, union_all
 
 TERMINUS_TYPES = (AXON,)
-MAX_REPORTED_IDS = 200
 
 
 def edges(nodes: DataFrame, file_ids=None) -> DataFrame:
@@ -53,16 +52,18 @@ def termini_coverage(nodes: DataFrame, types: Iterable[int] | None = TERMINUS_TY
 
 
 def coverage_report(coverage: DataFrame) -> dict:
-    """Totals and the first ids without a terminus of the chosen types."""
-    row = coverage.agg(
+    """Totals of a coverage table; ``files_without_termini`` lists the files."""
+    return coverage.agg(
         F.count(F.lit(1)).alias("cells_requested"), F.coalesce(F.sum("termini"), F.lit(0)).alias("termini_found"),
         F.coalesce(F.sum("other_childless"), F.lit(0)).alias("childless_nodes_excluded"),
         F.count_if(F.col("termini") > 0).alias("cells_with_selected_types"),
         F.count_if(F.col("termini") == 0).alias("cells_without_selected_types"),
     ).first().asDict()
-    first = coverage.filter("termini = 0").select("file_id").orderBy("file_id").limit(MAX_REPORTED_IDS)
-    row["file_ids_without"] = [r[0] for r in first.collect()]
-    return row
+
+
+def files_without_termini(coverage: DataFrame) -> DataFrame:
+    """All files that have no terminus of the chosen types."""
+    return coverage.filter("termini = 0").select("file_id")
 
 
 def slab_segments(tree_edges: DataFrame, axis: str, position: float, tolerance: float) -> DataFrame:

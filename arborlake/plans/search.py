@@ -14,7 +14,7 @@ from ..operators.filters import VoxelNodeFilter
 from ..operators.flatmap import FlatGrid, flat_counts
 from ..operators.pearson import POLICIES
 from ..operators.volumes import lut_counts, scoped_nodes, voxel_counts
-from ..session import keep_keys, lookup_join, settle
+from ..session import forget, keep_keys, lookup_join, settle
 
 
 @dataclass(frozen=True)
@@ -115,11 +115,10 @@ def search_counts(
     nodes: DataFrame, request: VoxelSearch, grid: Grid | None = None, include: DataFrame | None = None,
     exclude: DataFrame | None = None, lut: DataFrame | None = None,
 ) -> DataFrame:
-    """Counts of the whole scope, references included."""
+    """Counts of the whole scope, references included. Masks hold in either space: they are about where a node is."""
     scope = None if request.candidates is None else (*request.candidates, *request.references)
     if request.space == "flatmap":
-        rows = nodes if scope is None else keep_keys(nodes, scope)
-        return flat_counts(rows, request.flat, request.node_filter)
+        return flat_counts(nodes, request.flat, request.node_filter, grid, scope, include, exclude)
     rows = scoped_nodes(nodes, grid, scope, include, exclude, request.node_filter)
     return lut_counts(rows, grid, lut) if lut is not None else voxel_counts(rows, request.resolution_um)
 

@@ -266,7 +266,7 @@ def stored(t):
     empty = t.spark.createDataFrame([], "assignment_id string, file_id string, label int")
     cohort = t.annotations.select("file_id")
     runs = N.Assignments(empty, empty.select("assignment_id", "file_id"))
-    return runs.add("A", run(t, "A"), cohort, "Soma").add("B", run(t, "B"), cohort, "Soma", scope="whole")
+    return runs.add("A", run(t, "A"), cohort, "Soma 1", "cluster_soma_1").add("B", run(t, "B"), cohort, "Soma 2", "cluster_soma_2", scope="whole")
 
 
 @query("cluster_assignments", "annotations lb", """

@@ -1,5 +1,7 @@
 """Pearson, similarity search and the flatmap."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import flatmap as M, pearson as P, regions as R, volumes as V
@@ -7,7 +9,7 @@ from ..operators.filters import VoxelNodeFilter
 from ..operators.flatmap import FlatGrid, Projection
 from ..operators.pairs import all_pairs, symmetric_pairs
 from ..plans import search as S
-from ..workload.registry import query, relation
+from ..workload.registry import RELATIONS, query, relation
 from ..workload.voxels import cortex
 
 relation("stats", "SELECT file_id, sum(c)::DOUBLE AS sx, sum(c * c)::DOUBLE AS sxx FROM counts GROUP BY file_id", "counts")
@@ -220,7 +222,7 @@ def _(t):
     return rounded(M.flatmap_pearson(t.nodes, grid(t)).table(), "r")
 
 
-@query("voxel_search_flatmap", "fcounts fstats nodes", """
+FLAT_HITS = """
 WITH f AS (SELECT min(file_id) AS ref FROM nodes), q AS (SELECT voxel, c AS q FROM fcounts JOIN f ON file_id = ref),
 qs AS (SELECT sum(q) AS sy, sum(q * q) AS syy FROM q),
 x AS (SELECT file_id, coalesce(sum(c * q), 0) AS sxy FROM fcounts LEFT JOIN q USING (voxel) GROUP BY file_id),
@@ -228,12 +230,59 @@ r AS (SELECT file_id, 1 - greatest(-1, least(1, coalesce((v * sxy - sx * sy) / n
       FROM x JOIN fstats USING (file_id), qs),
 h AS (SELECT r.* FROM r, f WHERE file_id <> ref ORDER BY d, file_id LIMIT 12)
 SELECT CAST(row_number() OVER (ORDER BY d, file_id) AS INT) AS rank, file_id, neuron_id, subject, round(d, 6) AS pearson_distance
-FROM h JOIN (SELECT file_id, min(neuron_id) AS neuron_id, min(subject) AS subject FROM nodes GROUP BY file_id) c USING (file_id)""")
+FROM h JOIN (SELECT file_id, min(neuron_id) AS neuron_id, min(subject) AS subject FROM nodes GROUP BY file_id) c USING (file_id)"""
+
+
+@query("voxel_search_flatmap", "fcounts fstats nodes", FLAT_HITS)
 def _(t):
     request = S.VoxelSearch((first_file(t),), top_n=12, space="flatmap", flat=grid(t))
     return rounded(S.voxel_search(t.nodes, request), "pearson_distance")
 
 
+# --- inside and outside masks of voxels
+
+INSIDE = """floor(x / 25) < 12 AND NOT (floor(x / 25) BETWEEN 4 AND 9 AND floor(y / 25) BETWEEN 2 AND 6 AND floor(z / 25) BETWEEN 3 AND 8)"""
+
+
+def masked(name):
+    """The relation of this name, made from masked nodes or bins; its own relations are called ``m_`` too."""
+    old, new = RELATIONS[name], f"m_{name}"
+    mine = [n for n in ("counts", "bins", "stats", "universe", "first_file", "fcounts", "fstats") if re.search(rf"\b{n}\b", old) and n != name]
+    relation(new, in_mask(old), *[f"m_{n}" for n in mine])
+
+
+def in_mask(sql):
+    return re.sub(r"\b(counts|bins|stats|universe|first_file|fcounts|fstats|flat_r)\b", r"m_\1", sql)
+
+
+relation("m_nodes", f"SELECT * FROM nodes WHERE {INSIDE}", "nodes")
+relation("m_bins", f"SELECT * FROM bins WHERE {INSIDE}", "bins")
+relation("m_counts", RELATIONS["counts"].replace("FROM nodes", "FROM m_nodes"), "m_nodes")
+for _name in ("universe", "first_file", "fcounts", "fstats", "flat_r"):
+    masked(_name)
+
+
+def masks(t):
+    return {"include": t.annotation.filter("ai < 12").select("ai", "bi", "ci"), "exclude": t.mask}
+
+
+@query("voxel_search_ccf_masked", "m_counts m_universe m_first_file nodes", in_mask(HITS.format(10)))
+def _(t):
+    request = S.VoxelSearch((first_file(t),), top_n=10)
+    return rounded(S.voxel_search(t.nodes, request, t.grid, **masks(t)), "pearson_distance")
+
+
+@query("flatmap_pearson_masked", "m_flat_r m_fstats", SQUARE.format("m_flat_r", "m_fstats"))
+def _(t):
+    return rounded(M.flatmap_pearson(t.nodes, grid(t), voxels=t.grid, **masks(t)).table(), "r")
+
+
+@query("voxel_search_flatmap_masked", "m_fcounts m_fstats nodes", in_mask(FLAT_HITS))
+def _(t):
+    request = S.VoxelSearch((first_file(t),), top_n=12, space="flatmap", flat=grid(t))
+    return rounded(S.voxel_search(t.nodes, request, t.grid, **masks(t)), "pearson_distance")
+
+
 # --- projection
 
 relation("direct", """
