@@ -85,11 +85,11 @@ class Tree:
     def gaps(self) -> DataFrame:
         """(position, height …): the merge that joins each leaf with the next one."""
         rows = self.merges.join(self.starts, "node")
-        return rows.select((F.col("start") + F.col("left_size") - 1).alias("position"), "height", "round", "left_id")
+        return rows.select((F.col("start") + F.col("left_size") - 1).alias("position"), "height", "size", "left_id")
 
     def ordered_merges(self) -> DataFrame:
-        """Merges numbered from 1 by height."""
-        return number_rows(self.merges, ["height", "round", "left_id"], "step", start=1)
+        """Merges numbered from 1 by height; of equal ones the smaller cluster, then the smaller first member."""
+        return number_rows(self.merges, ["height", "size", "left_id"], "step", start=1)
 
 
 def _distance(method: str) -> Column:
@@ -101,51 +101,53 @@ def _distance(method: str) -> Column:
 
 _MERGES = (
     "node string, left_node string, right_node string, left_id string, right_id string, height double, size long, "
-    "left_size long, round int"
+    "left_size long"
 )
 
 
 def _last_merges(method: str, start: int):
-    """Merge the last few clusters in order of distance, the smaller ids on a tie."""
+    """Merge the last few clusters in rounds of reciprocal nearest ones, the smaller id on a tie, as the rounds of jobs do."""
 
     def finish(rows: pd.DataFrame) -> pd.DataFrame:
         ids = sorted(set(rows["a"]) | set(rows["b"]))
         at = {v: i for i, v in enumerate(ids)}
         a, b = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
-        s = np.full((len(ids), len(ids)), np.inf)
+        s = np.zeros((len(ids), len(ids)))
         n, w, key = np.ones(len(ids)), np.zeros(len(ids)), np.array(ids, dtype=object)
         s[a, b] = s[b, a] = rows["s"]
         for side, index in (("a", a), ("b", b)):
             n[index], w[index], key[index] = rows[f"n{side}"], rows[f"w{side}"], rows[f"k{side}"]
-        out, upper = [], np.triu(np.ones(s.shape, dtype=bool), 1)
-        for step in range(len(ids) - 1):
+        out, active = [], list(range(len(ids)))
+        while len(active) > 1:
             d = s
             if method == "ward":
                 between = s - w[:, None] - w[None, :]
                 d = np.sqrt(np.maximum(2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * between, 0.0))
-            i, j = np.unravel_index(np.argmin(np.where(upper, d, np.inf)), s.shape)
-            size, node = n[i] + n[j], f"{start + step}:{ids[i]}"
-            out.append((node, key[i], key[j], ids[i], ids[j], float(d[i, j]), int(size), int(n[i]), start + step))
-            w[i] = (n[i] ** 2 * w[i] + n[j] ** 2 * w[j] + n[i] * n[j] * s[i, j]) / size**2
-            if method == "complete":
-                row = np.maximum(s[i], s[j])
-            elif method == "single":
-                row = np.minimum(s[i], s[j])
-            else:
-                row = (n[i] * s[i] + n[j] * s[j]) / size
-            s[i], s[:, i], n[i], key[i] = row, row, size, node
-            s[j], s[:, j], s[i, i] = np.inf, np.inf, np.inf
+            apart = d[np.ix_(active, active)].copy()
+            np.fill_diagonal(apart, np.inf)
+            nearest = apart.argmin(axis=1)
+            pairs = [(active[x], active[y]) for x, y in enumerate(nearest) if x < y and nearest[y] == x]
+            for i, j in pairs:
+                size, node = n[i] + n[j], f"{start + len(out)}:{ids[i]}"
+                out.append((node, key[i], key[j], ids[i], ids[j], float(d[i, j]), int(size), int(n[i])))
+                w[i] = (n[i] ** 2 * w[i] + n[j] ** 2 * w[j] + n[i] * n[j] * s[i, j]) / size**2
+                fold = {"complete": np.maximum, "single": np.minimum}.get(method)
+                row = fold(s[i], s[j]) if fold else (n[i] * s[i] + n[j] * s[j]) / size
+                s[i], s[:, i], n[i], key[i] = row, row, size, node
+            gone = {j for _, j in pairs}
+            active = [k for k in active if k not in gone]
         return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGES.split(", ")])
 
     return finish
 
 
-def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", distance: str = "distance") -> Tree:
+def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", distance: str = "distance", last: int = LAST_CLUSTERS) -> Tree:
     """Agglomerate a complete pair table (i, j, distance).
 
     Each round merges all reciprocal nearest clusters at once, which for these linkages gives the same tree as one
     merge at a time. A pair row carries the sizes, and for ward the mean squared distance and the inner spread of
-    both clusters, so the update of all pairs is one weighted group-by. Equal distances go to the smaller id.
+    both clusters, so the update of all pairs is one weighted group-by. Equal distances go to the smaller id. When ``last``
+    clusters are left, a bounded number, one task merges them in the same order, which saves a round of jobs per merge.
     """
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}")
@@ -157,7 +159,7 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     ))
     total = left = ids.count()
     rounds, merges = 0, []
-    while left > LAST_CLUSTERS:
+    while left > max(last, 1):
         rounds, old = rounds + 1, state
         rows = state.withColumn("d", _distance(method))
         seen = lambda x, y: F.struct(
@@ -172,7 +174,7 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
         spread = (F.col("na") ** 2 * F.col("wa") + F.col("nb") ** 2 * F.col("wb") + F.col("na") * F.col("nb") * F.col("s")) / (size * size)
         merged = settle(found.select(
             "a", "b", F.col("d").alias("height"), "na", "nb", size.alias("n"), spread.alias("w"),
-            F.concat(F.lit(f"{rounds}:"), "a").alias("node"), "ka", "kb", F.lit(rounds).alias("round"),
+            F.concat(F.lit(f"{rounds}:"), "a").alias("node"), "ka", "kb",
         ))
         merges.append(merged)
         left -= merged.count()
@@ -201,7 +203,7 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     tables = [state.groupBy(F.lit(0).alias("all")).applyInPandas(_last_merges(method, rounds + 1), _MERGES)]
     tables += [m.select(
         "node", F.col("ka").alias("left_node"), F.col("kb").alias("right_node"), F.col("a").alias("left_id"),
-        F.col("b").alias("right_id"), "height", F.col("n").cast("long").alias("size"), F.col("na").cast("long").alias("left_size"), "round",
+        F.col("b").alias("right_id"), "height", F.col("n").cast("long").alias("size"), F.col("na").cast("long").alias("left_size"),
     ) for m in merges]
     tree = Tree(settle(union_all(tables)), settle(ids.select("file_id")), total)
     for used in (state, *merges):
@@ -217,7 +219,7 @@ def _cut_heights(tree: Tree, k: int, exact: bool) -> DataFrame:
     """Gap positions where the order is cut into clusters."""
     gaps = tree.gaps
     if exact:
-        return gaps.orderBy(F.desc("height"), F.desc("round"), F.desc("left_id")).limit(k - 1).select("position")
+        return gaps.orderBy(F.desc("height"), F.desc("size"), F.desc("left_id")).limit(k - 1).select("position")
     if k >= tree.size:
         return gaps.select("position")
     threshold = gaps.orderBy(F.desc("height")).limit(k).agg(F.min("height")).scalar()
@@ -398,11 +400,12 @@ def _dense_links(points: DataFrame, dims: Sequence[str], side: float, eps: float
     chunks = lambda c: F.ceil(F.col(c) / F.lit(TILE)).cast("int")
     tiles = rest.withColumn("ta", F.explode(F.sequence(F.lit(0), chunks("n_a") - 1))).withColumn(
         "tb", F.explode(F.sequence(F.lit(0), chunks("n_b") - 1)))
-    mine = finer.select("file_id", "cell", "part", *dims)
-    chunk = lambda c: F.pmod(F.xxhash64("file_id"), chunks(c))
+    # a point knows its tile before it meets the tiles of other parts, so it is copied once per tile it is compared with
+    sized = lookup_join(finer, parts.select("cell", "part", F.col("n").alias("_n")), ["cell", "part"], salt_by=["file_id"], check=False)
+    mine = sized.select("file_id", "cell", "part", *dims, F.pmod(F.xxhash64("file_id"), chunks("_n")).cast("int").alias("tile"))
     of = ["src", "dst", "pa", "pb", "ta", "tb"]
-    side_a = mine.withColumnsRenamed({"cell": "src", "part": "pa"}).join(tiles, ["src", "pa"]).filter(chunk("n_a") == F.col("ta"))
-    side_b = mine.withColumnsRenamed({"cell": "dst", "part": "pb"}).join(tiles, ["dst", "pb"]).filter(chunk("n_b") == F.col("tb"))
+    side_a = mine.withColumnsRenamed({"cell": "src", "part": "pa", "tile": "ta"}).join(tiles, ["src", "pa", "ta"])
+    side_b = mine.withColumnsRenamed({"cell": "dst", "part": "pb", "tile": "tb"}).join(tiles, ["dst", "pb", "tb"])
     both = side_a.select(*of, *dims, F.lit(True).alias("is_a")).unionByName(side_b.select(*of, *dims, F.lit(False).alias("is_a")))
     close = both.groupBy(*of).applyInPandas(_near_tile(list(dims), eps), "src string, dst string")
     return union_all([sure, decided, close.distinct()])

@@ -73,14 +73,15 @@ def slab_segments(tree_edges: DataFrame, axis: str, position: float, tolerance:
     return tree_edges.filter(meets).withColumns({f"{axis}1": p, f"{axis}2": p})
 
 
-def unreached_nodes(nodes: DataFrame) -> DataFrame:
+def unreached_nodes(nodes: DataFrame, dangling: DataFrame | None = None) -> DataFrame:
     """(file_id, n): nodes whose ancestors never lead to a root.
 
     Where every parent exists and has a smaller id than its child, ids fall along each chain, so it ends at a root.
     Only the other files, found by one aggregate and one anti join, are followed node by node.
     """
     late = nodes.filter((F.col("parent_id") != -1) & (F.col("parent_id") >= F.col("node_id"))).select("file_id")
-    suspects = settle(late.unionByName(dangling_nodes(nodes).select("file_id")).distinct())
+    loose = dangling_nodes(nodes) if dangling is None else dangling
+    suspects = settle(late.unionByName(loose.select("file_id")).distinct())
     if not suspects.limit(1).count():
         return nodes.sparkSession.createDataFrame([], "file_id string, n long")
     chosen = lookup_join(nodes.select("file_id", "node_id", "parent_id"), suspects, "file_id", "left_semi", salt_by=["node_id"])
@@ -149,9 +150,9 @@ def validate_trees(nodes: DataFrame, structures: DataFrame) -> DataFrame:
     unknown = lookup_join(used, known, "region_id", "left_anti").groupBy("file_id").agg(F.sum("c").alias("n")).select(
         "file_id", F.lit("unknown region_id").alias("issue"), "n"
     )
-    dangling = dangling_nodes(nodes).groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select(
-        "file_id", F.lit("dangling parent_id").alias("issue"), "n")
-    unreached = unreached_nodes(nodes).select("file_id", F.lit("not connected to the root").alias("issue"), "n")
+    loose = settle(dangling_nodes(nodes))
+    dangling = loose.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select("file_id", F.lit("dangling parent_id").alias("issue"), "n")
+    unreached = unreached_nodes(nodes, loose).select("file_id", F.lit("not connected to the root").alias("issue"), "n")
     return union_all([simple, duplicates, unknown, dangling, unreached]).filter("n > 0").select(
         "file_id", "issue", F.col("n").cast("long").alias("n")
     )

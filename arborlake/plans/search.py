@@ -135,6 +135,7 @@ def voxel_search(
     if request.exclude_references:
         scores = keep_keys(scores, request.references, keep=False)
     hits = settle(result_rank(top_n_hits(scores, request.top_n)))
+    forget(counts)
     # only the names of the hits: the catalog is grouped after a semi join with at most top_n ids
     names = neuron_catalog(lookup_join(nodes, hits.select("file_id"), "file_id", "left_semi"))
     return hits.join(names, "file_id", "left").select("rank", "file_id", "neuron_id", "subject", "pearson_distance").orderBy("rank")

@@ -55,21 +55,23 @@ def parse_swc(lines: DataFrame) -> Ingested:
     """
     text = F.trim(F.regexp_replace(F.split("value", "#", 2).getItem(0), r"\s+", " "))
     fields = F.split(text, " ")
-    number = lambda i: F.expr(f"try_cast(f[{i}] AS DOUBLE)")
+    number = lambda i: F.expr(f"try_cast(try_element_at(f, {i + 1}) AS DOUBLE)")
     whole = lambda i: number(i).cast("int")
-    parsed = lines.select("file_id", "path", fields.alias("f")).filter(F.size("f") >= 7).select(
-        "file_id", "path", *[number(i).alias(f"n{i}") for i in range(7)]
+    parsed = lines.select("file_id", "path", fields.alias("f")).select(
+        "file_id", "path", (F.size("f") >= 7).alias("kept"), *[F.when(F.size("f") >= 7, number(i)).alias(f"n{i}") for i in range(7)]
     )
     bad = F.lit(False)
     for i in range(7):
         bad = bad | F.col(f"n{i}").isNull()
     for i in (0, 1, 6):
         bad = bad | F.isnan(f"n{i}") | (F.abs(f"n{i}") > 2147483647)
-    parsed = parsed.withColumn("bad", bad)
-    tallies = parsed.groupBy("file_id").agg(F.count_if("bad").alias("bad"), F.count(F.lit(1)).alias("rows"))
-    files = lines.groupBy("file_id").agg(F.count_distinct("path").alias("paths")).join(tallies, "file_id", "left")
+    parsed = parsed.withColumn("bad", F.col("kept") & bad)
+    # one pass over the text gives the tallies and the places of every file
+    files = parsed.groupBy("file_id").agg(
+        F.size(F.collect_set("path")).cast("long").alias("paths"), F.count_if("bad").alias("bad"), F.count_if("kept").alias("rows"))
+    parsed = parsed.filter("kept")
     reason = F.when(F.coalesce(F.col("rows"), F.lit(0)) == 0, "no valid nodes").when(F.col("bad") > 0, "field is not a number")
-    files = files.select("file_id", "paths", F.coalesce("rows", F.lit(0)).alias("rows"), reason.alias("reason"))
+    files = files.select("file_id", "paths", "rows", reason.alias("reason"))
     failures = files.filter(F.col("reason").isNotNull()).select("file_id", "reason")
     good = lookup_join(parsed, failures.select("file_id"), "file_id", "left_anti", salt_by=["n0"], check=False)
     integer = lambda name: F.col(name).cast("int")

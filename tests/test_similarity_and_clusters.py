@@ -255,3 +255,17 @@ def test_grid_edges():
     with pytest.raises(ValueError):
         S.VoxelSearch(())
     assert Grid.cubic((528, 320, 456), 25.0).mirror_point == 5687.5 and Grid.cubic((528, 320, 456), 25.0).midline_um == 5700.0
+
+
+def test_the_last_merges_do_not_depend_on_where_they_are_made(spark):
+    import random
+
+    rng = random.Random(3)
+    for method, place in (("average", rng.random), ("ward", rng.random), ("single", lambda: float(rng.randrange(6)))):
+        rows = spark.createDataFrame([(f"f{k:02d}", place(), place(), 0.0) for k in range(12)], "file_id string, x double, y double, z double")
+        pairs, ids = K.soma_distances(rows), rows.select("file_id")
+        trees = [K.hierarchical(pairs, ids, method, last=last) for last in (64, 1)]
+        one, two = (sorted((round(r["height"], 9), r["size"], r["left_id"], r["right_id"]) for r in t.merges.collect()) for t in trees)
+        assert one == two
+        one, two = (sorted(map(tuple, K.cut_clusters(t, 5, exact=True).collect())) for t in trees)
+        assert one == two
