@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
 #: ASCII white space 09-0D and 20, the separators of the word patterns that take everything else.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
@@ -35,6 +38,11 @@ def with_results(row: DataFrame, results: str) -> T.StructType:
     return T.StructType([row.schema["row"], *T.StructType.fromDDL(results).fields])
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Let no Arrow batch of this session grow beyond ``size`` bytes; by rows alone a batch of long texts has no bound."""
+    spark.conf.set(BATCH_KEY, str(size))
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts: what decides into how many parts the work is cut."""
     return docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0

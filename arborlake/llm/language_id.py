@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import fits_broadcast, settle
-from .common import FOLDED, flat, slices
+from .common import FOLDED, bounded_batches, flat, slices
 
 SAMPLE = 4000
 LANGUAGES = 64
@@ -180,6 +180,7 @@ def language_id(rows: DataFrame, model: dict[str, np.ndarray], text: str = "text
     no evidence; ties go to the language named first by the model; repeated rows are voters of their own; an empty
     table gives an empty table; with an empty model lang is null and nothing is rejected; other columns are not read.
     """
+    bounded_batches(rows.sparkSession)
     names = [*model, UNKNOWN]
     place = F.lower(host.cast("string")) if host is not None else F.lit(None).cast("string")
     needed = list(dict.fromkeys([id_col, text, *([declared] if declared and not markup else [])]))

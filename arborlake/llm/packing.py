@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranks import running_before
 from ..session import fits_broadcast, settle
-from .common import slices
+from .common import bounded_batches, slices
 
 QUANTUM = 128
 CHUNK_TOKENS = 1 << 20
@@ -179,6 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     Defined results: null and empty texts are the end id alone; a null source is a queue of its own; repeated rows are
     documents of their own with an equal id; an empty table gives no pieces; other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     size = Encoder(tokenizer).size
     kind, width = ("<u2", 2) if max(size, end_id + 1) <= 1 << 16 else ("<u4", 4)
     name = F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))

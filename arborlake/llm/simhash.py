@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.components import connected_components
 from ..session import settle
-from .common import FOLDED, SPACES, flat, same, slices, word_spans
+from .common import FOLDED, SPACES, bounded_batches, flat, same, slices, word_spans
 
 SEED = 42
 MEMBERS = 4096
@@ -76,6 +76,7 @@ def _fingerprint(shingle: int):
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(_fingerprint(shingle), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 

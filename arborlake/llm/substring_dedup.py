@@ -17,11 +17,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, flat, packed, parts_for, text_bytes, unpacked, with_results, word_codes, word_spans
+from .common import SPACES, bounded_batches, flat, packed, parts_for, text_bytes, unpacked, with_results, word_codes, word_spans
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 RESULTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
@@ -163,6 +163,7 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     buckets of about a million windows that is expected once in some 10**13 windows, at any size of input.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = parts_for(spark, text_bytes(docs, text), part_bytes)
     row = packed(docs)
     key = F.pmod(F.xxhash64(F.col("row").getField(id_col), F.col("row").getField(text)), F.lit(parts)).cast("int")

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import settle
-from .common import slices
+from .common import bounded_batches, slices
 
 SLICE_BYTES = 4 << 20
 CACHE = "digest binary, version string, n_tokens long"
@@ -69,6 +69,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     are not read; an empty table gives an empty table and adds nothing; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     version = version_of(tokenizer)
     whole = normalised(F.col(text))
     digest = F.unhex(F.sha2(whole, 256))

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import fits_broadcast, settle
-from .common import slices
+from .common import bounded_batches, slices
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -89,6 +89,7 @@ def write_warc(pages: DataFrame, folder: str, html: str = "html", url: str = "ur
     response are responses too; an empty table writes an archive without records; other columns are not read.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("string").alias("name"), F.col(id_col).alias("id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"sha1": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
