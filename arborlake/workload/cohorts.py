@@ -37,9 +37,17 @@ def _(t):
     return rounded(soma_pairs(t)[0], "distance")
 
 
-@query("soma_kmeans")
+@query("soma_kmeans", "somas", "SELECT count(*) AS somas, least(5, count(*)) AS clusters, 0::BIGINT AS nearer_to_another FROM somas")
 def _(t):
-    return K.soma_kmeans(somas(t), 5)
+    """Every soma is nearest to the mean of its own cluster, which is what k-means ends with."""
+    rows = settle(K.soma_kmeans(somas(t), 5).join(somas(t), "file_id"))
+    means = rows.groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    centres = means.agg(F.collect_list(F.struct("label", *"xyz"))).scalar()
+    gap = lambda m: sum((F.pow(F.col(c) - m[c], F.lit(2.0)) for c in "yz"), F.pow(F.col("x") - m["x"], F.lit(2.0)))
+    best = rows.withColumn("centres", centres).select(
+        "label", F.array_min(F.transform("centres", gap)).alias("least"),
+        F.array_min(F.transform(F.filter("centres", lambda m: m["label"] == F.col("label")), gap)).alias("own"))
+    return best.agg(F.count("*").alias("somas"), F.count_distinct("label").alias("clusters"), F.count_if(F.col("own") > F.col("least") + 1e-3).alias("nearer_to_another"))
 
 
 @query("soma_dbscan", "soma_d somas", """
@@ -78,6 +86,37 @@ def correlation_tree(t, method="average"):
     return K.hierarchical(found.pairs.withColumn("distance", 1.0 - F.col("r")), ids, method)
 
 
+# Single linkage in SQL: a spanning tree of smallest edges has the merges, and the largest edge between two neurons the
+# height that first joins them.
+relation("r_d", "SELECT i, j, 1 - r AS distance FROM corrected", "corrected")
+
+
+def spanning(name, distances):
+    relation(f"{name}_tree", f"""
+SELECT u, v, d FROM (
+WITH RECURSIVE grown(seen, u, v, d) AS (
+  SELECT [(SELECT min(i) FROM {distances})], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE
+  UNION ALL
+  SELECT list_append(seen, nxt.e.v), nxt.e.u, nxt.e.v, nxt.e.d FROM grown, LATERAL (
+    SELECT arg_min({{'u': p, 'v': q, 'd': distance}}, distance) AS e FROM (
+      SELECT CASE WHEN list_contains(seen, i) THEN i ELSE j END AS p, CASE WHEN list_contains(seen, i) THEN j ELSE i END AS q, distance
+      FROM {distances} WHERE list_contains(seen, i) <> list_contains(seen, j)) c) nxt WHERE nxt.e IS NOT NULL)
+SELECT u, v, d FROM grown WHERE u IS NOT NULL) t""", distances)
+    relation(f"{name}_height", f"""
+SELECT a, b, h FROM (
+WITH RECURSIVE edge2 AS (SELECT u AS a, v AS b, d FROM {name}_tree UNION ALL SELECT v, u, d FROM {name}_tree),
+path(a, b, prev, h) AS (SELECT a, b, a, d FROM edge2 UNION ALL
+  SELECT p.a, e.b, p.b, greatest(p.h, e.d) FROM path p JOIN edge2 e ON e.a = p.b AND e.b <> p.prev)
+SELECT a, b, h FROM path UNION ALL SELECT DISTINCT a, a, -1.0 FROM edge2) t""", f"{name}_tree")
+
+
+spanning("soma", "soma_d")
+spanning("r", "r_d")
+CUT = """
+SELECT a AS file_id, dense_rank() OVER (ORDER BY m)::INT AS label FROM (SELECT a, min(b) AS m FROM r_height
+WHERE a = b OR h <= (SELECT d FROM r_tree ORDER BY d DESC LIMIT 1 OFFSET {0}) GROUP BY a) c"""
+
+
 @query("hierarchical")
 def _(t):
     return K.hierarchical(*soma_pairs(t), "ward").ordered_merges()
@@ -96,29 +135,51 @@ def _(t):
     return tree.merges.groupBy(F.round("height", 6).alias("height")).agg(F.count("*").alias("merges"))
 
 
-@query("cut_clusters")
+@query("cut_clusters", "r_tree r_height", CUT.format(4))
 def _(t):
-    return K.cut_clusters(correlation_tree(t), 5)
+    return K.cut_clusters(correlation_tree(t, "single"), 5)
 
 
-@query("cut_clusters_exact")
+@query("cut_clusters_exact", "r_tree r_height", CUT.format(6))
 def _(t):
-    return K.cut_clusters(correlation_tree(t), 7, exact=True)
+    return K.cut_clusters(correlation_tree(t, "single"), 7, exact=True)
+
+
+relation("r_order", """
+WITH low AS (SELECT x.a, x.b, min(y.b) AS m FROM r_height x JOIN r_height y ON y.a = x.a AND y.h < x.h WHERE x.a <> x.b GROUP BY x.a, x.b)
+SELECT l.a AS file_id, count(*) FILTER (r.m < l.m) AS position FROM low l JOIN low r ON r.a = l.b AND r.b = l.a GROUP BY l.a""", "r_height")
+relation("r_label", CUT.format(3), "r_tree", "r_height")
 
 
-@query("leaf_order")
+@query("leaf_order", "r_order", "SELECT file_id, position FROM r_order")
 def _(t):
-    return K.leaf_order(correlation_tree(t))
+    return K.leaf_order(correlation_tree(t, "single"))
 
 
-@query("cophenetic_spearman")
+@query("cophenetic_spearman", "soma_height r_height", """
+WITH both_h AS (SELECT s.h AS h1, r.h AS h2 FROM soma_height s JOIN r_height r USING (a, b) WHERE a < b),
+ranked AS (SELECT rank() OVER (ORDER BY h1) + (count(*) OVER (PARTITION BY h1) - 1) / 2.0 AS r1,
+                  rank() OVER (ORDER BY h2) + (count(*) OVER (PARTITION BY h2) - 1) / 2.0 AS r2 FROM both_h)
+SELECT round(corr(r1, r2), 6) AS spearman, count(*) AS pairs FROM ranked""")
 def _(t):
-    return K.cophenetic_spearman(K.hierarchical(*soma_pairs(t)), correlation_tree(t))
+    return rounded(K.cophenetic_spearman(K.hierarchical(*soma_pairs(t), "single"), correlation_tree(t, "single")), "spearman")
 
 
-@query("compare_partitions")
+@query("compare_partitions", "soma_tree soma_height r_tree r_height", """
+WITH ks AS (SELECT k::INT AS k, (SELECT list(d ORDER BY d DESC) FROM soma_tree)[k] AS t1, (SELECT list(d ORDER BY d DESC) FROM r_tree)[k] AS t2 FROM range(2, 21) r(k)),
+la AS (SELECT k, a AS f, min(b) AS a FROM ks, soma_height WHERE a = b OR h <= t1 GROUP BY k, a),
+lb AS (SELECT k, a AS f, min(b) AS b FROM ks, r_height WHERE a = b OR h <= t2 GROUP BY k, a),
+cell AS (SELECT k, a, b, count(*)::DOUBLE AS n FROM la JOIN lb USING (k, f) GROUP BY ALL),
+ra AS (SELECT k, a, sum(n) AS m FROM cell GROUP BY ALL), rb AS (SELECT k, b, sum(n) AS m FROM cell GROUP BY ALL),
+q AS (SELECT k, (SELECT sum(n) FROM cell c WHERE c.k = ks.k) AS t, (SELECT sum(n * (n - 1) / 2) FROM cell c WHERE c.k = ks.k) AS pij,
+  (SELECT sum(m * (m - 1) / 2) FROM ra c WHERE c.k = ks.k) AS pa, (SELECT sum(m * (m - 1) / 2) FROM rb c WHERE c.k = ks.k) AS pb,
+  (SELECT sum(n * ln(n)) FROM cell c WHERE c.k = ks.k) AS lij, (SELECT sum(m * ln(m)) FROM ra c WHERE c.k = ks.k) AS la,
+  (SELECT sum(m * ln(m)) FROM rb c WHERE c.k = ks.k) AS lb, (SELECT count(*) FROM ra c WHERE c.k = ks.k) AS ka, (SELECT count(*) FROM rb c WHERE c.k = ks.k) AS kb FROM ks)
+SELECT k, round(CASE WHEN pij = pa AND pij = pb THEN 1 ELSE (pij - pa * pb / (t * (t - 1) / 2)) / nullif((pa + pb) / 2 - pa * pb / (t * (t - 1) / 2), 0) END, 6) AS ari,
+round(CASE WHEN ka = 1 AND kb = 1 THEN 1 WHEN (lij - la - lb) / t + ln(t) <= 1e-12 THEN 0
+  ELSE ((lij - la - lb) / t + ln(t)) / nullif((ln(t) - la / t + ln(t) - lb / t) / 2, 0) END, 6) AS nmi FROM q""")
 def _(t):
-    return A.compare_partitions(K.hierarchical(*soma_pairs(t)), correlation_tree(t))
+    return rounded(A.compare_partitions(K.hierarchical(*soma_pairs(t), "single"), correlation_tree(t, "single")), "ari", "nmi")
 
 
 @query("matrix_contrast", "soma_d", """
@@ -130,21 +191,25 @@ def _(t):
     return rounded(t.spark.createDataFrame([tuple(found[n] for n in names)], ", ".join(f"{n} double" for n in names)), *names)
 
 
-@query("ordered_distances", "soma_d somas", """
-SELECT i, j, round(distance, 6) AS distance FROM soma_d UNION ALL SELECT file_id, file_id, 0.0 FROM somas""")
+@query("ordered_distances", "r_d r_order r_label", """
+WITH cells AS (SELECT i, j, distance FROM r_d UNION ALL SELECT file_id, file_id, 0.0 FROM r_order),
+leaf AS (SELECT file_id, position, label FROM r_order JOIN r_label USING (file_id))
+SELECT i, j, round(distance, 6) AS distance, p.position AS "row", p.label AS row_label, q.position AS "column", q.label AS column_label
+FROM cells JOIN leaf p ON p.file_id = i JOIN leaf q ON q.file_id = j""")
 def _(t):
-    pairs, ids = soma_pairs(t)
-    tree = K.hierarchical(pairs, ids)
-    return rounded(K.ordered_distances(pairs, tree, K.cut_clusters(tree, 4)), "distance").select("i", "j", "distance")
+    tree = correlation_tree(t, "single")
+    pairs = pearson(counts(t)).pairs.select("i", "j", (1.0 - F.col("r")).alias("distance"))
+    return rounded(K.ordered_distances(pairs, tree, K.cut_clusters(tree, 4)), "distance")
 
 
-@query("cluster_table", "named", """
+@query("cluster_table", "named r_order r_label", """
+WITH facts AS (
 SELECT file_id, max(neuron_id) AS neuron_id, max(subject) AS subject, avg(x) FILTER (type = 1) AS soma_x_um, avg(y) FILTER (type = 1) AS soma_y_um,
-avg(z) FILTER (type = 1) AS soma_z_um, max(region_acronym) FILTER (type = 1) AS soma_region_acronym FROM named GROUP BY file_id""")
+avg(z) FILTER (type = 1) AS soma_z_um, max(region_acronym) FILTER (type = 1) AS soma_region_acronym FROM named GROUP BY file_id)
+SELECT position + 1 AS dendrogram_order, label AS cluster_assignment, facts.* FROM r_order JOIN r_label USING (file_id) JOIN facts USING (file_id)""")
 def _(t):
-    tree = K.hierarchical(*soma_pairs(t))
-    rows = SR.cluster_table(t.named_nodes, tree, K.cut_clusters(tree, 4))
-    return rows.select("file_id", "neuron_id", "subject", "soma_x_um", "soma_y_um", "soma_z_um", "soma_region_acronym")
+    tree = correlation_tree(t, "single")
+    return SR.cluster_table(t.named_nodes, tree, K.cut_clusters(tree, 4))
 
 
 # --- comparison of labels
