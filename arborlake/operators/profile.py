@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
-from ..session import lookup_join, settle
+from ..session import forget, lookup_join, settle
 from .topology import validate_trees
 
 # Crossings closer than this in edge parameter are one corner.
@@ -217,18 +217,64 @@ def canonical_profile(profile: DataFrame) -> DataFrame:
 ORDER = ("region_id", "laterality", "compartment", "file_id")
 
 
+ROW_GROUP = 122_880
+
+
 def write_profile(profile: DataFrame, path: str, mode: str = "error") -> None:
-    """Parquet ordered by region first, so that a query on few regions skips most row groups."""
+    """Parquet ordered by region first, in row groups of bounded length, so that a query on few regions skips most of them."""
     ready = canonical_profile(profile).repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
-    ready.write.mode(mode).option("compression", "zstd").parquet(path)
+    ready.write.mode(mode).option("compression", "zstd").option("parquet.block.row.count.limit", str(ROW_GROUP)).parquet(path)
+
+
+def _facts(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid) -> DataFrame:
+    """One row that tells a profile's sources apart: totals and order-free checksums of what it was built from."""
+    def checksum(df: DataFrame, *names: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(*names).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum"))
+
+    sources = {
+        "nodes": checksum(nodes, "file_id", "node_id", "parent_id", "type", "x", "y", "z", "region_id"),
+        "annotation": checksum(annotation.filter("region_id <> 0"), "ai", "bi", "ci", "region_id"),
+        "structures": checksum(structures, "id", "structure_id_path"),
+    }
+    row = {f"{name}_{c}": frame.select(c).scalar() for name, frame in sources.items() for c in ("n", "sum")}
+    row["grid"] = F.lit(f"{tuple(grid.shape)} {tuple(grid.resolution)} {grid.lr_axis} {grid.midline_um}")
+    return nodes.sparkSession.range(1).select(*[v.alias(k) for k, v in row.items()])
+
+
+def facts_path(path: str) -> str:
+    return f"{path.rstrip('/')}_facts"
 
 
 def publish_profile(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid, path: str, mode: str = "error") -> ProfileTotals:
-    """Build once, check conservation, then write."""
+    """Build once, check conservation, then write the profile and, beside it, the row of facts about its sources."""
     profile = settle(build_profile(nodes, annotation, structures, grid))
     totals = source_totals(nodes)
     broken = profile_issues(profile, totals)
     if broken:
         raise ValueError(f"profile does not conserve: {broken}")
     write_profile(profile, path, mode)
+    _facts(nodes, annotation, structures, grid).write.mode(mode).json(facts_path(path))
+    forget(profile)
     return totals
+
+
+def profile_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The row of facts that was written with a profile."""
+    return spark.read.json(facts_path(path))
+
+
+def stale_facts(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid, path: str) -> list[str]:
+    """Names of the facts in which a written profile differs from these sources; none means it may be used."""
+    now = _facts(nodes, annotation, structures, grid).first().asDict()
+    then = profile_facts(nodes.sparkSession, path).first().asDict()
+    return sorted(k for k in now if str(now[k]) != str(then.get(k)))
+
+
+def registered_profile(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid, path: str, view: str = "region_profile") -> DataFrame:
+    """A written profile under a view's name; one that was built from other sources is refused."""
+    stale = stale_facts(nodes, annotation, structures, grid, path)
+    if stale:
+        raise ValueError(f"the profile was built from other sources: {stale}")
+    profile = nodes.sparkSession.read.schema(PROFILE_SCHEMA).parquet(path)
+    profile.createOrReplaceTempView(view)
+    return profile

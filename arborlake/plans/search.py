@@ -141,6 +141,29 @@ def voxel_search(
     return hits.join(names, "file_id", "left").select("rank", "file_id", "neuron_id", "subject", "pearson_distance").orderBy("rank")
 
 
+def search_omissions(
+    nodes: DataFrame, request: VoxelSearch, grid: Grid | None = None, include: DataFrame | None = None,
+    exclude: DataFrame | None = None, lut: DataFrame | None = None,
+) -> DataFrame:
+    """(file_id, reason) of candidates that cannot be ranked: without a usable node, or with counts that do not vary.
+
+    Candidates whose counts do not vary are left out under the corrected policy alone; the others give them a fixed distance.
+    """
+    counts = settle(search_counts(nodes, request, grid, include, exclude, lut))
+    pool = nodes.select(F.col("file_id").cast("string").alias("file_id")).distinct()
+    if request.candidates is not None:
+        pool = keep_keys(pool, request.candidates)
+    if request.exclude_references:
+        pool = keep_keys(pool, request.references, keep=False)
+    c = F.col("c").cast("double")
+    v = counts.agg(F.count_distinct("voxel").cast("double")).scalar()
+    sums = counts.groupBy("file_id").agg(F.sum(c).alias("sx"), F.sum(c * c).alias("sxx")).withColumn("flat", v * F.col("sxx") - F.col("sx") * F.col("sx") <= 0)
+    rows = pool.join(sums, "file_id", "left")
+    flat = F.col("flat") if request.policy == "corrected" else F.lit(False)
+    reason = F.when(F.col("sx").isNull(), "no usable node").when(flat, "zero variance")
+    return rows.select("file_id", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def search_context(request: VoxelSearch) -> str:
     """The request as one canonical JSON text, stored with exported results."""
     values = {

@@ -7,7 +7,7 @@ from ..operators.catalog import neuron_catalog
 from ..operators.flatmap import FlatGrid
 from ..plans import region_query as Q, report as G
 from ..plans.region_query import AllOf, AnyOf, NeuriteIn, Not, Regions, SomaIn, Threshold
-from ..session import settle
+from ..session import scratch_path, settle
 from ..workload.registry import query, relation
 from ..workload.similarity import rounded
 from ..workload.voxels import cortex
@@ -171,6 +171,19 @@ def _(t):
     return P.validate_profile(profile(t)).withColumn("cable_length_um", F.round("cable_length_um", 3))
 
 
+@query("publish_profile", "nodes profile", """
+SELECT (SELECT count(*) FROM nodes) AS nodes_n, count(*) AS rows, sum(node_count)::BIGINT AS node_count, sum(terminus_count)::BIGINT AS terminus_count, '' AS stale, 'nodes_n,nodes_sum' AS stale_after FROM profile""")
+def _(t):
+    path = scratch_path(t.spark, "published")
+    tree = settle(t.nodes)
+    P.publish_profile(tree, t.annotation, t.structures, t.grid, path)
+    whole = P.registered_profile(tree, t.annotation, t.structures, t.grid, path)
+    stale = P.stale_facts(tree.filter("node_id <> 2"), t.annotation, t.structures, t.grid, path)
+    totals = whole.agg(F.count("*").alias("rows"), F.sum("node_count").alias("node_count"), F.sum("terminus_count").alias("terminus_count"))
+    nodes = P.profile_facts(t.spark, path).select("nodes_n").scalar()
+    return totals.select(nodes.alias("nodes_n"), "*", F.lit("").alias("stale"), F.lit(",".join(stale)).alias("stale_after"))
+
+
 # --- queries
 
 def closure(t):

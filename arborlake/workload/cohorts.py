@@ -39,15 +39,8 @@ def _(t):
 
 @query("soma_kmeans", "somas", "SELECT count(*) AS somas, least(5, count(*)) AS clusters, 0::BIGINT AS nearer_to_another FROM somas")
 def _(t):
-    """Every soma is nearest to the mean of its own cluster, which is what k-means ends with."""
-    rows = settle(K.soma_kmeans(somas(t), 5).join(somas(t), "file_id"))
-    means = rows.groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"])
-    centres = means.agg(F.collect_list(F.struct("label", *"xyz"))).scalar()
-    gap = lambda m: sum((F.pow(F.col(c) - m[c], F.lit(2.0)) for c in "yz"), F.pow(F.col("x") - m["x"], F.lit(2.0)))
-    best = rows.withColumn("centres", centres).select(
-        "label", F.array_min(F.transform("centres", gap)).alias("least"),
-        F.array_min(F.transform(F.filter("centres", lambda m: m["label"] == F.col("label")), gap)).alias("own"))
-    return best.agg(F.count("*").alias("somas"), F.count_distinct("label").alias("clusters"), F.count_if(F.col("own") > F.col("least") + 1e-3).alias("nearer_to_another"))
+    coords = settle(somas(t))
+    return kmeans_check(settle(K.soma_kmeans(coords, 5).join(coords, "file_id")))
 
 
 @query("soma_dbscan", "soma_d somas", """
@@ -80,6 +73,32 @@ def _(t):
     return K.soma_dbscan(coords, 0.2, 3)
 
 
+relation("flat_xyz", "SELECT file_id, x_flat / (y1 - y0) AS x, y_flat / (y1 - y0) AS y, depth_um / (d1 - d0) AS z FROM flat_somas, bounds", "flat_somas", "bounds")
+relation("flat_pairs", """SELECT a.file_id AS i, b.file_id AS j, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS distance
+FROM flat_xyz a JOIN flat_xyz b ON a.file_id < b.file_id""", "flat_xyz")
+
+
+def flat_coords(t):
+    return M.normalize_soma(M.flatmap_soma_coords(t.nodes, "shaped"), M.grid_bounds(t.nodes, "shaped"))
+
+
+def kmeans_check(rows):
+    """Every point is nearest to the mean of its own cluster, which is what k-means ends with."""
+    means = rows.groupBy("label").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    centres = means.agg(F.collect_list(F.struct("label", *"xyz"))).scalar()
+    gap = lambda m: sum((F.pow(F.col(c) - m[c], F.lit(2.0)) for c in "yz"), F.pow(F.col("x") - m["x"], F.lit(2.0)))
+    best = rows.withColumn("centres", centres).select(
+        "label", F.array_min(F.transform("centres", gap)).alias("least"),
+        F.array_min(F.transform(F.filter("centres", lambda m: m["label"] == F.col("label")), gap)).alias("own"))
+    return best.agg(F.count("*").alias("somas"), F.count_distinct("label").alias("clusters"), F.count_if(F.col("own") > F.col("least") * 1.00001 + 1e-9).alias("nearer_to_another"))
+
+
+@query("flatmap_soma_kmeans", "flat_xyz", "SELECT count(*) AS somas, least(4, count(*)) AS clusters, 0::BIGINT AS nearer_to_another FROM flat_xyz")
+def _(t):
+    coords = settle(flat_coords(t).select("file_id", *"xyz"))
+    return kmeans_check(settle(K.soma_kmeans(coords, 4).join(coords, "file_id")))
+
+
 def correlation_tree(t, method="average"):
     found = pearson(counts(t))
     ids = settle(found.ids)
@@ -112,6 +131,7 @@ SELECT a, b, h FROM path UNION ALL SELECT DISTINCT a, a, -1.0 FROM edge2) t""",
 
 spanning("soma", "soma_d")
 spanning("r", "r_d")
+spanning("flat", "flat_pairs")
 CUT = """
 SELECT a AS file_id, dense_rank() OVER (ORDER BY m)::INT AS label FROM (SELECT a, min(b) AS m FROM r_height
 WHERE a = b OR h <= (SELECT d FROM r_tree ORDER BY d DESC LIMIT 1 OFFSET {0}) GROUP BY a) c"""
@@ -135,6 +155,13 @@ def _(t):
     return tree.merges.groupBy(F.round("height", 6).alias("height")).agg(F.count("*").alias("merges"))
 
 
+@query("flatmap_soma_hierarchical", "flat_tree", "SELECT round(d, 6) AS height, count(*) AS merges FROM flat_tree GROUP BY 1")
+def _(t):
+    coords = settle(flat_coords(t))
+    tree = K.hierarchical(K.soma_distances(coords), coords.select("file_id"), "single")
+    return tree.merges.groupBy(F.round("height", 6).alias("height")).agg(F.count("*").alias("merges"))
+
+
 @query("cut_clusters", "r_tree r_height", CUT.format(4))
 def _(t):
     return K.cut_clusters(correlation_tree(t, "single"), 5)
