@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path, settle
+from ..session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -174,5 +174,5 @@ def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .image_copies import find_copies
     from .media import vector_images
 
-    images = settle(vector_images(table(spark, sf_dir, "embeddings")))
+    images = vector_images(table(spark, sf_dir, "embeddings"))
     return find_copies(images, queries=F.col("image_id") % 50 == 0)
