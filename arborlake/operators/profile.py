@@ -71,7 +71,8 @@ def split_edges(tree_edges: DataFrame, grid: Grid) -> DataFrame:
     Adds per portion t0, t1, length_um, its voxel (null outside the grid) and physical side; all from array
     expressions of the edge row, so an edge never leaves its task.
     """
-    pieces = _portions(tree_edges, grid).select(*tree_edges.columns, "_length", F.inline("_p"))
+    # the outer form: for the inner one Spark adds a filter that computes the array of cuts again, per element
+    pieces = _portions(tree_edges, grid).select(*tree_edges.columns, "_length", F.inline_outer("_p")).filter("t0 IS NOT NULL")
     place = _portion_place(grid)
     return pieces.select(
         *tree_edges.columns, "t0", "t1", ((F.col("t1") - F.col("t0")) * F.col("_length")).alias("length_um"),
