@@ -107,7 +107,8 @@ def _cuts(width: int, quantum: int, with_ids: bool) -> Column:
         return F.struct(*parts)
 
     reach = F.sequence(F.greatest(chunk(a) - 1, F.lit(0)), chunk(z - 1) + 1)
-    return F.inline(F.transform(F.filter(reach, lambda c: F.greatest(a, edge(c)) < F.least(z, edge(c + 1))), piece))
+    # the outer form, which never meets an empty array here: for the inner one Spark computes the array twice
+    return F.inline_outer(F.transform(F.filter(reach, lambda c: F.greatest(a, edge(c)) < F.least(z, edge(c + 1))), piece))
 
 
 def _serve(window: int, quantum: int, kind: str):
