@@ -1,7 +1,7 @@
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from arborlake.llm.chat_template import CONTROLS, TEMPLATE, TemplateError, compile_template, escaper, fold, parse, read_back, read_conversations, format_conversations, unescape, FILTERS, Output, Const
+from arborlake.llm.chat_template import _MARK, CONTROLS, TEMPLATE, TemplateError, compile_template, escaper, fold, parse, read_back, read_conversations, format_conversations, unescape, FILTERS, Output, Const
 
 HARD = st.text(st.sampled_from(["<", "/", "s", ">", "[", "]", "I", "N", "S", "T", "\\", "é", "\n", "x"]), max_size=12) | st.sampled_from([*CONTROLS, "\\", "</s", "[/INST"])
 ROLES = st.sampled_from(["user", "assistant", "system", "tool", "", "[INST]", "a\\"])
@@ -20,12 +20,12 @@ def test_round_trip(turns):
 def test_escaped_text_holds_no_control(text):
     escaped = escaper(CONTROLS)(text)
     assert unescape(escaped) == text
-    bare = "".join(escaped.split("\\\\"))
+    # read from the left, as the output is read back, every mark is an escape
+    assert all(m[0][0] == "\\" for m in _MARK.finditer(escaped))
+    # whatever follows, no control string begins in the text and ends behind it
     for control in CONTROLS:
-        at = bare.find(control)
-        while at >= 0:
-            assert at and bare[at - 1] == "\\"
-            at = bare.find(control, at + 1)
+        joined = [m for m in _MARK.finditer(escaped + control) if m[0][0] != "\\"]
+        assert [(m.start(), m[0]) for m in joined] == [(len(escaped), control)]
 
 
 def test_plain_text_is_left_alone():
