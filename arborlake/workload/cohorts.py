@@ -1,5 +1,7 @@
 """Clustering, comparison, neuron sets, points, readers and writers."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import neuron_of, origin_form, subject_of
@@ -13,7 +15,7 @@ from ..sources import nodes as SN, points as SP, results as SR
 from ..streaming import appends
 from ..workload.anatomy import profile
 from ..workload.listings import NODE_COLS
-from ..workload.registry import query, relation
+from ..workload.registry import RELATIONS, query, relation
 from ..workload.similarity import counts, first_file, projected, rounded
 
 # --- clustering
@@ -260,15 +262,25 @@ def run(t, name):
     return t.assignments.filter(F.col("assignment_id") == name).select("file_id", "label")
 
 
-@query("compare_memberships", "scores mutual la lb", """
-SELECT (SELECT count(*) FROM la) AS reference_cohort, (SELECT count(*) FROM la) AS candidate_cohort, (SELECT count(*) FROM la) AS shared_cohort,
-0::BIGINT AS reference_cohort_only, 0::BIGINT AS candidate_cohort_only, (SELECT count(*) FROM lb) AS assigned_in_both,
-(SELECT count(*) FROM la) - (SELECT count(*) FROM lb) AS reference_assigned_only, 0::BIGINT AS candidate_assigned_only, 0::BIGINT AS unassigned_in_both,
-round(ari, 6) AS ari, round(nmi, 6) AS nmi, (SELECT sum(n) FROM mutual)::BIGINT AS matched_file_ids,
-round((SELECT sum(n) FROM mutual) / (SELECT count(*) FROM lb), 6) AS mutual_agreement, 'ok' AS status FROM scores""")
+# a reference run without its third cluster, and cohorts that overlap in part
+relation("la2", "SELECT * FROM la WHERE a <> 3", "la")
+for _name, _needs in (("joint", ("la2", "lb")), ("scores", ("joint2",)), ("mutual", ("joint2",))):
+    relation(f"{_name}2", re.sub(r"\b(la|joint)\b", r"\g<1>2", RELATIONS[_name]), *_needs)
+
+
+@query("compare_memberships", "scores2 mutual2 la2 lb annotations", """
+WITH f AS (SELECT file_id, a IS NOT NULL AS ra, b IS NOT NULL AS cb, tags <> '[]' OR a IS NOT NULL AS rc, n.label < '2' OR b IS NOT NULL AS cc
+  FROM annotations n LEFT JOIN la2 USING (file_id) LEFT JOIN lb USING (file_id)),
+c AS (SELECT count(*) FILTER (rc) AS reference_cohort, count(*) FILTER (cc) AS candidate_cohort, count(*) FILTER (rc AND cc) AS shared_cohort,
+  count(*) FILTER (rc AND NOT cc) AS reference_cohort_only, count(*) FILTER (cc AND NOT rc) AS candidate_cohort_only,
+  count(*) FILTER (rc AND cc AND ra AND cb) AS assigned_in_both, count(*) FILTER (rc AND cc AND ra AND NOT cb) AS reference_assigned_only,
+  count(*) FILTER (rc AND cc AND cb AND NOT ra) AS candidate_assigned_only, count(*) FILTER (rc AND cc AND NOT ra AND NOT cb) AS unassigned_in_both FROM f)
+SELECT c.*, round(ari, 6) AS ari, round(nmi, 6) AS nmi, (SELECT sum(n) FROM mutual2)::BIGINT AS matched_file_ids,
+round((SELECT sum(n) FROM mutual2) / assigned_in_both, 6) AS mutual_agreement, 'ok' AS status FROM c, scores2""")
 def _(t):
-    everyone = t.annotations.select("file_id")
-    return rounded(A.compare_memberships(run(t, "A"), run(t, "B"), everyone, everyone), "ari", "nmi", "mutual_agreement")
+    some, others = t.annotations.filter("tags <> '[]'").select("file_id"), t.annotations.filter("label < '2'").select("file_id")
+    out = A.compare_memberships(run(t, "A").filter("label <> 3"), run(t, "B"), some, others)
+    return rounded(out, "ari", "nmi", "mutual_agreement")
 
 
 @query("cluster_matches", "mutual la lb", """
