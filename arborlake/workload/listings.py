@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import natural_key, node_type_label, region_name_form
 from ..operators import catalog as C, filters as X, topology as T
 from ..sources import nodes as S
-from ..workload.registry import query
+from ..workload.registry import query, relation
 
 NODE_COLS = ("file_id, node_id, type, x, y, z, radius, parent_id, subject, neuron_id, region_id, "
              "x_flat_shaped, y_flat_shaped, flatmap_shaped_valid, depth_um, depth_valid")
@@ -292,15 +292,40 @@ def _(t):
     return T.slab_segments(T.edges(t.nodes), "z", 150.0, 10.0)
 
 
-@query("validate_trees", "nodes structures", """
-SELECT file_id, 'unknown region_id' AS issue, count(*) AS n FROM nodes
-WHERE region_id <> 0 AND region_id NOT IN (SELECT id FROM structures WHERE id <> 42) GROUP BY file_id
-UNION ALL
-SELECT file_id, 'dangling parent_id', count(*) FROM nodes n WHERE parent_id <> -1 AND NOT EXISTS
-  (SELECT 1 FROM nodes p WHERE p.file_id = n.file_id AND p.node_id = n.parent_id) GROUP BY file_id
-UNION ALL
-SELECT file_id, 'not exactly one soma', greatest(count(*) FILTER (type = 1), 1) FROM nodes GROUP BY file_id
-HAVING count(*) FILTER (type = 1) <> 1""")
-def _(t):
-    # an ontology without region 42, so that the report is not empty
-    return T.validate_trees(t.nodes, t.structures.filter("id <> 42"))
+# every rule broken once in some of the files: which one follows from the file's number
+relation("damaged", """
+WITH k AS (SELECT *, CAST(substr(file_id, 2, 5) AS INT) % 9 AS k FROM nodes)
+SELECT file_id, node_id, CASE WHEN k = 2 AND node_id = 4 THEN NULL WHEN k = 7 AND node_id = 1 THEN 2 WHEN k = 7 AND node_id = 2 THEN 1 ELSE type END AS type,
+  CASE WHEN k = 1 AND node_id = 3 THEN 'nan'::DOUBLE ELSE x END AS x, y, z,
+  CASE WHEN k = 4 AND node_id = 6 THEN -1 WHEN k = 5 AND node_id = 2 THEN 4 WHEN k = 8 AND node_id = 8 THEN 1000000 ELSE parent_id END AS parent_id,
+  CASE WHEN k = 3 AND node_id = 5 THEN -7 ELSE region_id END AS region_id
+FROM k, range(2) c(copy) WHERE copy = 0 OR (k = 6 AND node_id = 7)""", "nodes")
+
+
+@query("validate_trees", "damaged structures", """
+WITH RECURSIVE reach AS (SELECT file_id, node_id FROM damaged WHERE parent_id = -1 UNION
+  SELECT d.file_id, d.node_id FROM reach r JOIN damaged d ON d.file_id = r.file_id AND d.parent_id = r.node_id),
+f AS (SELECT file_id, count(*) AS n, count(DISTINCT node_id) AS ids, count(*) FILTER (type IS NULL) AS blank, count(*) FILTER (isnan(x)) AS odd,
+  count(*) FILTER (region_id < 0) AS negative, count(*) FILTER (parent_id = -1) AS roots, count(*) FILTER (type = 1) AS somas,
+  count(*) FILTER (type = 1 AND parent_id <> -1) AS low FROM damaged GROUP BY file_id)
+SELECT * FROM (
+SELECT file_id, 'duplicate node_id' AS issue, n - ids AS n FROM f UNION ALL SELECT file_id, 'null value', blank FROM f
+UNION ALL SELECT file_id, 'coordinate not finite', odd FROM f UNION ALL SELECT file_id, 'negative region_id', negative FROM f
+UNION ALL SELECT file_id, 'not exactly one root', greatest(roots, 1) FROM f WHERE roots <> 1
+UNION ALL SELECT file_id, 'not exactly one soma', greatest(somas, 1) FROM f WHERE somas <> 1
+UNION ALL SELECT file_id, 'soma is not the root', low FROM f WHERE somas = 1
+UNION ALL SELECT file_id, 'unknown region_id', count(*) FROM damaged WHERE region_id <> 0 AND region_id NOT IN (SELECT id FROM structures WHERE id <> 42) GROUP BY file_id
+UNION ALL SELECT file_id, 'dangling parent_id', count(*) FROM damaged n WHERE parent_id <> -1 AND NOT EXISTS
+  (SELECT 1 FROM damaged p WHERE p.file_id = n.file_id AND p.node_id = n.parent_id) GROUP BY file_id
+UNION ALL SELECT file_id, 'not connected to the root', ids - (SELECT count(*) FROM reach r WHERE r.file_id = f.file_id) FROM f) q WHERE n > 0""")
+def _(t):
+    # an ontology without region 42, so that unknown regions come up as well
+    k, node = F.substring("file_id", 2, 5).cast("int") % 9, F.col("node_id")
+    rows = t.nodes.withColumns({
+        "type": F.when((k == 2) & (node == 4), F.lit(None)).when((k == 7) & (node == 1), 2).when((k == 7) & (node == 2), 1).otherwise(F.col("type")),
+        "x": F.when((k == 1) & (node == 3), float("nan")).otherwise(F.col("x")),
+        "parent_id": F.when((k == 4) & (node == 6), -1).when((k == 5) & (node == 2), 4).when((k == 8) & (node == 8), 1_000_000).otherwise(F.col("parent_id")),
+        "region_id": F.when((k == 3) & (node == 5), -7).otherwise(F.col("region_id")),
+    })
+    twice = rows.unionByName(rows.filter((k == 6) & (node == 7)))
+    return T.validate_trees(twice, t.structures.filter("id <> 42"))
