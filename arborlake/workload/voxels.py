@@ -189,9 +189,9 @@ def _(t):
 
 @query("represented_regions", "nodes closure", """
 SELECT DISTINCT ancestor_region_id AS region_id FROM closure
-WHERE direct_region_id IN (SELECT region_id FROM nodes WHERE type = 2 AND x < 200)""")
+WHERE direct_region_id IN (SELECT region_id FROM nodes)""")
 def _(t):
-    return R.represented_regions(t.nodes.filter("type = 2 AND x < 200"), R.structures_closure(t.structures))
+    return R.represented_regions(t.nodes, R.structures_closure(t.structures))
 
 
 @query("region_descendants", "closure nodes", """
