@@ -32,8 +32,8 @@ SLICE_BYTES = 4 << 20
 # -- fingerprints ----------------------------------------------------------------------------------------------------
 
 
-def fingerprints_of(texts, shingle: int) -> np.ndarray:
-    """One unsigned 64-bit fingerprint per text."""
+def shingle_hashes(texts, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 hashes of all shingles in the order of the texts, repeats included, and the number of shingles per text."""
     data, begins = flat(texts)
     data = FOLDED[data]
     starts, ends, first = word_spans(data, begins, SPACES)
@@ -51,7 +51,13 @@ def fingerprints_of(texts, shingle: int) -> np.ndarray:
     until = np.minimum(begin + shingle, np.repeat(first[1:], count))
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(at[begin].tolist(), (at[until] - 1).tolist())), np.uint64, len(begin))
-    out = np.zeros(len(words), np.uint64)
+    return hashes, count
+
+
+def fingerprints_of(texts, shingle: int) -> np.ndarray:
+    """One unsigned 64-bit fingerprint per text."""
+    hashes, count = shingle_hashes(texts, shingle)
+    out = np.zeros(len(count), np.uint64)
     filled = np.flatnonzero(count)
     if len(filled):
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
