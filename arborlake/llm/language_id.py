@@ -18,13 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import fits_broadcast, settle
 from .common import FOLDED, bounded_batches, flat, slices
 
+#: Rows of every label that the fit reads.
 SAMPLE = 4000
-LANGUAGES = 64
+#: Columns of the likelihood table that are looked up at once, so that memory does not grow with the languages.
+COLUMNS = 8
 BINS = 1 << 16
 #: Share of a trigram's probability that is uniform, so that no rare trigram decides alone.
 FLOOR = 0.01
@@ -68,24 +70,51 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ], ["lang", "docs", "counts"])
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
-    """Log likelihoods of trigrams by language, from the ``sample`` labelled rows of smallest id hash.
+def _sample(rows: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of the ``sample`` smallest marks of every label; equal rows are one mark.
 
-    The sample and the number of languages (the most frequent ones) bound what reaches the driver: 512 kB a language.
+    Marks are spread evenly, so a bound on them leaves some multiple of the sample whatever the size of the label. It is
+    widened for the labels that repeated rows leave short.
     """
-    rows = labelled.filter((F.trim(F.col(lang)) != "") & (F.trim(F.col(text)) != ""))
-    mark = F.xxhash64(F.col(id_col), F.col(lang))
-    bound = rows.select(mark.alias("m")).orderBy("m").limit(sample).agg(F.max("m")).first()[0]
-    if bound is None:
-        return {}
-    chosen = rows.filter(mark <= bound).limit(sample).select(F.lower(F.trim(F.col(lang))).alias("lang"), F.col(text).alias("text"))
+    spark = rows.sparkSession
+    count = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    last, share, bounds = (1 << 63) - 1, dict.fromkeys(count, 4), {}
+    while share:
+        upto = {k: min(last, (sample * times << 64) // count[k] - (1 << 63)) for k, times in share.items()}
+        table = F.broadcast(spark.createDataFrame(list(upto.items()), "lang string, upto long"))
+        marks = rows.join(table, "lang").filter("mark <= upto").select("lang", "mark").distinct()
+        ranked = marks.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("at") <= sample)
+        found = {r["lang"]: r for r in ranked.groupBy("lang").agg(F.max("mark").alias("bound"), F.count(F.lit(1)).alias("n")).collect()}
+        for k in list(share):
+            if upto[k] == last or k in found and found[k]["n"] == sample:
+                bounds[k] = found[k]["bound"]
+                del share[k]
+            else:
+                share[k] *= 16
+    if not bounds:
+        return rows.select("lang", "text").limit(0)
+    table = F.broadcast(spark.createDataFrame(list(bounds.items()), "lang string, bound long"))
+    return rows.join(table, "lang").filter("mark <= bound").groupBy("lang", "mark").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, languages: int | None = None) -> dict[str, np.ndarray]:
+    """Log likelihoods of trigrams by language, from the ``sample`` rows of smallest hash of every label.
+
+    Every label is a class, however few rows it has, unless ``languages`` asks for the most frequent ones alone. The
+    sample bounds the rows of a label; the driver holds 512 kB a label.
+    """
+    rows = labelled.filter((F.trim(F.col(lang)) != "") & (F.trim(F.col(text)) != "")).select(
+        F.lower(F.trim(F.col(lang))).alias("lang"), F.xxhash64(F.col(id_col), F.col(lang), F.col(text)).alias("mark"), F.col(text).alias("text"))
+    if languages is not None:
+        most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+        rows = rows.join(F.broadcast(most), "lang", "left_semi")
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for row in chosen.repartition(4).mapInArrow(_count, "lang string, docs long, counts binary").collect():
+    for row in _sample(rows, sample).repartition(4).mapInArrow(_count, "lang string, docs long, counts binary").toLocalIterator():
         total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")[:BINS]
         docs[row["lang"]] = docs.get(row["lang"], 0) + row["docs"]
     model = {}
-    for name in sorted(docs, key=lambda k: (-docs[k], k))[:languages]:
+    for name in sorted(docs, key=lambda k: (-docs[k], k)):
         p = (total[name] + 0.05) / (total[name].sum() + 0.05 * BINS)
         model[name] = np.log((1 - FLOOR) * p + FLOOR / BINS)
     return model
@@ -98,6 +127,7 @@ def _score(model: dict[str, np.ndarray], text: str, declared: str | None, markup
         table[:BINS, k] = TEMPER * model[name]
     table[:BINS, -2] = TEMPER * np.log(1 / BINS)
     table[:BINS, -1] = 1
+    blocks = [np.ascontiguousarray(table[:, k: k + COLUMNS]) for k in range(0, table.shape[1], COLUMNS)]
     tags = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^>]*(?:>|\Z)", re.I | re.S)
     said = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})\b", re.I)
 
@@ -114,7 +144,7 @@ def _score(model: dict[str, np.ndarray], text: str, declared: str | None, markup
                 elif declared:
                     says = pc.utf8_lower(row.field(declared).cast(pa.string()))
                 bins, begins = trigrams(texts)
-                sums = np.add.reduceat(table[bins], begins[:-1], axis=0, dtype=np.float64) if len(bins) else np.zeros((0, table.shape[1]))
+                sums = np.hstack([np.add.reduceat(t[bins], begins[:-1], axis=0, dtype=np.float64) for t in blocks]) if len(bins) else np.zeros((0, table.shape[1]))
                 grams = sums[:, -1].astype(np.int64)
                 votes = _softmax(sums[:, :-1] + np.log(_flat_prior(len(names)))) * (grams > 0)[:, None]
                 yield pa.RecordBatch.from_arrays([
