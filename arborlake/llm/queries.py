@@ -195,3 +195,13 @@ def image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     images = vector_images(table(spark, sf_dir, "embeddings"))
     return find_copies(images, queries=F.col("image_id") % 50 == 0)
+
+
+@query("op12_curriculum")
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .curriculum import curriculum
+
+    mix = curriculum(table(spark, sf_dir, "documents"))
+    # the uses of one row are summed; (doc_id, code, source, again) is one row of the table
+    per = mix.groupBy("doc_id", "code", "source", "again", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("step").alias("first_step"))
+    return per.select("doc_id", "size", "source_size", "target", "taken", "source", "first_step")
