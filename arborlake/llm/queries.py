@@ -205,3 +205,10 @@ def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the uses of one row are summed; (doc_id, code, source, again) is one row of the table
     per = mix.groupBy("doc_id", "code", "source", "again", "size", "source_size", "target").agg(F.sum("words").alias("taken"), F.min("step").alias("first_step"))
     return per.select("doc_id", "size", "source_size", "target", "taken", "source", "first_step")
+
+
+@query("op13_spelling")
+def spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
