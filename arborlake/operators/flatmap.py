@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import clamp
 from ..model import CORTICAL_LAYERS, INVALID_CODES, SOMA, Grid, all_finite, col, finite
 from ..session import keep_keys, lookup_join
+from .blocks import at_voxels
 from .pearson import PearsonResult, pearson
 from .volumes import scoped_nodes
 
@@ -315,15 +316,15 @@ def project_nodes(nodes: DataFrame, lookup: DataFrame, p: Projection, mirror_fal
     """
     kept = [c for c in nodes.columns if c not in ("x_flat", "y_flat", "depth_um", "flatmap_valid", "depth_valid", "valid")]
     ident = ["file_id", "node_id"]
-    rows = lookup_join(
-        _keyed(nodes.select(*kept), p, "d_"), _lookup_table(lookup, p.grid, "d_key", "d_"), "d_key", "left", salt_by=ident
-    )
+    table = _lookup_table(lookup, p.grid, "d_key", "d_")
+    rows = at_voxels(_keyed(nodes.select(*kept), p, "d_"), "d_key", table, p.grid, table.columns[1:], salt_by=ident)
     good = lambda s: F.coalesce(F.col(f"{s}in") & lookup_valid(p.zero_sentinel, p.negative_one_sentinel, f"{s}x_flat", f"{s}y_flat"), F.lit(False))
     deep = lambda s: F.coalesce(F.col(f"{s}in") & finite(f"{s}depth_um") & (F.col(f"{s}depth_um") >= 0), F.lit(False))
     rows = rows.withColumns({"d_map": good("d_"), "d_deep": deep("d_")}).withColumn("d_ok", F.col("d_map") & F.col("d_deep"))
     if mirror_fallback:
         rows = _keyed(rows, p, "m_", mirrored=True, only=~F.col("d_ok"))
-        rows = lookup_join(rows, _lookup_table(lookup, p.grid, "m_key", "m_"), "m_key", "left", salt_by=ident)
+        table = _lookup_table(lookup, p.grid, "m_key", "m_")
+        rows = at_voxels(rows, "m_key", table, p.grid, table.columns[1:], salt_by=ident, summary=_keyed(nodes, p, "m_", mirrored=True))
         rows = rows.withColumns({"m_map": good("m_"), "m_deep": deep("m_")}).withColumns({
             "take_depth": F.col("d_map") & ~F.col("d_deep") & F.col("m_deep"),
             "take_all": ~F.col("d_map") & F.col("m_map") & F.col("m_deep"),
@@ -394,7 +395,7 @@ def augment_v3(
     }
     kept = [c for c in nodes.columns if c not in replaced]
     rows = _keyed(nodes.select(*kept), p, "v_").withColumnRenamed("v_key", "key")
-    rows = lookup_join(rows, table, "key", "left", salt_by=["file_id", "node_id"])
+    rows = at_voxels(rows, "key", table, p.grid, table.columns[1:], salt_by=["file_id", "node_id"])
     usable = lambda c: F.coalesce(F.col("v_in") & finite(c) & (F.col(c) >= 0), F.lit(False))
     rows = rows.withColumns({"own": usable("d0"), "back": ~usable("d0") & usable("d1")})
     rows = rows.withColumn("deep", F.col("own") | F.col("back"))

@@ -11,7 +11,7 @@ from ..functions.ranks import number_rows
 from ..model import Grid, finite
 from .components import connected_components
 from .flatmap import FlatGrid, _axis_bin, _selected, lookup_valid
-from .regions import shifted
+from .stencil import beside
 from .volumes import VOXEL
 
 ZYX = ("z", "y", "x")
@@ -128,9 +128,8 @@ SURFACE_FACES = [
 
 
 def _open_sides(bins: DataFrame, directions: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """Sides of bins whose neighbour in that direction is not of the same region."""
-    moved = shifted(bins, directions, ZYX, carry=["region_id"])
-    return moved.join(bins, ["region_id", *ZYX], "left_anti")
+    """(region_id, z, y, x, way): sides of bins whose neighbour in that direction is not of the same region."""
+    return beside(bins, ZYX, directions, group="region_id")
 
 
 def _literal(values: Sequence[Sequence[float]]) -> Column:
@@ -140,18 +139,17 @@ def _literal(values: Sequence[Sequence[float]]) -> Column:
 def region_outlines(bins: DataFrame) -> DataFrame:
     """In-plane boundary edges per region: start point and direction in bin coordinates."""
     sides = _open_sides(bins, [d for d, _, _ in OUTLINE_EDGES])
-    pick = lambda table, i: F.element_at(F.element_at(_literal(table), F.col("_way") + 1), i + 1)
+    pick = lambda table, i: F.element_at(F.element_at(_literal(table), F.col("way") + 1), i + 1)
     starts, vectors = [s for _, s, _ in OUTLINE_EDGES], [v for _, _, v in OUTLINE_EDGES]
     return sides.select(
-        "region_id", *[(F.col(f"_from_{n}") + pick(starts, i)).alias(n) for i, n in enumerate(ZYX)],
+        "region_id", *[(F.col(n) + pick(starts, i)).alias(n) for i, n in enumerate(ZYX)],
         *[pick(vectors, i).alias(f"d{n}") for i, n in enumerate(ZYX)],
     )
 
 
 def exposed_faces(bins: DataFrame) -> DataFrame:
     """(region_id, z, y, x, way): bin faces without a neighbour of the same region."""
-    sides = _open_sides(bins, [d for d, _ in SURFACE_FACES])
-    return sides.select("region_id", *[F.col(f"_from_{n}").alias(n) for n in ZYX], F.col("_way").alias("way"))
+    return _open_sides(bins, [d for d, _ in SURFACE_FACES])
 
 
 def region_faces(bins: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -185,8 +183,9 @@ def region_components(bins: DataFrame) -> DataFrame:
     """Number of 6-connected components per region. Only forward neighbours are linked."""
     key = F.struct("region_id", *ZYX)
     forward = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
-    links = shifted(bins, forward, ZYX, carry=["region_id"]).join(bins, ["region_id", *ZYX], "left_semi").select(
-        F.struct("region_id", *[F.col(f"_from_{n}").alias(n) for n in ZYX]).alias("src"), key.alias("dst")
+    step = lambda k: F.element_at(F.array(*[F.lit(f[k]).cast("long") for f in forward]), F.col("way") + 1)
+    links = beside(bins, ZYX, forward, group="region_id", present=True).select(
+        key.alias("src"), F.struct("region_id", *[(F.col(n) + step(k)).alias(n) for k, n in enumerate(ZYX)]).alias("dst")
     )
     found = connected_components(bins.select(key.alias("id")), links)
     return found.select(F.col("component.region_id").alias("region_id"), "component").distinct().groupBy("region_id").agg(

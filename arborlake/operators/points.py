@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import origin_form, region_name_form
 from ..model import Grid, all_finite
 from ..session import lookup_join
+from .blocks import at_voxels
 
 
 def point_group_summary(points: DataFrame) -> DataFrame:
@@ -55,7 +56,7 @@ def validate_points_atlas(points: DataFrame, annotation: DataFrame, structures:
     ai, bi, ci = point_voxel(grid)
     volume = annotation.filter(grid.holds()).select(grid.linear().alias("_voxel"), F.col("region_id").alias("atlas_id"))
     rows = points.withColumn("_voxel", F.when(all_finite("x", "y", "z") & grid.holds(ai, bi, ci), grid.linear(ai, bi, ci)))
-    rows = lookup_join(rows, volume, "_voxel", "left").drop("_voxel").withColumn("atlas_id", F.coalesce("atlas_id", F.lit(0)))
+    rows = at_voxels(rows, "_voxel", volume, grid, ["atlas_id"]).drop("_voxel").withColumn("atlas_id", F.coalesce("atlas_id", F.lit(0)))
     names = structures.select(F.col("id").alias("atlas_id"), F.col("name").alias("atlas_region_name"), F.col("acronym").alias("atlas_acronym"))
     rows = lookup_join(rows, names, "atlas_id", "left").na.fill("", ["atlas_region_name", "atlas_acronym"])
     z, mid = F.col("z"), grid.mirror_point

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
 from ..session import forget, lookup_join, settle
+from .blocks import at_voxels
+from .catalog import voxel_of
 from .topology import validate_trees
 
 # Crossings closer than this in edge parameter are one corner.
@@ -110,7 +112,8 @@ def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
     )
     sums = rows.groupBy("file_id", "voxel", "own_region", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
     volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("voxel"), "region_id")
-    joined = lookup_join(sums.filter("_end OR cable > 0"), volume, "voxel", "left", salt_by=["file_id", "side"])
+    # blocks crowded with nodes are crowded with their cable, and nodes need no join to be counted
+    joined = at_voxels(sums.filter("_end OR cable > 0"), "voxel", volume, grid, ["region_id"], salt_by=["file_id", "side"], summary=voxel_of(nodes, grid, "voxel"))
     region = F.when(F.col("_end"), F.col("own_region")).otherwise(F.coalesce("region_id", F.lit(0)))
     return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -12,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import path_ids
 from ..functions.ranks import number_rows
 from ..model import CORTICAL_LAYERS, Grid, all_finite
-from ..session import lookup_join, settle, union_all
+from ..session import forget, lookup_join, settle, union_all
+from .blocks import BlockVolume, at_voxels
+from .stencil import beside, offsets_to_nearest
 from .volumes import VOXEL, mask_union
 
 
@@ -34,20 +35,24 @@ def structures_closure(structures: DataFrame) -> DataFrame:
     ).distinct().orderBy("ancestor_region_id", "direct_region_id", "depth")
 
 
-def annotate_regions(nodes: DataFrame, annotation: DataFrame, structures: DataFrame, grid: Grid) -> DataFrame:
-    """Region id, name and acronym per node: voxel by truncation toward zero, 0 outside."""
+def annotate_regions(nodes: DataFrame, annotation: DataFrame | BlockVolume, structures: DataFrame, grid: Grid) -> DataFrame:
+    """Region id, name and acronym per node: voxel by truncation toward zero, 0 outside.
+
+    ``annotation`` is a sparse volume or one in blocks of ``region_id``, written once for many calls.
+    """
     index = [(F.col(c) / F.lit(r)).cast("long") for c, r in zip("xyz", grid.resolution)]
     inside = all_finite("x", "y", "z")
     rows = nodes.drop("region_id", "region_name", "region_acronym").withColumn(
         "_voxel", F.when(inside & grid.holds(*[F.when(inside, i) for i in index]), grid.linear(*[F.when(inside, i) for i in index]))
     )
-    volume = annotation.filter("region_id <> 0").select(grid.linear().alias("_voxel"), "region_id")
+    volume = annotation
+    if isinstance(annotation, DataFrame):
+        volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("_voxel"), "region_id")
     names = structures.select(
         F.col("id").alias("region_id"), F.col("name").alias("region_name"), F.col("acronym").alias("region_acronym")
     )
-    labelled = lookup_join(rows, volume, "_voxel", "left", salt_by=["file_id", "node_id"]).drop("_voxel").withColumn(
-        "region_id", F.coalesce("region_id", F.lit(0))
-    )
+    found = at_voxels(rows, "_voxel", volume, grid, ["region_id"], salt_by=["file_id", "node_id"])
+    labelled = found.drop("_voxel").withColumn("region_id", F.coalesce("region_id", F.lit(0)))
     return lookup_join(labelled, names, "region_id", "left", salt_by=["file_id", "node_id"])
 
 
@@ -86,42 +91,12 @@ def ids_of(structures: DataFrame, acronyms: Sequence[str]) -> list[int]:
 _FACES = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
 
 
-def shifted(df: DataFrame, offsets: Sequence[tuple[int, ...]], names: Sequence[str] = VOXEL, carry: Sequence[str] = ()):
-    """Each row once per offset, with the offset number as ``_way``."""
-    steps = F.array(*[
-        F.struct(F.lit(i).alias("way"), *[F.lit(int(v)).alias(n) for n, v in zip(names, o)]) for i, o in enumerate(offsets)
-    ])
-    rows = df.select(*names, *carry, F.explode(steps).alias("_s"))
-    moved = [(F.col(n) + F.col(f"_s.{n}")).alias(n) for n in names]
-    return rows.select(*moved, *carry, F.col("_s.way").alias("_way"), *[F.col(n).alias(f"_from_{n}") for n in names])
-
-
-def _ball(radius: float, spacing: Sequence[float]) -> list[tuple[int, int, int]]:
-    reach = [int(radius // s) for s in spacing]
-    cells = itertools.product(*[range(-r, r + 1) for r in reach])
-    inside = [c for c in cells if 0 < math.sqrt(sum((v * s) ** 2 for v, s in zip(c, spacing))) <= radius]
-    return inside
-
-
 def _distances(mask: DataFrame, boundary: DataFrame, grid: Grid, radius: float) -> DataFrame:
-    """Distance of each voxel outside the mask to its nearest mask voxel, up to the radius.
-
-    The offsets of the ball are a small table keyed by nothing else than a constant per boundary voxel: they are
-    exploded per axis from sequences, so no task holds more than one voxel's ball.
-    """
-    sa, sb, sc = grid.resolution
-    span = lambda s, left: F.sequence(-F.floor(left / F.lit(s)), F.floor(left / F.lit(s)))
-    rest = lambda used: F.sqrt(F.greatest(F.lit(radius * radius) - used, F.lit(0.0)))
-    rows = boundary.withColumn("da", F.explode(span(sa, F.lit(radius))))
-    rows = rows.withColumn("db", F.explode(span(sb, rest(F.pow(F.col("da") * sa, F.lit(2.0))))))
-    flat = F.pow(F.col("da") * sa, F.lit(2.0)) + F.pow(F.col("db") * sb, F.lit(2.0))
-    rows = rows.withColumn("dc", F.explode(span(sc, rest(flat))))
-    distance = F.sqrt(flat + F.pow(F.col("dc") * sc, F.lit(2.0)))
-    near = rows.select(
-        (F.col("ai") + F.col("da")).alias("ai"), (F.col("bi") + F.col("db")).alias("bi"),
-        (F.col("ci") + F.col("dc")).alias("ci"), distance.alias("d"),
-    ).filter(grid.holds() & (F.col("d") > 0) & (F.col("d") <= F.lit(radius)))
-    return near.groupBy(*VOXEL).agg(F.min("d").alias("d")).join(mask, list(VOXEL), "left_anti")
+    """Distance of each voxel outside the mask to its nearest mask voxel, up to the radius."""
+    found = offsets_to_nearest(boundary, grid, radius, VOXEL)
+    square = [F.pow(F.col(d) * s, F.lit(2.0)) for d, s in zip(("da", "db", "dc"), grid.resolution)]
+    near = found.select(*VOXEL, F.sqrt(square[0] + square[1] + square[2]).alias("d")).filter((F.col("d") > 0) & (F.col("d") <= F.lit(radius)))
+    return near.join(mask, list(VOXEL), "left_anti")
 
 
 def dilate_mask(
@@ -129,26 +104,36 @@ def dilate_mask(
 ) -> DataFrame:
     """Grow a mask by Euclidean distance until its volume has risen by the fraction.
 
-    Only boundary voxels are spread (the nearest mask voxel of any outside voxel is one), inside a ball that is
-    doubled until the target volume is passed. The threshold is searched on the counts per distinct distance.
+    Distances start from boundary voxels (the nearest mask voxel of any outside voxel is one) and reach as far as the
+    new voxels need if they lie evenly on the boundary, or else twice as far as before. The threshold is searched on the
+    counts per distinct distance.
     """
     mask = settle(mask.select(*[F.col(v).cast("long").alias(v) for v in VOXEL]).distinct())
     volume = mask.count()
     if not volume:
         raise ValueError("cannot grow an empty mask")
     target = volume * (1.0 + float(fraction))
-    open_faces = shifted(mask, _FACES).filter(grid.holds()).join(mask, list(VOXEL), "left_anti")
-    boundary = settle(open_faces.select(*[F.col(f"_from_{v}").alias(v) for v in VOXEL]).distinct())
+    sides = beside(mask, VOXEL, _FACES)
+    step = [F.element_at(F.array(*[F.lit(f[k]) for f in _FACES]), F.col("way") + 1) for k in range(3)]
+    sides = sides.filter(grid.holds(*[F.col(v) + s for v, s in zip(VOXEL, step)]))
+    boundary = settle(sides.groupBy(*VOXEL).agg(F.count(F.lit(1)).alias("sides")))
     diagonal = math.sqrt(sum(e * e for e in grid.extent))
-    high = max(grid.resolution)
+    layers = (target - volume) / max(boundary.agg(F.sum("sides")).first()[0] or 1, 1)
+    unit = max(grid.resolution)
+    reach = unit * 2.0 ** max(0, math.ceil(math.log2(max(layers, 1.0))))
     while True:
-        found = settle(_distances(mask, boundary, grid, high))
+        found = settle(_distances(mask, boundary, grid, reach))
         steps = sorted((r["d"], r["n"]) for r in found.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect())
         grown = lambda t: volume + sum(n for d, n in steps if d <= t)
-        if grown(high) >= target:
+        if grown(reach) >= target:
             break
-        if high > diagonal:
+        if reach > diagonal:
             raise ValueError("the grid is too small for the wanted volume")
+        reach *= 2.0
+        forget(found)
+    # the search begins at the first doubling of a voxel's size that is far enough
+    high = unit
+    while grown(high) < target:
         high *= 2.0
     low, best, error = 0.0, high, abs(grown(high) - target)
     for _ in range(max_iterations):

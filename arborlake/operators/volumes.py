@@ -11,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.quantiles import percentiles
 from ..functions.ranks import number_rows
 from ..model import Grid, all_finite, finite, pack_voxel, resolution3, unpack_voxel
-from ..session import keep_keys, lookup_join, union_all
+from ..session import keep_keys, union_all
+from .blocks import BlockVolume, at_voxels
 from .catalog import inside_voxels, voxel_of
 from .filters import VoxelNodeFilter, within_soma_radius
+from .stencil import convolve
 
 VOXEL = ("ai", "bi", "ci")
 
@@ -49,10 +51,13 @@ def with_indices(df: DataFrame) -> DataFrame:
     return df.withColumns({"ai": ai, "bi": bi, "ci": ci}).drop("voxel")
 
 
-def voxel_lut_join(nodes: DataFrame, grid: Grid, lut: DataFrame) -> DataFrame:
+def voxel_lut_join(nodes: DataFrame, grid: Grid, lut: DataFrame | BlockVolume) -> DataFrame:
     """Attach ``voxel_id`` of a lookup table (ai, bi, ci, voxel_id); rows without an id ≥ 0 vanish."""
-    table = lut.filter((F.col("voxel_id") >= 0) & grid.holds()).select(grid.linear().alias("_voxel"), "voxel_id")
-    return lookup_join(voxel_of(nodes, grid), table, "_voxel").drop("_voxel")
+    table = lut
+    if isinstance(lut, DataFrame):
+        table = lut.filter((F.col("voxel_id") >= 0) & grid.holds()).select(grid.linear().alias("_voxel"), "voxel_id")
+    found = at_voxels(voxel_of(nodes, grid).filter("_voxel IS NOT NULL"), "_voxel", table, grid, ["voxel_id"])
+    return found.filter("voxel_id >= 0").drop("_voxel")
 
 
 def lut_counts(nodes: DataFrame, grid: Grid, lut: DataFrame) -> DataFrame:
@@ -161,34 +166,12 @@ def gaussian_weights(sigma: float) -> list[float]:
     return [float(w) for w in weights / weights.sum()]
 
 
-def _smooth_axis(volume: DataFrame, axis: str, size: int, weights: list[float], value: str) -> DataFrame:
-    """One pass: a voxel gives its value to its neighbours; an edge voxel also stands for all beyond the edge."""
-    radius = len(weights) // 2
-    up_to = list(np.cumsum(weights))
-    from_on = list(np.cumsum(weights[::-1])[::-1])
-    pick = lambda table, k: F.element_at(F.array(*[F.lit(float(w)) for w in table]), (k + radius + 1).cast("int"))
-    here, target = F.col(axis), F.col("_to")
-    shift = here - target
-    weight = F.when((here == 0) & (here == size - 1), F.lit(1.0)).when(here == 0, pick(up_to, shift)).when(
-        here == size - 1, pick(from_on, shift)
-    ).otherwise(pick(weights, shift))
-    span = F.sequence(F.greatest(here - radius, F.lit(0)), F.least(here + radius, F.lit(size - 1)))
-    others = [v for v in VOXEL if v != axis]
-    spread = volume.withColumn("_to", F.explode(span)).select(
-        *others, target.alias("_t"), (F.col(value) * weight).alias(value)
-    )
-    return spread.groupBy(*others, F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
-
-
 def smooth_heatmap(volume: DataFrame, grid: Grid, sigma: float = 1.0, value: str = "n") -> DataFrame:
-    """Separable Gaussian with nearest edges; sigma ≤ 0 copies."""
+    """Separable Gaussian with nearest edges; sigma ≤ 0 copies. One exchange: blocks are convolved with the rims of their neighbours."""
     out = volume.select(*[F.col(v).cast("long").alias(v) for v in VOXEL], F.col(value).cast("double").alias(value))
     if sigma <= 0:
         return out
-    weights = gaussian_weights(sigma)
-    for axis, size in zip(VOXEL, grid.shape):
-        out = _smooth_axis(out, axis, size, weights, value)
-    return out
+    return convolve(out, grid, VOXEL, value, gaussian_weights(sigma))
 
 
 def _edges(low: float, high: float, bins: int) -> list[float]:

@@ -102,6 +102,25 @@ def salts(spark: SparkSession) -> int:
     return int(spark.conf.get(SALTS_KEY, "16"))
 
 
+#: Keys that a frequency summary names at most, items it tracks, and the share of an average task from which a key is heavy.
+HEAVY_KEYS = 256
+TRACKED_KEYS = 8192
+HEAVY_SHARE = 0.5
+
+
+def heavy_keys(rows: DataFrame, keys: Sequence[str]) -> list[int]:
+    """Hashes of the keys that own so many rows that a task would feel it, from one bounded summary of frequent items.
+
+    The summary is a sketch per task, merged like any aggregate. It only decides which rows are spread, so its errors
+    cost time and change no result.
+    """
+    hashed = rows.select(F.xxhash64(*keys).alias("_key"))
+    found = hashed.agg(F.expr(f"approx_top_k(_key, {HEAVY_KEYS}, {TRACKED_KEYS})").alias("top"), F.count(F.lit(1)).alias("n")).first()
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = HEAVY_SHARE * found["n"] / parts
+    return [r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] > max(least, 1)]
+
+
 def lookup_join(
     big: DataFrame,
     table: DataFrame,
@@ -109,22 +128,33 @@ def lookup_join(
     how: str = "inner",
     salt_by: Sequence[str] | None = None,
     check: bool = True,
+    summary: DataFrame | None = None,
+    salt_all: bool | None = None,
 ) -> DataFrame:
     """Join many rows to a table with one row per key, whatever the key distribution.
 
-    A table whose counted size is within the bound is broadcast, so ``big`` is not moved. Beyond it, or with
-    ``check=False`` for a table that is itself an aggregate of the data (counting it first would run the
-    aggregate twice), ``big`` is hashed on (key, salt) and the table repeated once per salt: a key that owns a
-    third of the rows is spread over many tasks. Every row of ``big`` meets exactly one copy of its key.
+    A table whose counted size is within the bound is broadcast, so ``big`` is not moved. Beyond it the heavy keys of ``big`` are
+    named by a bounded summary (of ``summary``, a cheaper frame with the same keys, where one is given); their rows are hashed on
+    (key, salt) and their rows of the table repeated once per salt, and all other rows meet in a plain join. So a key that owns a
+    third of the rows is spread over many tasks and the table moves once. ``check=False`` is for a table that is itself an
+    aggregate of the data (counting it first would run the aggregate twice); it then salts all keys, unless ``salt_all`` says
+    otherwise. Every row of ``big`` meets exactly one copy of its key.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if check and fits_broadcast(table):
         return big.join(F.broadcast(table), keys, how)
     n = salts(big.sparkSession)
     by: list[Column] = [F.col(c) for c in (salt_by or big.columns)]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(n)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+    salt = F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    copies = F.sequence(F.lit(0), F.lit(n - 1))
+    if not (not check if salt_all is None else salt_all):
+        heavy = heavy_keys(big if summary is None else summary, keys)
+        if not heavy:
+            return big.join(table, keys, how)
+        is_heavy = F.xxhash64(*keys).isin(heavy)
+        salt, copies = F.when(is_heavy, salt).otherwise(0), F.when(is_heavy, copies).otherwise(F.array(F.lit(0)))
+    salted = big.withColumn("_salt", salt)
+    return salted.join(table.withColumn("_salt", F.explode(copies)), [*keys, "_salt"], how).drop("_salt")
 
 
 def frame_of(spark: SparkSession, values: Sequence, name: str, kind: str) -> DataFrame:
