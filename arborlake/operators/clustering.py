@@ -8,19 +8,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import number_rows, running_before
 from ..session import forget, lookup_join, settle, union_all
 from .components import connected_components
+from .linkage import LAST_CLUSTERS, LINKAGES, linkage, matrix_rows, single_merges, spanning_tree
 from .pairs import all_pairs
 
-LINKAGES = ("average", "ward", "complete", "single")
 BLOCK = 512
-# So few clusters are merged one by one in a task: at most 2,016 pairs, against one round of jobs per few merges.
-LAST_CLUSTERS = 64
 
 
 def soma_distances(coords: DataFrame, dims: Sequence[str] = "xyz", n: int | None = None) -> DataFrame:
@@ -92,122 +88,36 @@ class Tree:
         return number_rows(self.merges, ["height", "size", "left_id"], "step", start=1)
 
 
-def _distance(method: str) -> Column:
-    if method != "ward":
-        return F.col("s")
-    between = F.col("s") - F.col("wa") - F.col("wb")
-    return F.sqrt(F.greatest(F.lit(2.0) * F.col("na") * F.col("nb") / (F.col("na") + F.col("nb")) * between, F.lit(0.0)))
-
-
-_MERGES = (
-    "node string, left_node string, right_node string, left_id string, right_id string, height double, size long, "
-    "left_size long"
-)
-
-
-def _last_merges(method: str, start: int):
-    """Merge the last few clusters in rounds of reciprocal nearest ones, the smaller id on a tie, as the rounds of jobs do."""
-
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(set(rows["a"]) | set(rows["b"]))
-        at = {v: i for i, v in enumerate(ids)}
-        a, b = rows["a"].map(at).to_numpy(), rows["b"].map(at).to_numpy()
-        s = np.zeros((len(ids), len(ids)))
-        n, w, key = np.ones(len(ids)), np.zeros(len(ids)), np.array(ids, dtype=object)
-        s[a, b] = s[b, a] = rows["s"]
-        for side, index in (("a", a), ("b", b)):
-            n[index], w[index], key[index] = rows[f"n{side}"], rows[f"w{side}"], rows[f"k{side}"]
-        out, active = [], list(range(len(ids)))
-        while len(active) > 1:
-            d = s
-            if method == "ward":
-                between = s - w[:, None] - w[None, :]
-                d = np.sqrt(np.maximum(2.0 * n[:, None] * n[None, :] / (n[:, None] + n[None, :]) * between, 0.0))
-            apart = d[np.ix_(active, active)].copy()
-            np.fill_diagonal(apart, np.inf)
-            nearest = apart.argmin(axis=1)
-            pairs = [(active[x], active[y]) for x, y in enumerate(nearest) if x < y and nearest[y] == x]
-            for i, j in pairs:
-                size, node = n[i] + n[j], f"{start + len(out)}:{ids[i]}"
-                out.append((node, key[i], key[j], ids[i], ids[j], float(d[i, j]), int(size), int(n[i])))
-                w[i] = (n[i] ** 2 * w[i] + n[j] ** 2 * w[j] + n[i] * n[j] * s[i, j]) / size**2
-                fold = {"complete": np.maximum, "single": np.minimum}.get(method)
-                row = fold(s[i], s[j]) if fold else (n[i] * s[i] + n[j] * s[j]) / size
-                s[i], s[:, i], n[i], key[i] = row, row, size, node
-            gone = {j for _, j in pairs}
-            active = [k for k in active if k not in gone]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _MERGES.split(", ")])
-
-    return finish
-
-
 def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", distance: str = "distance", last: int = LAST_CLUSTERS) -> Tree:
     """Agglomerate a complete pair table (i, j, distance).
 
-    Each round merges all reciprocal nearest clusters at once, which for these linkages gives the same tree as one
-    merge at a time. A pair row carries the sizes, and for ward the mean squared distance and the inner spread of
-    both clusters, so the update of all pairs is one weighted group-by. Equal distances go to the smaller id. When ``last``
-    clusters are left, a bounded number, one task merges them in the same order, which saves a round of jobs per merge.
+    Ids become numbers in their order and the pairs a matrix that is written once (``linkage``). Average, complete and ward
+    merge all reciprocal nearest clusters of a round at once, which gives the same tree as one merge at a time; single linkage
+    takes the edges of a minimum spanning tree in order. Equal distances go to the smaller id.
     """
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}")
-    d = F.col(distance).cast("double")
-    one, zero = F.lit(1.0), F.lit(0.0)
-    state = settle(pairs.select(
-        F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), (d * d if method == "ward" else d).alias("s"),
-        one.alias("na"), one.alias("nb"), zero.alias("wa"), zero.alias("wb"), F.least("i", "j").alias("ka"), F.greatest("i", "j").alias("kb"),
-    ))
-    total = left = ids.count()
-    rounds, merges = 0, []
-    while left > max(last, 1):
-        rounds, old = rounds + 1, state
-        rows = state.withColumn("d", _distance(method))
-        seen = lambda x, y: F.struct(
-            F.col(x).alias("x"), F.struct("d", F.col(y).alias("y"), "s", "na", "nb", "wa", "wb", "ka", "kb").alias("v"))
-        nearest = rows.select(F.explode(F.array(seen("a", "b"), seen("b", "a"))).alias("e")).groupBy(F.col("e.x").alias("x")).agg(
-            F.min("e.v").alias("v")
-        )
-        lower = nearest.filter(F.col("x") < F.col("v.y")).select("x", F.col("v.y").alias("y"), "v")
-        upper = nearest.filter(F.col("x") > F.col("v.y")).select(F.col("v.y").alias("x"), F.col("x").alias("y"))
-        found = lower.join(upper, ["x", "y"]).select(F.col("x").alias("a"), F.col("y").alias("b"), "v.*").drop("y")
-        size = F.col("na") + F.col("nb")
-        spread = (F.col("na") ** 2 * F.col("wa") + F.col("nb") ** 2 * F.col("wb") + F.col("na") * F.col("nb") * F.col("s")) / (size * size)
-        merged = settle(found.select(
-            "a", "b", F.col("d").alias("height"), "na", "nb", size.alias("n"), spread.alias("w"),
-            F.concat(F.lit(f"{rounds}:"), "a").alias("node"), "ka", "kb",
-        ))
-        merges.append(merged)
-        left -= merged.count()
-        target = [F.col("a").alias("to"), F.col("n").alias("tn"), F.col("w").alias("tw"), F.col("node").alias("tk")]
-        moves = merged.select(F.col("a").alias("id"), *target).unionByName(merged.select(F.col("b").alias("id"), *target))
-        for side in "ab":
-            table = moves.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("to", "tn", "tw", "tk")])
-            # every cluster has the same number of rows, and the small written table tells Spark its size
-            state = state.join(table, side, "left")
-        new = lambda c, moved, side: F.coalesce(F.col(f"{moved}_{side}"), F.col(c))
-        state = state.select(
-            new("a", "to", "a").alias("a1"), new("b", "to", "b").alias("b1"), "s", "na", "nb",
-            new("na", "tn", "a").alias("na1"), new("nb", "tn", "b").alias("nb1"), new("wa", "tw", "a").alias("wa1"),
-            new("wb", "tw", "b").alias("wb1"), new("ka", "tk", "a").alias("ka1"), new("kb", "tk", "b").alias("kb1"),
-        ).filter("a1 <> b1")
-        swap = F.col("a1") > F.col("b1")
-        side = lambda c, x, y: F.when(swap, F.col(f"{c}{y}1")).otherwise(F.col(f"{c}{x}1"))
-        keys = [
-            F.least("a1", "b1").alias("a"), F.greatest("a1", "b1").alias("b"),
-            *[side(c, x, y).alias(f"{c}{x}") for c in ("n", "w", "k") for x, y in (("a", "b"), ("b", "a"))],
-        ]
-        fold = {"complete": F.max("s"), "single": F.min("s")}.get(
-            method, F.sum(F.col("s") * F.col("na") * F.col("nb")) / F.sum(F.col("na") * F.col("nb"))
-        )
-        state = settle(state.groupBy(*keys).agg(fold.alias("s")), replaces=old)
-    tables = [state.groupBy(F.lit(0).alias("all")).applyInPandas(_last_merges(method, rounds + 1), _MERGES)]
-    tables += [m.select(
-        "node", F.col("ka").alias("left_node"), F.col("kb").alias("right_node"), F.col("a").alias("left_id"),
-        F.col("b").alias("right_id"), "height", F.col("n").cast("long").alias("size"), F.col("na").cast("long").alias("left_size"),
-    ) for m in merges]
-    tree = Tree(settle(union_all(tables)), settle(ids.select("file_id")), total)
-    for used in (state, *merges):
-        forget(used)
+    names = settle(number_rows(ids.select(F.col("file_id").cast("string").alias("file_id")), ["file_id"], "number"))
+    n = names.count()
+    rows = pairs.select("i", "j", F.col(distance).cast("double").alias("s"))
+    for end, name in (("i", "r"), ("j", "c")):
+        rows = lookup_join(rows, names.select(F.col("file_id").alias(end), F.col("number").alias(name)), end, salt_by=["i", "j"])
+    value = F.col("s") * F.col("s") if method == "ward" else F.col("s")
+    both = F.array(F.struct(F.col("r").alias("r"), F.col("c").alias("c")), F.struct(F.col("c").alias("r"), F.col("r").alias("c")))
+    matrix = matrix_rows(rows.select(F.explode(both).alias("p"), value.alias("s")).select("p.r", "p.c", "s"), n)
+    if method == "single":
+        merges = single_merges(pairs.sparkSession, spanning_tree(matrix, n), n)
+    else:
+        merges = linkage(matrix, n, method, last)
+    for side in ("left", "right"):
+        table = names.select(F.col("number").alias(f"{side}_number"), F.col("file_id").alias(f"{side}_id"))
+        merges = lookup_join(merges, table, f"{side}_number", salt_by=["step"])
+    named = lambda step, own: F.when(step < 0, F.col(own)).otherwise(F.concat(step.cast("string"), F.lit(":"), F.col(own)))
+    tree = Tree(settle(merges.select(
+        named(F.col("step"), "left_id").alias("node"), named(F.col("left_step"), "left_id").alias("left_node"),
+        named(F.col("right_step"), "right_id").alias("right_node"), "left_id", "right_id", "height", "size", "left_size",
+    )), settle(names.select("file_id")), n)
+    forget(matrix)
     return tree
 
 
@@ -263,6 +173,18 @@ def labels_for_ks(tree: Tree, ks: Sequence[int]) -> DataFrame:
     return spread.select(F.col("c.k").alias("k"), "file_id", label.alias("label"))
 
 
+def range_maxima(tops: DataFrame, n: int) -> DataFrame:
+    """(level, block, top): the maximum of 2^level blocks from ``block`` on, for all runs that end inside; ``tops`` has (block, top)."""
+    level, rows = 0, settle(tops.select(F.lit(0).alias("level"), "block", "top"))
+    levels = [rows]
+    while 2 << level <= n:
+        after = rows.select((F.col("block") - (1 << level)).cast("int").alias("block"), F.col("top").alias("_top"))
+        rows = settle(rows.join(after, "block").select(F.lit(level + 1).alias("level"), "block", F.greatest("top", "_top").alias("top")))
+        level += 1
+        levels.append(rows)
+    return settle(union_all(levels))
+
+
 def cophenetic(tree: Tree) -> DataFrame:
     """(i, j, height): the merge that first joins each pair of leaves.
 
@@ -288,11 +210,17 @@ def cophenetic(tree: Tree) -> DataFrame:
         "file_id", "block", F.col("block").alias("blk"), F.array_max(F.slice("gap", F.col("p") + 1, size - F.col("p"))).alias("suffix"),
         F.coalesce(F.array_max(F.expr("slice(gap, 1, p)")), F.lit(0.0)).alias("prefix"),
     )
-    tops = blocks.agg(F.transform(F.sort_array(F.collect_list(F.struct("block", F.array_max("gap").alias("m")))), lambda b: b["m"])).scalar()
-    pairs = all_pairs(ends, n_blocks * BLOCK, BLOCK).filter("blk_i <> blk_j").withColumn("_tops", tops)
+    pairs = all_pairs(ends, n_blocks * BLOCK, BLOCK).filter("blk_i <> blk_j")
     low_first = F.col("blk_i") < F.col("blk_j")
     low, high = F.least("blk_i", "blk_j"), F.greatest("blk_i", "blk_j")
-    between = F.coalesce(F.array_max(F.slice("_tops", low + 2, high - low - 1)), F.lit(0.0))
+    # the blocks between are covered by two runs whose length is a power of two
+    index = range_maxima(blocks.select("block", F.array_max("gap").alias("top")), n_blocks)
+    level = F.when(high - low > 1, F.floor(F.log2((high - low - 1).cast("double"))).cast("int"))
+    pairs = pairs.withColumns({"level": level, "_low": low + 1, "_high": high - F.call_function("shiftleft", F.lit(1), F.coalesce(level, F.lit(0)))})
+    for end in ("_low", "_high"):
+        table = index.select("level", F.col("block").alias(end), F.col("top").alias(f"_top{end}"))
+        pairs = lookup_join(pairs, table, ["level", end], "left", salt_by=["i", "j"])
+    between = F.coalesce(F.greatest("_top_low", "_top_high"), F.lit(0.0))
     height = F.greatest(
         F.when(low_first, F.col("suffix_i")).otherwise(F.col("suffix_j")),
         F.when(low_first, F.col("prefix_j")).otherwise(F.col("prefix_i")), between,
@@ -431,10 +359,15 @@ def soma_dbscan(coords: DataFrame, eps: float = 100.0, min_samples: int = 5, dim
     offsets = list(itertools.product(range(-2, 3), repeat=n))
     steps = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
 
+    # cells around a sparse one that hold any point: a point goes to these alone
+    occupied = points.select(*[F.col(k).alias(f"o{k}") for k in keys]).distinct()
+    beside = sparse.select(*keys).distinct().select(*keys, F.explode(steps).alias("o")).select(*keys, *[(F.col(k) + F.col("o")[i]).alias(f"o{k}") for i, k in enumerate(keys)])
+    beside = settle(beside.join(occupied, [f"o{k}" for k in keys], "left_semi"))
+
     def around(rows: DataFrame, others: DataFrame, *carry: str) -> DataFrame:
         """(p, …others) for sparse points p and the points within eps of them."""
-        spread = rows.select(F.col("file_id").alias("p"), *[F.col(d).alias(f"p{d}") for d in dims], *keys, F.explode(steps).alias("o"))
-        spread = spread.select("p", *[f"p{d}" for d in dims], *[(F.col(k) + F.col("o")[i]).alias(k) for i, k in enumerate(keys)])
+        spread = rows.select(F.col("file_id").alias("p"), *[F.col(d).alias(f"p{d}") for d in dims], *keys).join(beside, keys)
+        spread = spread.select("p", *[f"p{d}" for d in dims], *[F.col(f"o{k}").alias(k) for k in keys])
         met = lookup_join(others.select("file_id", *dims, *keys, *carry), spread, keys, salt_by=["file_id"])
         squares = [F.pow(F.col(d) - F.col(f"p{d}"), F.lit(2.0)) for d in dims]
         return met.filter(sum(squares[1:], squares[0]) <= F.lit(eps * eps)).select("p", "file_id", *carry)

@@ -95,6 +95,16 @@ def kmeans_check(rows):
     return best.agg(F.count("*").alias("somas"), F.count_distinct("label").alias("clusters"), F.count_if(F.col("own") > F.col("least") * 1.00001 + 1e-9).alias("nearer_to_another"))
 
 
+@query("soma_kmeans_labels")
+def _(t):
+    return K.soma_kmeans(settle(somas(t)), 5)
+
+
+@query("flatmap_soma_kmeans_labels")
+def _(t):
+    return K.soma_kmeans(settle(flat_coords(t).select("file_id", *"xyz")), 4)
+
+
 @query("flatmap_soma_kmeans", "flat_xyz", "SELECT count(*) AS somas, least(4, count(*)) AS clusters, 0::BIGINT AS nearer_to_another FROM flat_xyz")
 def _(t):
     coords = settle(flat_coords(t).select("file_id", *"xyz"))
@@ -139,9 +149,52 @@ SELECT a AS file_id, dense_rank() OVER (ORDER BY m)::INT AS label FROM (SELECT a
 WHERE a = b OR h <= (SELECT d FROM r_tree ORDER BY d DESC LIMIT 1 OFFSET {0}) GROUP BY a) c"""
 
 
-@query("hierarchical")
+MET = "(p.a IN (e.a, e.b) OR p.b IN (e.a, e.b))"  # pairs with a cluster that merges
+OWN = "CASE WHEN p.a IN (e.a, e.b) THEN p.na ELSE p.nb END"
+OTHER = "CASE WHEN p.a IN (e.a, e.b) THEN p.nb ELSE p.na END"
+AVERAGE = f"sum(p.s * CASE WHEN {MET} THEN {OWN} ELSE 1 END) / sum(CASE WHEN {MET} THEN {OWN} ELSE 1 END)"
+WARD = f"CASE WHEN bool_or({MET}) THEN (sum(p.s * ({OWN} + {OTHER})) - any_value({OTHER}) * e.s) / (e.na + e.nb + any_value({OTHER})) ELSE any_value(p.s) END"
+
+
+def merging(distances, fold, height="e.s", start="distance"):
+    """Merges one at a time: the state is the list of all pairs of clusters, named by their smallest member, with their sizes."""
+    return f"""
+WITH RECURSIVE m(step, a, b, height, size, pairs) AS (
+  SELECT 0, NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE, NULL::BIGINT, (SELECT list({{'a': i, 'b': j, 's': {start}, 'na': 1::BIGINT, 'nb': 1::BIGINT}}) FROM {distances})
+  UNION ALL
+  SELECT step + 1, e.a, e.b, {height}, e.na + e.nb, nxt.pairs FROM (
+    SELECT step, pairs, list_sort(list_transform(pairs, lambda p: {{'s': p.s, 'a': p.a, 'b': p.b, 'na': p.na, 'nb': p.nb}}))[1] AS e FROM m WHERE len(pairs) > 0) q, LATERAL (
+    SELECT list({{'a': a, 'b': b, 's': s, 'na': na, 'nb': nb}}) AS pairs FROM (
+      SELECT least(p1, q1) AS a, greatest(p1, q1) AS b, {fold} AS s,
+             any_value(CASE WHEN least(p1, q1) = e.a THEN e.na + e.nb WHEN least(p1, q1) = p.a THEN p.na ELSE p.nb END) AS na,
+             any_value(CASE WHEN greatest(p1, q1) = e.a THEN e.na + e.nb WHEN greatest(p1, q1) = p.a THEN p.na ELSE p.nb END) AS nb
+      FROM (SELECT p, CASE WHEN p.a = e.b THEN e.a ELSE p.a END AS p1, CASE WHEN p.b = e.b THEN e.a ELSE p.b END AS q1 FROM (SELECT unnest(q.pairs) AS p) u) v
+      WHERE p1 <> q1 GROUP BY ALL) w) nxt)
+SELECT a AS left_id, b AS right_id, round(height, 6) AS height, size FROM m WHERE step > 0"""
+
+
+def merges(tree):
+    return rounded(tree.merges.select("left_id", "right_id", "height", "size"), "height")
+
+
+@query("hierarchical", "soma_d", merging("soma_d", WARD, "sqrt(e.s)", "distance * distance"))
+def _(t):
+    return merges(K.hierarchical(*soma_pairs(t), "ward"))
+
+
+@query("hierarchical_average", "r_d", merging("r_d", AVERAGE))
+def _(t):
+    return merges(correlation_tree(t))
+
+
+@query("hierarchical_complete", "r_d", merging("r_d", "max(p.s)"))
+def _(t):
+    return merges(correlation_tree(t, "complete"))
+
+
+@query("cut_clusters_average", "")
 def _(t):
-    return K.hierarchical(*soma_pairs(t), "ward").ordered_merges()
+    return K.cut_clusters(correlation_tree(t), 5)
 
 
 @query("hierarchical_single", "soma_d somas", """
