@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import occupancy as O, profile as P, regions as R, topology as T
 from ..operators.catalog import neuron_catalog
 from ..operators.flatmap import FlatGrid
-from ..plans import region_query as Q, report as G
+from ..plans import region_index as I, region_query as Q, report as G
 from ..plans.region_query import AllOf, AnyOf, NeuriteIn, Not, Regions, SomaIn, Threshold
 from ..session import scratch_path, settle
 from ..workload.registry import query, relation
@@ -253,15 +253,25 @@ def _(t):
     return Q.matching_files_by_sets(settle(profile(t)), closure(t), TREE.children[1])
 
 
-@query("region_query", "profile nodes", LEAVES + """
+MATCHES = LEAVES + """
 SELECT file_id, neuron_id, subject, true AS has_catalog FROM (
   (SELECT file_id FROM a UNION SELECT file_id FROM b) EXCEPT SELECT file_id FROM c INTERSECT SELECT file_id FROM d) m
 JOIN (SELECT file_id, min(neuron_id) AS neuron_id, min(subject) AS subject FROM nodes GROUP BY file_id) n USING (file_id)""".replace(
-    "EXCEPT SELECT file_id FROM c INTERSECT SELECT file_id FROM d", "INTERSECT (SELECT file_id FROM d EXCEPT SELECT file_id FROM c)"))
+    "EXCEPT SELECT file_id FROM c INTERSECT SELECT file_id FROM d", "INTERSECT (SELECT file_id FROM d EXCEPT SELECT file_id FROM c)")
+
+
+@query("region_query", "profile nodes", MATCHES)
 def _(t):
     return Q.region_query(profile(t), closure(t), neuron_catalog(t.nodes), TREE)
 
 
+@query("region_query_indexed", "profile nodes", MATCHES)
+def _(t):
+    found = I.indexed_files(I.build_index(settle(profile(t)), closure(t)), TREE)
+    names = neuron_catalog(t.nodes).select("file_id", "neuron_id", "subject", F.lit(True).alias("has_catalog"))
+    return found.join(names, "file_id")
+
+
 @query("query_explain", "closure nodes", """
 WITH c(path, kind, picked, side) AS (VALUES ('query.children[0].children[0]', 'soma_in', [10], 'either'), ('query.children[0].children[1]', 'neurite_intersects', [20, 41], 'contralateral'),
   ('query.children[1].child', 'regional_threshold', [40], 'either'), ('query.children[2]', 'regional_threshold', [5], 'ipsilateral'))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from arborlake.bridge import Tables  # noqa: E402
 from arborlake.operators import catalog, flatmap, hemisphere, occupancy, pearson, profile, regions, topology, volumes  # noqa: E402
-from arborlake.plans import region_query as rq, report, search  # noqa: E402
+from arborlake.plans import region_index as ri, region_query as rq, report, search  # noqa: E402
 from arborlake.plans.mask_query import neurons_in_masks  # noqa: E402
 from arborlake.session import session, settle  # noqa: E402
 from arborlake.workload.anatomy import FLAT, TREE  # noqa: E402
@@ -34,7 +34,7 @@ def short_edges(nodes):
     return nodes.withColumns({c: F.lit(mid) + (F.col(c) - F.lit(mid)) * 0.05 for c, mid in (("x", 200.0), ("y", 125.0), ("z", 150.0))})
 
 
-def cases(t: Tables, built, short) -> dict:
+def cases(t: Tables, built, short, index) -> dict:
     closure = settle(regions.structures_closure(t.structures))
     cohort = settle(t.assignments.filter("assignment_id = 'B'").select("file_id"))
     first = t.nodes.agg({"file_id": "min"}).first()[0]
@@ -59,6 +59,7 @@ def cases(t: Tables, built, short) -> dict:
         "build_profile": lambda: profile.build_profile(t.nodes, t.annotation, t.structures, t.grid, validate=False),
         "build_profile_short_validated": lambda: profile.build_profile(short, t.annotation, t.structures, t.grid),
         "region_query": lambda: rq.matching_files(built, closure, TREE),
+        "region_query_indexed": lambda: ri.indexed_files(index, TREE),
         "region_report": lambda: report.region_report(built, closure, t.structures, cohort, split=True),
         "regional_distances": lambda: report.regional_distances(report.regional_features(built, closure, cohort, "cable", "split")),
     }
@@ -78,10 +79,11 @@ def main() -> None:
         t.__dict__[name] = settle(getattr(t, name))
     built = settle(profile.build_profile(t.nodes, t.annotation, t.structures, t.grid, validate=False))
     short = settle(short_edges(t.nodes))
+    index = ri.build_index(built, regions.structures_closure(t.structures))
     prepare = time.perf_counter() - begin
     only = set(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
     timed = {}
-    for name, build in cases(t, built, short).items():
+    for name, build in cases(t, built, short, index).items():
         if only and name not in only:
             continue
         begin = time.perf_counter()
