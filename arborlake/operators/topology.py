@@ -80,7 +80,7 @@ def unreached_nodes(nodes: DataFrame, dangling: DataFrame | None = None) -> Data
     Only the other files, found by one aggregate and one anti join, are followed node by node.
     """
     late = nodes.filter((F.col("parent_id") != -1) & (F.col("parent_id") >= F.col("node_id"))).select("file_id")
-    loose = dangling_nodes(nodes) if dangling is None else dangling
+    loose = node_places(nodes).filter("dangling > 0") if dangling is None else dangling
     suspects = settle(late.unionByName(loose.select("file_id")).distinct())
     if not suspects.limit(1).count():
         return nodes.sparkSession.createDataFrame([], "file_id string, n long")
@@ -88,11 +88,20 @@ def unreached_nodes(nodes: DataFrame, dangling: DataFrame | None = None) -> Data
     return reachable_counts(chosen).select("file_id", (F.col("total") - F.col("reached")).alias("n"))
 
 
-def dangling_nodes(nodes: DataFrame) -> DataFrame:
-    """(file_id, parent_id) of nodes whose parent is not in the file."""
-    ids = nodes.select("file_id", F.col("node_id").alias("parent_id")).distinct()
-    links = nodes.filter(F.col("parent_id") != -1).select("file_id", "parent_id")
-    return links.join(ids, ["file_id", "parent_id"], "left_anti")
+def node_places(nodes: DataFrame) -> DataFrame:
+    """(file_id, repeated, dangling) per file: rows that repeat a node id, and rows whose parent is not in the file.
+
+    A row stands once for its node and once for its parent; one exchange brings both kinds together.
+    """
+    roles = F.array(
+        F.struct(F.col("node_id").alias("id"), F.lit(1).alias("own"), F.lit(0).alias("link")),
+        F.struct(F.col("parent_id").alias("id"), F.lit(0).alias("own"), F.lit(1).alias("link")),
+    )
+    rows = nodes.select("file_id", F.explode(roles).alias("r")).select("file_id", "r.*")
+    rows = rows.filter((F.col("own") == 1) | (F.col("id") != -1))
+    met = rows.groupBy("file_id", "id").agg(F.sum("own").alias("own"), F.sum("link").alias("link"))
+    return met.groupBy("file_id").agg(
+        F.sum(F.greatest(F.col("own") - 1, F.lit(0))).alias("repeated"), F.sum(F.when(F.col("own") == 0, F.col("link")).otherwise(0)).alias("dangling"))
 
 
 def reachable_counts(nodes: DataFrame) -> DataFrame:
@@ -121,10 +130,8 @@ def validate_trees(nodes: DataFrame, structures: DataFrame) -> DataFrame:
     """One row (file_id, issue, n) per broken rule; no rows means every tree is sound."""
     ints = ("node_id", "type", "parent_id", "region_id")
     known = structures.select(F.col("id").alias("region_id")).distinct()
-    duplicates = (
-        nodes.groupBy("file_id", "node_id").agg(F.count(F.lit(1)).alias("c")).groupBy("file_id")
-        .agg(F.sum(F.col("c") - 1).alias("n")).select("file_id", F.lit("duplicate node_id").alias("issue"), "n")
-    )
+    places = settle(node_places(nodes))
+    duplicates = places.select("file_id", F.lit("duplicate node_id").alias("issue"), F.col("repeated").alias("n"))
     null_field = F.lit(False)
     for name in ints:
         null_field = null_field | F.col(name).isNull()
@@ -150,9 +157,8 @@ def validate_trees(nodes: DataFrame, structures: DataFrame) -> DataFrame:
     unknown = lookup_join(used, known, "region_id", "left_anti").groupBy("file_id").agg(F.sum("c").alias("n")).select(
         "file_id", F.lit("unknown region_id").alias("issue"), "n"
     )
-    loose = settle(dangling_nodes(nodes))
-    dangling = loose.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).select("file_id", F.lit("dangling parent_id").alias("issue"), "n")
-    unreached = unreached_nodes(nodes, loose).select("file_id", F.lit("not connected to the root").alias("issue"), "n")
+    dangling = places.select("file_id", F.lit("dangling parent_id").alias("issue"), F.col("dangling").alias("n"))
+    unreached = unreached_nodes(nodes, places.filter("dangling > 0")).select("file_id", F.lit("not connected to the root").alias("issue"), "n")
     return union_all([simple, duplicates, unknown, dangling, unreached]).filter("n > 0").select(
         "file_id", "issue", F.col("n").cast("long").alias("n")
     )

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.morton import in_ranges, ranges_of
 from ..model import Grid, all_finite
 from ..operators.catalog import inside_voxels
 from ..operators.filters import node_type_filter
@@ -24,19 +25,29 @@ def mask_box(nodes: DataFrame, grid: Grid, mask: DataFrame) -> DataFrame:
     return nodes.filter(test)
 
 
+def near_mask(nodes: DataFrame, grid: Grid, mask: DataFrame) -> DataFrame:
+    """Nodes that may lie in the mask, by filters that reach the scan: its bounding box, and in a table written along a
+    space-filling curve over the same grid (``write_spatial_nodes``) the ranges of the curve that the mask covers."""
+    if "voxel_order" in nodes.columns:
+        ranges = ranges_of(mask)
+        if ranges:
+            nodes = nodes.filter(in_ranges("voxel_order", ranges))
+    return mask_box(nodes, grid, mask)
+
+
 def neurons_in_masks(
     nodes: DataFrame, grid: Grid, masks: Sequence[DataFrame], file_ids=None, exclude_file_ids=None, node_types=None
 ) -> DataFrame:
     """Distinct neurons with an eligible node in the union of the masks; display names are the smallest seen."""
     mask = mask_union(masks).filter(grid.holds())
-    rows = nodes.select("file_id", "neuron_id", "subject", "type", "x", "y", "z")
+    rows = near_mask(nodes, grid, mask).select("file_id", "neuron_id", "subject", "type", "x", "y", "z")
     if node_types is not None:
         rows = node_type_filter(rows, "include", node_types)
     if file_ids is not None:
         rows = keep_keys(rows, file_ids)
     if exclude_file_ids is not None:
         rows = keep_keys(rows, exclude_file_ids, keep=False)
-    rows = mask_box(rows.filter(all_finite("x", "y", "z")), grid, mask)
+    rows = rows.filter(all_finite("x", "y", "z"))
     return inside_voxels(rows, grid, mask).groupBy("file_id").agg(
         F.min("neuron_id").alias("neuron_id"), F.min("subject").alias("subject")
     ).orderBy("file_id")

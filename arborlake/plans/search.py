@@ -50,8 +50,11 @@ def aggregate_query(counts: DataFrame, references: Sequence[str]) -> DataFrame:
 
 
 def aggregate_query_join(counts: DataFrame, query: DataFrame) -> DataFrame:
-    """Candidate counts with the query's count of the same voxel (0 where the query has none)."""
-    joined = lookup_join(counts, query, "voxel", "left", salt_by=["file_id"], check=False)
+    """Candidate counts with the query's count of the same voxel (0 where the query has none).
+
+    The query has no more voxels than its neurons, so it is broadcast if its counted size allows.
+    """
+    joined = lookup_join(counts, query, "voxel", "left", salt_by=["file_id"])
     return joined.withColumn("q", F.coalesce("q", F.lit(0.0)))
 
 
@@ -68,11 +71,9 @@ def score(counts: DataFrame, references: Sequence[str], policy: str, candidates=
     sums = rows.groupBy("file_id").agg(
         F.sum(c).alias("sx"), F.sum(c * c).alias("sxx"), F.sum(c * q).alias("sxy"),
     )
-    totals = query.agg(F.sum("q").alias("sy"), F.sum(q * q).alias("syy"))
-    sums = sums.withColumns({
-        "v": counts.agg(F.count_distinct("voxel").cast("double")).scalar(),
-        "sy": totals.select("sy").scalar(), "syy": totals.select("syy").scalar(),
-    })
+    totals = query.agg(F.struct(F.sum("q").alias("sy"), F.sum(q * q).alias("syy"))).scalar()
+    sums = sums.withColumns({"v": counts.agg(F.count_distinct("voxel").cast("double")).scalar(), "_query": totals})
+    sums = sums.withColumns({"sy": F.col("_query.sy"), "syy": F.col("_query.syy")})
     v, sx, sxx, sxy = F.col("v"), F.col("sx"), F.col("sxx"), F.col("sxy")
     top = v * sxy - sx * F.col("sy")
     query_var = v * F.col("syy") - F.col("sy") * F.col("sy")
