@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import number_rows, running_before
