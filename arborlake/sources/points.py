@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import file_metadata, origin_form
 from ..model import ORIGIN_MISSING, POINT_OPTIONAL, POINT_REQUIRED
+from ..session import lookup_join, settle
 
 #: Column that carries the name of a row's file until it becomes the row's origin.
 FILE = "_file"
@@ -193,53 +194,81 @@ def layout_of(lines: Sequence[str], mapping: Mapping[str, str] | None = None) ->
     return Layout(kind, tuple(names), skipped)
 
 
-def file_layouts(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> tuple[dict[Layout, list[str]], dict[str, str]]:
-    """Files by layout, and the reason for every file that has none."""
-    layouts: dict[Layout, list[str]] = {}
-    refused: dict[str, str] = {}
-    for row in file_heads(spark, path).groupBy("lines").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect():
-        try:
-            layouts.setdefault(layout_of(row["lines"], mapping), []).extend(row["paths"])
-        except PointFormatError as error:
-            refused |= dict.fromkeys(row["paths"], str(error))
-    return layouts, refused
+LAYOUTS = "path string, kind string, names array<string>, skipped array<string>, reason string"
 
 
-def _read_layout(spark: SparkSession, layout: Layout, paths: list[str], mapping: Mapping[str, str] | None) -> DataFrame:
-    """Rows of the files under the standard names, every column as text, with the file's name."""
+def _classified(mapping: Mapping[str, str] | None):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, lines in zip(batch.column("path").to_pylist(), batch.column("lines").to_pylist()):
+                try:
+                    layout = layout_of(lines, mapping)
+                    out.append((path, layout.kind, list(layout.names), list(layout.skipped), None))
+                except PointFormatError as error:
+                    out.append((path, None, None, None, str(error)))
+            text, lists = pa.string(), pa.list_(pa.string())
+            columns = zip(*out) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (text, text, lists, lists, text))], ["path", "kind", "names", "skipped", "reason"])
+
+    return run
+
+
+def file_layouts(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> DataFrame:
+    """(path, kind, names, skipped, reason): the layout of every file, or the reason why it has none. A table, however many files there are."""
+    if mapping is not None:
+        check_mapping(mapping)
+    return settle(file_heads(spark, path).mapInArrow(_classified(mapping), LAYOUTS))
+
+
+def _read_layout(lines: DataFrame, layout: Layout, mapping: Mapping[str, str] | None) -> DataFrame:
+    """Rows of the lines under the standard names, every column as text, with the file's name."""
     plain = [f"c{k}" for k in range(len(layout.names))]
-    reader = spark.read.schema(", ".join(f"{c} STRING" for c in plain))
-    if layout.kind == "two-row":
-        raw = reader.csv(paths)
-        for line in layout.skipped:  # rows that are a header line again
-            cells = next(csv.reader([line]), [])
-            alike = [F.coalesce(F.col(c), F.lit("")) == cell for c, cell in zip_longest(plain, cells[: len(plain)], fillvalue="")]
-            raw = raw.filter(~reduce(lambda a, b: a & b, alike))
-        mapping = TWO_ROW_MAPPING
-    else:
-        raw = reader.option("header", "true").csv(paths)
-    name = file_metadata("file_name").alias(FILE)
-    named = raw.select(*[F.col(c).alias(n) for c, n in zip(plain, layout.names)], name)
+    cells = F.from_csv("value", F.lit(", ".join(f"{c} STRING" for c in plain)))
+    parsed = lines.select(cells.alias("_cells"), FILE)
+    named = parsed.select(*[F.col("_cells").getField(c).alias(n) for c, n in zip(plain, layout.names)], FILE)
+    mapping = TWO_ROW_MAPPING if layout.kind == "two-row" else mapping
     return apply_mapping(named, mapping) if mapping is not None else named
 
 
-def read_point_files(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Rows of all readable files, each read under its own header, and the reasons for the others."""
-    layouts, refused = file_layouts(spark, path, mapping)
-    frames = [_read_layout(spark, layout, paths, mapping) for layout, paths in sorted(layouts.items(), key=lambda x: x[1])]
-    return (reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames) if frames else None), refused
+def read_point_files(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """Rows of all readable files, each read under its own header, and (path, reason) of the others.
+
+    Lines meet their file's layout in a join; only the distinct layouts, as many as there are kinds of headers, come to the
+    driver. Blank lines and lines that are a header line again are no points.
+    """
+    layouts = file_layouts(spark, path, mapping)
+    refused = layouts.filter("reason IS NOT NULL").select("path", "reason")
+    kinds = layouts.filter("reason IS NULL").groupBy("kind", "names", "skipped").agg(F.min("path").alias("first")).orderBy("first").collect()
+    if not kinds:
+        return None, refused
+    lines = spark.read.text(path).select(file_metadata("file_path").alias("path"), file_metadata("file_name").alias(FILE), "value")
+    known = layouts.filter("reason IS NULL").select("path", "kind", "names", "skipped")
+    lines = lookup_join(lines.filter(F.trim("value") != ""), known, "path", salt_by=["value"]).filter(~F.array_contains("skipped", F.col("value")))
+    frames = []
+    for row in kinds:
+        layout = Layout(row["kind"], tuple(row["names"]), tuple(row["skipped"]))
+        mine = (F.col("kind") == layout.kind) & (F.col("names") == F.array(*[F.lit(n) for n in layout.names])) & (F.col("skipped") == F.array(*[F.lit(n) for n in layout.skipped]))
+        frames.append(_read_layout(lines.filter(mine), layout, mapping))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), refused
 
 
 def infer_points_format(spark: SparkSession, path: str, mapping: Mapping[str, str] | None = None) -> str:
     """The kinds of all files of the path, comma-separated; an unreadable file is an error that names it."""
-    layouts, refused = file_layouts(spark, path, mapping)
-    _refuse(refused)
-    return ",".join(sorted({layout.kind for layout in layouts}))
+    layouts = file_layouts(spark, path, mapping)
+    _refuse(layouts.filter("reason IS NOT NULL"))
+    return ",".join(sorted(r[0] for r in layouts.select("kind").distinct().collect()))
+
+
+#: Files that an error names.
+NAMED = 20
 
 
-def _refuse(refused: dict[str, str]) -> None:
-    if refused:
-        raise PointFormatError("; ".join(f"{path}: {reason}" for path, reason in sorted(refused.items())))
+def _refuse(refused: DataFrame) -> None:
+    found = refused.select("path", "reason").orderBy("path").limit(NAMED + 1).collect()
+    if found:
+        more = "; and more" if len(found) > NAMED else ""
+        raise PointFormatError("; ".join(f"{path}: {reason}" for path, reason in found[:NAMED]) + more)
 
 
 def read_points_csv(spark: SparkSession, path: str | Sequence[str], mapping: Mapping[str, str] | None = None, check: bool = True) -> DataFrame:

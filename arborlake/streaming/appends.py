@@ -68,8 +68,10 @@ def stream_append_points(
     def add(batch: DataFrame, epoch: int) -> None:
         session = batch.sparkSession
         paths = [r["path"] for r in batch.select("path").distinct().collect()]
-        points, refused = read_point_files(session, paths, mapping) if paths else (None, {})
-        bad = session.createDataFrame([(path, reason, None) for path, reason in refused.items()], "file string, reason string, row string")
+        if not paths:
+            return
+        points, refused = read_point_files(session, paths, mapping)
+        bad = refused.select(F.col("path").alias("file"), "reason", F.lit(None).cast("string").alias("row"))
         if points is not None:
             marked = points.withColumn("_faults", row_faults(points))
             ready = validate_points(marked.filter(F.size("_faults") == 0).drop("_faults"), check=False)
