@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import fits_broadcast, settle
-from .common import FOLDED, bounded_batches, flat, slices
+from .common import FOLDED, bounded_batches, flat, frugal, slices
 
 #: Rows of every label that the fit reads.
 SAMPLE = 4000
@@ -223,7 +223,7 @@ def language_id(rows: DataFrame, model: dict[str, np.ndarray], text: str = "text
                             F.lit(None).cast("string").alias("declared"), F.lit(0).cast("long").alias("grams"), F.lit(False).alias("rejected"))
     many = range(len(names))
     kind = f"id {id_type}, code long, host string, declared string, grams long, ll array<double>, " + ", ".join(f"r{k} double" for k in many)
-    scored = settle(given.mapInArrow(_score(model, text, declared, markup), kind).withColumns({
+    scored = settle(given.mapInArrow(frugal(_score(model, text, declared, markup)), kind).withColumns({
         "domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), "suffix": F.regexp_extract("host", r"\.([^.]+)$", 1)}))
     sums = [F.sum(f"r{k}") for k in many]
     whole = np.array([x or 0.0 for x in scored.agg(*sums).first()])

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.ranks import running_before
 from ..session import fits_broadcast, settle
-from .common import bounded_batches, slices
+from .common import bounded_batches, frugal, slices
 
 QUANTUM = 128
 CHUNK_TOKENS = 1 << 20
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     name = F.when(F.col(source).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source).cast("string")))
     rows = docs.select(F.col(id_col).alias("doc_id"), name.alias("source"), F.col(text).alias("text"))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    tokens = settle(rows.mapInArrow(_tokenise(tokenizer, ranks, pattern, end_id, kind), f"doc_id {id_type}, source string, task int, before long, n long, ids binary"))
+    tokens = settle(rows.mapInArrow(frugal(_tokenise(tokenizer, ranks, pattern, end_id, kind)), f"doc_id {id_type}, source string, task int, before long, n long, ids binary"))
 
     by_task = settle(tokens.groupBy("source", "task").agg(F.sum("n").alias("n")))
     by_source = by_task.groupBy("source").agg(F.sum("n").alias("all"))
