@@ -6,9 +6,9 @@ brightness centre and ``BITS`` brightness comparisons inside it become a binary
 descriptors that differ in fewer than ``TABLES`` bits share a key for certain, others with a chance. For each pair of images the
 matches vote on one similarity transform (turn, scale and shift); a pair is a copy if enough corners agree on it.
 
-Images are described where they are read, so no image moves. Images of equal bytes are one class and are compared once. A key that more than ``CROWD`` corners share
-is replaced by all pairs of it with another key of the same descriptor, which keeps every pair of corners that differs in fewer
-than ``TABLES - 1`` bits.
+Images are described where they are read, so no image moves. Images of equal bytes are one class and are compared once.
+Descriptors travel with their keys: a meeting is decided in the join itself, under the first key that two corners share, so only
+matches become rows. Corners of a crowded key are dealt out by salt and the asking corners repeated, which keeps every meeting.
 """
 
 from __future__ import annotations
@@ -17,13 +17,12 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import fits_broadcast, settle
+from ..session import fits_broadcast, lookup_join, settle
 from .common import bounded_batches
 
 BITS = 256
@@ -35,7 +34,6 @@ MARGIN = RADIUS + 2
 TURNS = 32
 FAR = 40
 LEAST = 5
-CROWD = 20_000
 #: Pixels by which a corner may miss the place that the transform gives it, on the first level.
 SLACK = 4.0
 
@@ -187,38 +185,30 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- meeting and agreeing --------------------------------------------------------------------------------------------
 
 
-def _parts() -> list[Column]:
-    """The keys of a descriptor, BITS / TABLES bits each."""
-    return [F.col(f"d{k}") for k in range(TABLES)]
+def _words(prefix: str = "") -> list[Column]:
+    """The words of a descriptor, BITS / TABLES bits each, which are its keys."""
+    return [F.col(f"{prefix}d{k}") for k in range(TABLES)]
 
 
-def _keys(features: DataFrame, name: str) -> DataFrame:
-    tables = F.array(*[F.xxhash64(F.lit(k), part) for k, part in enumerate(_parts())])
-    return features.select(F.col("class_id").alias(name), F.col("corner").alias(f"{name}_corner"), F.explode(tables).alias("key"))
+def _keys(features: DataFrame, name: str, prefix: str) -> DataFrame:
+    """A row per corner and table; the corner's columns are called after the first letters of theirs, behind ``prefix``."""
+    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.xxhash64(F.lit(k), word).alias("key")) for k, word in enumerate(_words())])
+    corner = [F.col(c).alias(prefix + c[0]) for c in ("x", "y", "scale", "angle")]
+    return features.select(
+        F.col("class_id").alias(name), F.col("corner").alias(f"{name}_corner"), *corner,
+        *[word.alias(f"{prefix}d{k}") for k, word in enumerate(_words())], F.explode(tables).alias("t")).select("*", "t.*").drop("t")
 
 
-def _double_keys(features: DataFrame, crowded: DataFrame, name: str) -> DataFrame:
-    """Keys of two tables together, for descriptors of which either key is crowded."""
-    parts = _parts()
-    pairs = F.array(*[
-        F.struct(F.xxhash64(F.lit(i), parts[i]).alias("one"), F.xxhash64(F.lit(j), parts[j]).alias("two")) for i, j in combinations(range(TABLES), 2)])
-    rows = features.select(F.col("class_id").alias(name), F.col("corner").alias(f"{name}_corner"), F.explode(pairs).alias("p"))
-    rows = rows.select(name, f"{name}_corner", F.xxhash64("p.one", "p.two").alias("key"), F.explode(F.array("p.one", "p.two")).alias("half"))
-    return rows.join(crowded.withColumnRenamed("key", "half"), "half", "left_semi").drop("half").distinct()
-
-
-def meetings(queries: DataFrame, features: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """(query, query_corner, other, other_corner) of corners that share a key."""
-    mine = settle(_keys(queries, "query"))
-    theirs = settle(_table_join(_keys(features, "other"), mine.select("key").distinct(), "key", "left_semi"))
-    crowded = settle(theirs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("key"))
-    if crowded.limit(1).count():
-        single = mine.join(crowded, "key", "left_anti").join(theirs, "key")
-        double = _double_keys(queries, crowded, "query").join(_double_keys(features, crowded, "other"), "key")
-        met = single.unionByName(double)
-    else:
-        met = mine.join(theirs, "key")
-    return met.filter("query <> other").select("query", "query_corner", "other", "other_corner").distinct()
+def matches(queries: DataFrame, features: DataFrame, far: int = FAR) -> DataFrame:
+    """Corners of two classes that share a key and differ in at most ``far`` bits, each pair once, with both corners' columns."""
+    mine = settle(_keys(queries, "query", "q"))
+    theirs = _table_join(_keys(features, "other", ""), mine.select("key").distinct(), "key", "left_semi")
+    met = lookup_join(theirs, mine.drop("table"), "key", salt_by=["other", "other_corner", "table"])
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_words(), _words("q"))), F.lit(0))
+    before = F.lit(False)
+    for k, (a, b) in enumerate(zip(_words(), _words("q"))):
+        before = before | ((F.col("table") > k) & (a == b))
+    return met.filter((F.col("query") != F.col("other")) & (apart <= far) & ~before)
 
 
 def _table_join(rows: DataFrame, table: DataFrame, on: str, how: str = "inner") -> DataFrame:
@@ -259,7 +249,7 @@ def _agree(least: int, slack: float):
 
 
 def find_copies(images: DataFrame, queries: Column, image: str = "image", id_col: str = "image_id", far: int = FAR, least: int = LEAST,
-                slack: float = SLACK, crowd: int = CROWD) -> DataFrame:
+                slack: float = SLACK) -> DataFrame:
     """(role, image_id, class_id, query_id, matches, inliers, scale, turn, shift_x, shift_y).
 
     A row of role ``member`` per image names its class, the smallest id of the images with its bytes. A row of role ``copy``
@@ -269,7 +259,7 @@ def find_copies(images: DataFrame, queries: Column, image: str = "image", id_col
 
     Defined results: a null, empty or undecodable image has no corners and no copies, and nulls are one class; images
     without an id are compared if their bytes have one elsewhere; repeated rows are members twice; an image too small for a
-    patch has no corners; ties between corners go to the upper, then the left one; an empty table gives an empty table; other
+    patch has no corners; of a large one the strongest corners count, as many as of a small one; ties between corners go to the upper, then the left one; an empty table gives an empty table; other
     columns are not read.
     """
     slim = images.select(F.col(id_col).alias("image_id"), F.col(image).alias("image"), F.coalesce(queries, F.lit(False)).alias("asked"))
@@ -283,15 +273,8 @@ def find_copies(images: DataFrame, queries: Column, image: str = "image", id_col
         stand = stand.dropDuplicates(["class_id"])
     features = stand.select("class_id", F.inline("features"))
     asked = settle(_table_join(features, groups.filter("asked").select("class_id"), "class_id", "left_semi"))
-    met = settle(meetings(asked, features, crowd))
-
-    def corner(rows: DataFrame, name: str, prefix: str) -> DataFrame:
-        return rows.select(F.col("class_id").alias(name), F.col("corner").alias(f"{name}_corner"), *[
-            F.col(c).alias(prefix + c[0]) for c in ("x", "y", "scale", "angle")], *[F.col(f"d{k}").alias(f"{prefix}d{k}") for k in range(4)])
-
-    both = met.join(corner(features, "other", ""), ["other", "other_corner"]).join(corner(asked, "query", "q"), ["query", "query_corner"])
-    apart = sum((F.bit_count(F.col(f"d{k}").bitwiseXOR(F.col(f"qd{k}"))) for k in range(1, 4)), F.bit_count(F.col("d0").bitwiseXOR(F.col("qd0"))))
-    votes = both.filter(apart <= far).groupBy("query", "other").agg(F.collect_list(F.struct("qx", "qy", "qs", "qa", "x", "y", "s", "a")).alias("matches"))
+    met = matches(asked, features, far)
+    votes = met.groupBy("query", "other").agg(F.collect_list(F.struct("qx", "qy", "qs", "qa", "x", "y", "s", "a")).alias("matches"))
     kind = f"query {id_type}, other {id_type}, matches long, inliers long, scale double, turn double, shift_x double, shift_y double"
     agreed = votes.filter(F.size("matches") >= least).mapInArrow(_agree(least, slack), kind)
     links = agreed.select(

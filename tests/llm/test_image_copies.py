@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from arborlake import session
 from arborlake.llm.image_copies import FAR, LEAST, SLACK, _agree, decode, describe, find_copies
 from arborlake.llm.media import EDITS, SIDE, edited, pgm, picture, vector_images, _waves
 
@@ -55,15 +56,16 @@ def test_descriptors_turn_with_the_image(drawn):
         assert len(d) >= 20 and near >= 0.8 * len(d)
 
 
-def test_edits_are_found_and_others_are_not(spark, drawn):
+def test_edits_are_found_and_others_are_not(spark, drawn, no_broadcast, monkeypatch):
     rows = [(k * 10, pgm(image)) for k, image in enumerate(drawn)]
     edits = ["crop", "crop_bright", "noise", "quarter_turn", "contrast"]
     rows += [(k * 10 + 1, pgm(edited(drawn[k], edits[k % 5], k))) for k in range(50)]
     rows += [(k * 10 + 2, pgm(drawn[k])) for k in range(5)]
     rows += [(900, None), (901, b""), (902, b"no image"), (903, pgm(np.full((40, 40), 9.0))), (904, pgm(np.zeros((3, 3)))), (10, pgm(drawn[1])), (None, pgm(drawn[2]))]
     images = spark.createDataFrame([(*r, "x", 1, "d") for r in rows], "image_id long, image binary, class_id string, corner int, digest string").repartition(4)
-    for crowd in (20_000, 3):
-        out = find_copies(images, queries=F.col("image_id") % 10 == 0, crowd=crowd).collect()
+    for share in (0.5, 0.0):  # no crowded key, and every key
+        monkeypatch.setattr(session, "HEAVY_SHARE", share)
+        out = find_copies(images, queries=F.col("image_id") % 10 == 0).collect()
         members = [r for r in out if r["role"] == "member"]
         assert len(members) == len(rows)
         assert {(r["image_id"], r["class_id"]) for r in members} >= {(2, 0), (12, 10), (42, 40), (41, 41)}
@@ -110,3 +112,18 @@ def test_derived_images(spark):
 
 def test_empty(spark):
     assert find_copies(spark.createDataFrame([], "image_id long, image binary"), queries=F.lit(True)).count() == 0
+
+
+def test_a_crowd_of_copies_of_one_picture(spark, drawn, monkeypatch):
+    """A hundred noisy copies share keys; whether keys count as crowded changes neither links nor matches."""
+    rows = [(0, pgm(drawn[0]))] + [(k + 1, pgm(edited(drawn[0], "noise", k))) for k in range(100)] + [(500 + k, pgm(image)) for k, image in enumerate(drawn[1:20])]
+    images = spark.createDataFrame(rows, "image_id long, image binary").repartition(4)
+    found = []
+    for share in (1e9, 0.0):
+        monkeypatch.setattr(session, "HEAVY_SHARE", share)
+        monkeypatch.setattr(session, "fits_broadcast", lambda *a, **k: False)
+        out = find_copies(images, queries=F.col("image_id") % 50 == 0).filter("role = 'copy'").collect()
+        found.append(sorted((r["query_id"], r["image_id"], r["matches"], r["inliers"]) for r in out))
+    assert found[0] == found[1]
+    links = {(q, i) for q, i, _, _ in found[0]}
+    assert links == {(q, i) for q in (0, 50, 100) for i in range(101) if i != q}
