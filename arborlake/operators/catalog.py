@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import side_of
+from ..functions.morton import in_ranges, ranges_of
 from ..model import DENDRITE_TYPES, SOMA, Grid, all_finite
 from ..session import keep_keys, lookup_join
 
@@ -119,8 +120,17 @@ def voxel_keys(voxels: DataFrame, grid: Grid, name: str = "_voxel") -> DataFrame
     return voxels.filter(grid.holds()).select(grid.linear().alias(name)).distinct()
 
 
+def along_curve(df: DataFrame, voxels: DataFrame) -> DataFrame:
+    """Rows near the voxels, where the table lies along a space-filling curve over their grid (``write_spatial_nodes``).
+
+    At most 64 ranges of the curve hold all voxels; they are literals, so the scan skips the row groups of all others.
+    """
+    ranges = ranges_of(voxels) if "voxel_order" in df.columns else []
+    return df.filter(in_ranges("voxel_order", ranges)) if ranges else df
+
+
 def inside_voxels(df: DataFrame, grid: Grid, voxels: DataFrame, keep: bool = True) -> DataFrame:
-    rows = voxel_of(df, grid)
+    rows = voxel_of(along_curve(df, voxels.filter(grid.holds())) if keep else df, grid)
     return lookup_join(rows, voxel_keys(voxels, grid), "_voxel", "left_semi" if keep else "left_anti").drop("_voxel")
 
 

@@ -6,9 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.morton import in_ranges, ranges_of
 from ..model import Grid, all_finite
-from ..operators.catalog import inside_voxels
+from ..operators.catalog import along_curve, inside_voxels
 from ..operators.filters import node_type_filter
 from ..operators.volumes import VOXEL, mask_union
 from ..session import keep_keys
@@ -28,11 +27,7 @@ def mask_box(nodes: DataFrame, grid: Grid, mask: DataFrame) -> DataFrame:
 def near_mask(nodes: DataFrame, grid: Grid, mask: DataFrame) -> DataFrame:
     """Nodes that may lie in the mask, by filters that reach the scan: its bounding box, and in a table written along a
     space-filling curve over the same grid (``write_spatial_nodes``) the ranges of the curve that the mask covers."""
-    if "voxel_order" in nodes.columns:
-        ranges = ranges_of(mask)
-        if ranges:
-            nodes = nodes.filter(in_ranges("voxel_order", ranges))
-    return mask_box(nodes, grid, mask)
+    return mask_box(along_curve(nodes, mask), grid, mask)
 
 
 def neurons_in_masks(

@@ -12,6 +12,7 @@ from arborlake.functions import quantiles as Q
 from arborlake.functions.morton import in_ranges, morton, node_morton, ranges_of
 from arborlake.model import Grid
 from arborlake.operators import clustering as K, linkage as L
+from arborlake.operators.filters import voxel_mask_filter
 from arborlake.plans import region_index as I, region_query as RQ
 from arborlake.plans.mask_query import neurons_in_masks
 from arborlake.plans.region_query import AllOf, AnyOf, NeuriteIn, Not, Regions, SomaIn, Threshold
@@ -99,6 +100,9 @@ def test_a_small_mask_skips_row_groups(spark, tmp_path):
     leaves = read.executedPlan().collectLeaves()
     out = leaves.apply(0).metrics().apply("numOutputRows").value()
     assert len(scan_rows) <= out < 40_000
+    kept = voxel_mask_filter(nodes, grid, include=mask)
+    assert kept.count() == voxel_mask_filter(rows, grid, include=mask).count() > 0
+    assert "voxel_order" in kept._jdf.queryExecution().executedPlan().toString()
     off = spark.createDataFrame([("a", math.nan, 1.0, 1.0), ("b", None, 1.0, 1.0), ("c", -30.0, 1.0, 1.0)], "file_id string, x double, y double, z double")
     assert [r[0] for r in off.select(node_morton(grid)).collect()] == [None] * 3
 
