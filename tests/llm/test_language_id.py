@@ -1,10 +1,12 @@
+import collections
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from arborlake.llm.language_id import UNKNOWN, fit, language_id
+from arborlake.llm.language_id import BINS, FLOOR, STRENGTH, UNKNOWN, UNKNOWN_PRIOR, fit, language_id
 
 SYLLABLES = {"en": "the ing tion and er was th sh".split(), "fr": "eau oux ère que les ment è çoi".split(), "de": "sch ung ich keit über zu ß ein".split()}
 
@@ -90,3 +92,70 @@ def test_edge_rows(docs):
     assert out.count() == docs.count()
     blank = {r["doc_id"] for r in docs.collect() if not re.search(r"[^\W\d_]|[^\x00-\x7f]", r["text"] or "")}
     assert {r["id"] for r in out.filter("rejected AND id IS NOT NULL").collect()} == blank - {None}
+
+
+def plain_bins(text):
+    data = (text or "").encode() + b" "
+    data = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in data]
+    three = [data[k: k + 3] for k in range(len(data) - 2)]
+    return [((a << 16 | b << 8 | c) * 2654435761 % (1 << 32)) >> 16 for a, b, c in three if (a, b, c) != (32, 32, 32)]
+
+
+def plain_softmax(logs):
+    exps = [math.exp(v - max(logs)) for v in logs]
+    return [e / sum(exps) for e in exps]
+
+
+def plain_posteriors(rows, labelled):
+    """The fused posterior of (id, text, said, site) rows by loops over every trigram, row and class."""
+    counts, docs = collections.defaultdict(collections.Counter), collections.Counter(lang for _, lang in labelled)
+    for text, lang in labelled:
+        counts[lang].update(plain_bins(text))
+    names = sorted(docs, key=lambda k: (-docs[k], k))
+    logs = {}
+    for name in names:
+        total = sum(counts[name].values())
+        logs[name] = lambda b, c=counts[name], total=total: math.log((1 - FLOOR) * (c[b] + 0.05) / (total + 0.05 * BINS) + FLOOR / BINS)
+    flat = [(1 - UNKNOWN_PRIOR) / len(names)] * len(names) + [UNKNOWN_PRIOR]
+    likely, votes = [], []
+    for _, text, _, _ in rows:
+        bins = plain_bins(text)
+        likely.append([sum(logs[n](b) for b in bins) / 3 for n in names] + [len(bins) * math.log(1 / BINS) / 3])
+        votes.append([v * bool(bins) for v in plain_softmax([x + math.log(p) for x, p in zip(likely[-1], flat)])])
+    wide = range(len(flat))
+    whole = [sum(v[k] for v in votes) for k in wide]
+
+    def keys(row):
+        parts = (row[3] or "").lower().split(".")
+        return {"host": (row[3] or "").lower(), "domain": ".".join(parts[-2:]) if len(parts) > 1 else "", "suffix": parts[-1] if len(parts) > 1 else "", "said": row[2] or ""}
+
+    out = []
+    for r, row in enumerate(rows):
+        others = {name: [sum(v[k] for q, v in enumerate(votes) if q != r and key and keys(rows[q])[name] == key) for k in wide] for name, key in keys(row).items()}
+        prior = [(whole[k] + STRENGTH * flat[k]) / (sum(whole) + STRENGTH) for k in wide]
+        for level in ("suffix", "domain", "host"):
+            n = sum(others[level])
+            prior = [(others[level][k] + STRENGTH * prior[k]) / (n + STRENGTH) for k in wide]
+        trust = [math.log((others["said"][k] + 1) / (whole[k] + STRENGTH)) if row[2] else 0.0 for k in wide]
+        chance = plain_softmax([likely[r][k] + math.log(prior[k]) + trust[k] for k in wide])
+        best = max(wide, key=lambda k: (chance[k], -k))
+        out.append((row[0], [*names, UNKNOWN][best], chance[best], best == wide[-1] or not plain_bins(row[1])))
+    return out
+
+
+def test_posteriors_by_plain_loops(spark, labelled):
+    rng = random.Random(21)
+    sites = ["www.journal.fr", "blog.journal.fr", "www.zeitung.de", "zeitung.de", "a.b.example.com", "plain", None]
+    rows = []
+    for k in range(90):
+        lang = rng.choice(["en", "fr", "de"])
+        text = rng.choice([speak(rng, lang, rng.choice([1, 2, 5, 20])), "qxz", "th", "", None, "12 34", "É" * 3])
+        rows.append((k, text, rng.choice([lang, lang, "en", None, "pt"]), rng.choice(sites)))
+    rows += [(200, speak(rng, "de", 3000), "de", sites[2])] + [(201, "the and", "en", sites[4])] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, said string, site string").repartition(3)
+    few = labelled.filter("doc_id < 60")
+    found = language_id(docs, fit(few), host=F.col("site"), declared="said").collect()
+    want = plain_posteriors(rows, [(r["text"], r["lang"]) for r in few.collect()])
+    found, want = (sorted(x, key=lambda r: (r[0], r[1])) for x in ([(r["id"], r["lang"], r["probability"], r["rejected"]) for r in found], want))
+    assert [(a, b, d) for a, b, _, d in found] == [(a, b, d) for a, b, _, d in want]
+    assert [p for _, _, p, _ in found] == pytest.approx([p for _, _, p, _ in want], rel=2e-3)
