@@ -545,7 +545,8 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: t
     ``loss_spans`` are the code points (start, end) of ``formatted`` inside generation blocks. A conversation is one value of
     the result, so its turns meet in one task, and no other turns with them.
 
-    Defined results: a null text or role is an empty one; turns of equal number are ordered by role and text, a null number
+    Defined results: very long texts are formatted whole;
+    a null text or role is an empty one; turns of equal number are ordered by role and text, a null number
     comes first, and repeated rows are turns of their own; rows without a conversation's id are one conversation with a
     null id; an empty table gives an empty table; other columns are not read.
     """

@@ -104,7 +104,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     words of an item; an item of fewer words is one window. ``n_hit`` counts the document's words inside any occurrence
     of any window, ``items`` lists the ids of the items with one, sorted as strings.
 
-    Defined results: null and empty texts have no words and no windows; repeated documents are rows with equal
+    Defined results: very long texts are searched whole;
+    null and empty texts have no words and no windows; repeated documents are rows with equal
     results; repeated item rows count once; an item without id marks words but is not listed; an empty benchmark or
     document table gives no hits or no rows; other columns are not read.
     """

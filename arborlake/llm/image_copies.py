@@ -257,7 +257,8 @@ def find_copies(images: DataFrame, queries: Column, image: str = "image", id_col
     edited copy of it: image_id and class_id are the copy's class, query_id the query's, and the transform takes places of the
     query to places of the copy.
 
-    Defined results: a null, empty or undecodable image has no corners and no copies, and nulls are one class; images
+    Defined results: a very large image is described whole;
+    a null, empty or undecodable image has no corners and no copies, and nulls are one class; images
     without an id are compared if their bytes have one elsewhere; repeated rows are members twice; an image too small for a
     patch has no corners; of a large one the strongest corners count, as many as of a small one; ties between corners go to the upper, then the left one; an empty table gives an empty table; other
     columns are not read.

@@ -206,7 +206,8 @@ def language_id(rows: DataFrame, model: dict[str, np.ndarray], text: str = "text
     suffix, its last two the domain. ``code`` is the hash of id and text. A row is rejected when its text has no
     trigram of letters or when ``und`` is the most probable class.
 
-    Defined results: null and empty texts have no trigrams and are rejected; a missing declaration, host or suffix is
+    Defined results: very long texts are read whole;
+    null and empty texts have no trigrams and are rejected; a missing declaration, host or suffix is
     no evidence; ties go to the language named first by the model; repeated rows are voters of their own; an empty
     table gives an empty table; with an empty model lang is null and nothing is rejected; other columns are not read.
     """

@@ -177,7 +177,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
     tokens; ``targets`` sets weights for named sources instead, as fractions of the whole, and when a queue runs dry
     the others share what it leaves.
 
-    Defined results: null and empty texts are the end id alone; a null source is a queue of its own; repeated rows are
+    Defined results: very long texts are encoded whole and cut where sequences end;
+    null and empty texts are the end id alone; a null source is a queue of its own; repeated rows are
     documents of their own with an equal id; an empty table gives no pieces; other columns are not read.
     """
     bounded_batches(docs.sparkSession)

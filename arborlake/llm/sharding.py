@@ -33,7 +33,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 7, text: str = "text",
     Shards hold numbers of rows at most one apart; slots run from 0 without gaps inside a shard, in interleaved order.
     ``size`` is the UTF-8 length of the text plus 1 and ``text_crc32`` the CRC-32 of its UTF-8 bytes.
 
-    Defined results: a null text has size 1 and the CRC of nothing; a null source is a source of its own; equal
+    Defined results: a very long text is one row, measured where it is read;
+    a null text has size 1 and the CRC of nothing; a null source is a source of its own; equal
     fractional ranks are ordered by source, hash, id, CRC and size, and rows that agree on all of them are alike, so
     either may come first; copies of a text are spread like any other rows; an empty table gives an empty table; fewer rows
     than shards leave the later shards empty; other columns are not read.

@@ -255,7 +255,8 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shi
     in over half of the shingles' XXH64 hashes (seed 42). Fingerprints link at ``radius`` or fewer different bits;
     ``component_id`` is the smallest id that links reach. The fingerprint is written as 16 lowercase hex digits.
 
-    Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows are one
+    Defined results: very long texts are fingerprinted whole, where they are read;
+    null, empty and blank texts have fingerprint zero and link like any other; repeated rows are one
     fingerprint; rows whose id is null take part, and a group of nothing else has a null component_id; an empty table
     gives an empty table; other columns are not read.
     """

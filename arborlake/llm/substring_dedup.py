@@ -155,7 +155,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     anywhere else too, in the same or another row; all windows are judged on the input. ``kept_text`` holds the words
     that stay, joined by one space; ``removed_spans`` the maximal intervals (first, end) of word ordinals that go.
 
-    Defined results: a null or empty text has no words and an empty ``kept_text``; a text shorter than the window
+    Defined results: very long texts are windowed whole;
+    a null or empty text has no words and an empty ``kept_text``; a text shorter than the window
     keeps all words; repeated rows are rows of their own, so their long windows are repeated; null ids are ids like
     any other; other columns pass through unless a result has their name; an empty table gives an empty table.
 

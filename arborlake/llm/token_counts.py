@@ -64,7 +64,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, text: str = "text"
     text, without begin, end or added special tokens, truncation or padding; special strings inside a text are what the
     library's default makes of them.
 
-    Defined results: a null text is an empty one, with 0 bytes; repeated rows and equal texts share one entry of the cache;
+    Defined results: very long texts are encoded whole;
+    a null text is an empty one, with 0 bytes; repeated rows and equal texts share one entry of the cache;
     a digest that two jobs add at once is an entry twice with the same count and is read once; entries of other versions
     are not read; an empty table gives an empty table and adds nothing; other columns are not read.
     """

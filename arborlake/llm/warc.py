@@ -84,7 +84,8 @@ def write_warc(pages: DataFrame, folder: str, html: str = "html", url: str = "ur
     The payload is the text in UTF-8. Of rows with equal payloads of at least ``least`` bytes the one with the smallest id
     is a response and the others are revisits of it; shorter payloads are all responses.
 
-    Defined results: a null text is an empty payload; a null address leaves its header out; a row without an id is called
+    Defined results: a very long text is one record, read in blocks;
+    a null text is an empty payload; a null address leaves its header out; a row without an id is called
     ``none``, and revisits the group's smallest id if there is one; rows that repeat both the id and the payload of a
     response are responses too; an empty table writes an archive without records; other columns are not read.
     """
