@@ -169,30 +169,37 @@ WITH RECURSIVE m(step, a, b, height, size, pairs) AS (
              any_value(CASE WHEN least(p1, q1) = e.a THEN e.na + e.nb WHEN least(p1, q1) = p.a THEN p.na ELSE p.nb END) AS na,
              any_value(CASE WHEN greatest(p1, q1) = e.a THEN e.na + e.nb WHEN greatest(p1, q1) = p.a THEN p.na ELSE p.nb END) AS nb
       FROM (SELECT p, CASE WHEN p.a = e.b THEN e.a ELSE p.a END AS p1, CASE WHEN p.b = e.b THEN e.a ELSE p.b END AS q1 FROM (SELECT unnest(q.pairs) AS p) u) v
-      WHERE p1 <> q1 GROUP BY ALL) w) nxt)
-SELECT a AS left_id, b AS right_id, round(height, 6) AS height, size FROM m WHERE step > 0"""
+      WHERE p1 <> q1 GROUP BY ALL) w) nxt)"""
+
+
+MERGES = "\nSELECT a AS left_id, b AS right_id, round(height, 6) AS height, size FROM m WHERE step > 0"
+# A cluster that merges goes to the one with the smaller first member; what never goes on is the first of its cluster.
+AT_MOST = """,
+kept AS (SELECT a, b FROM m WHERE step > 0 AND height <= (SELECT height FROM m WHERE step > 0 ORDER BY height DESC LIMIT 1 OFFSET {0})),
+up(file_id, r) AS (SELECT a, a FROM (SELECT a FROM m WHERE step > 0 UNION SELECT b FROM m WHERE step > 0) u UNION ALL SELECT file_id, a FROM up JOIN kept ON b = r)
+SELECT file_id, dense_rank() OVER (ORDER BY r)::INT AS label FROM up WHERE r NOT IN (SELECT b FROM kept)"""
 
 
 def merges(tree):
     return rounded(tree.merges.select("left_id", "right_id", "height", "size"), "height")
 
 
-@query("hierarchical", "soma_d", merging("soma_d", WARD, "sqrt(e.s)", "distance * distance"))
+@query("hierarchical", "soma_d", merging("soma_d", WARD, "sqrt(e.s)", "distance * distance") + MERGES)
 def _(t):
     return merges(K.hierarchical(*soma_pairs(t), "ward"))
 
 
-@query("hierarchical_average", "r_d", merging("r_d", AVERAGE))
+@query("hierarchical_average", "r_d", merging("r_d", AVERAGE) + MERGES)
 def _(t):
     return merges(correlation_tree(t))
 
 
-@query("hierarchical_complete", "r_d", merging("r_d", "max(p.s)"))
+@query("hierarchical_complete", "r_d", merging("r_d", "max(p.s)") + MERGES)
 def _(t):
     return merges(correlation_tree(t, "complete"))
 
 
-@query("cut_clusters_average", "")
+@query("cut_clusters_average", "r_d", merging("r_d", AVERAGE) + AT_MOST.format(4))
 def _(t):
     return K.cut_clusters(correlation_tree(t), 5)
 
