@@ -35,7 +35,7 @@ TEMPER = 1 / 3
 STRENGTH = 10.0
 UNKNOWN_PRIOR = 0.01
 UNKNOWN = "und"
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that carry language: letters and all of UTF-8 beyond ASCII; the rest counts as a space.
 _LETTER = FOLDED.copy()
