@@ -8,14 +8,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
+from .. import session as joins
 from ..session import forget, lookup_join, settle
-from .blocks import at_voxels
+from .blocks import at_voxels, block_volume
 from .catalog import voxel_of
 from .topology import validate_trees
 
 # Crossings closer than this in edge parameter are one corner.
 GAP = 16 * 2.0**-52
 ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = 1e-9, 1e-12
+# Node numbers of one file that meet in one task: an ordinary tree stays together, a huge one is spread.
+NODE_GROUP = 65_536
 
 
 def _crossings(axis: str, size: int, step: float) -> Column:
@@ -91,16 +94,22 @@ def node_side(grid: Grid, suffix: str = "") -> Column:
     return F.when(c == mid, "midline").when(c < mid, "lower").otherwise("upper")
 
 
+def _together(rows: DataFrame) -> DataFrame:
+    """Rows of a file by groups of its node numbers, each group in one task."""
+    return rows.withColumn("_group", F.floor(F.col("node_id") / F.lit(NODE_GROUP))).repartition("file_id", "_group")
+
+
 def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
     """(file_id, region_id, side, compartment, cable, termini): edges by the region of their portions, termini by their own.
 
     One join finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
-    terminus unless it is a soma. Cable is summed per voxel before the regions of voxels are looked up, whatever the size
-    of the volume, so the sums do not depend on it.
+    terminus unless it is a soma. Parents and children meet by file and group of node numbers, so an ordinary file's portions
+    are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on is a few rows
+    per file, not one per file and voxel; for a larger one cable is summed per voxel before the regions are looked up.
     """
     parent = nodes.select("file_id", "node_id", F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     child = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    met = _portions(parent.join(child, ["file_id", "node_id"], "left"), grid)
+    met = _portions(_together(parent).join(_together(child), ["file_id", "_group", "node_id"], "left"), grid)
     met = met.select("file_id", "own_type", "own_region", "type", *[f"{c}{k}" for c in "xyz" for k in (1, 2)], "_length", F.inline_outer("_p"))
     place, childless = _portion_place(grid), F.col("type").isNull()
     own = node_side(grid, "2")
@@ -110,10 +119,14 @@ def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
         F.coalesce((F.col("t1") - F.col("t0")) * F.col("_length"), F.lit(0.0)).alias("cable"),
         F.when(childless & (F.col("own_type") != SOMA), 1).otherwise(0).cast("long").alias("termini"), childless.alias("_end"),
     )
-    sums = rows.groupBy("file_id", "voxel", "own_region", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
     volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("voxel"), "region_id")
-    # blocks crowded with nodes are crowded with their cable, and nodes need no join to be counted
-    joined = at_voxels(sums.filter("_end OR cable > 0"), "voxel", volume, grid, ["region_id"], salt_by=["file_id", "side"], summary=voxel_of(nodes, grid, "voxel"))
+    if joins.fits_broadcast(volume):
+        joined = rows.filter("_end OR cable > 0").join(F.broadcast(volume), "voxel", "left")
+    else:
+        sums = rows.groupBy("file_id", "voxel", "own_region", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
+        # blocks crowded with nodes are crowded with their cable, and nodes need no join to be counted
+        blocks = block_volume(volume, grid, "voxel", ["region_id"])
+        joined = at_voxels(sums.filter("_end OR cable > 0"), "voxel", blocks, grid, ["region_id"], salt_by=["file_id", "side"], summary=voxel_of(nodes, grid, "voxel"))
     region = F.when(F.col("_end"), F.col("own_region")).otherwise(F.coalesce("region_id", F.lit(0)))
     return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
 
