@@ -45,3 +45,29 @@ def test_profile_rows_agree_with_a_large_volume(spark, monkeypatch):
     small = read()
     monkeypatch.setattr(P.joins, "fits_broadcast", lambda *a, **k: False)
     assert small == read() and sum(v[1] for v in small.values()) == 2 + 39
+
+
+def test_vectors_are_sent_to_few_blocks():
+    from arborlake.operators import pairs as PP
+
+    # copies of a vector: one per block, in proportion to the files up to the bound of a tile
+    assert [-(-n // PP.block_files(n)) for n in (100, 5_000, 60_000)] == [1, 10, 16] and PP.block_files(10**7) == PP.MOST_FILES
+
+
+def test_tiles_leave_in_strips(spark, monkeypatch):
+    from arborlake.operators import clustering as K, pairs as PP
+
+    monkeypatch.setattr(PP, "STRIP_PAIRS", 8)
+    monkeypatch.setattr(K, "POINTS_PER_BLOCK", 4)
+    rows = [(f"n{k}", float(k % 5), None if k == 3 else float(k), 0.5) for k in range(11)] + [(None, 0.0, 0.0, 0.0)]
+    got = {(r["i"], r["j"]): r["distance"] for r in K.soma_distances(spark.createDataFrame(rows, "file_id string, x double, y double, z double")).collect()}
+    want = {}
+    for a, b in [(a, b) for a in rows for b in rows if a[0] and b[0] and a[0] < b[0]]:
+        want[a[0], b[0]] = None if None in a + b else ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5
+    assert got == want
+    vectors = [(f"n{k}", f"v{v}", float(k + v)) for k in range(9) for v in range(k % 4)] + [(None, "v0", 1.0)]
+    frame = spark.createDataFrame(vectors, "file_id string, key string, value double")
+    found = {(r["i"], r["j"]): r["sxy"] for r in PP.pair_products(frame, block_size=3, strip_size=2).collect()}
+    dense = {f: {k: x for g, k, x in vectors if g == f} for f in {v[0] for v in vectors if v[0]}}
+    sums = {(a, b): sum(x * dense[b].get(k, 0.0) for k, x in dense[a].items()) for a in dense for b in dense if a < b}
+    assert {p: s for p, s in found.items() if s} == {p: s for p, s in sums.items() if s}
