@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.ranks import number_rows, running_before
 from ..session import forget, lookup_join, settle, union_all
 from .components import connected_components
-from .linkage import LAST_CLUSTERS, LINKAGES, linkage, matrix_rows, single_merges, spanning_tree
+from .linkage import LAST_CLUSTERS, LINKAGES, linkage, matrix_rows, pair_tree, single_merges
 from .pairs import all_pairs, block_pairs, tiles, with_block
 
 BLOCK = 512
@@ -110,9 +110,9 @@ class Tree:
 def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", distance: str = "distance", last: int = LAST_CLUSTERS) -> Tree:
     """Agglomerate a complete pair table (i, j, distance).
 
-    Ids become numbers in their order and the pairs a matrix that is written once (``linkage``). Average, complete and ward
-    merge all reciprocal nearest clusters of a round at once, which gives the same tree as one merge at a time; single linkage
-    takes the edges of a minimum spanning tree in order. Equal distances go to the smaller id.
+    Ids become numbers in their order. Average, complete and ward write the pairs once as a matrix (``linkage``) and merge all
+    reciprocal nearest clusters of a round at once, which gives the same tree as one merge at a time; single linkage takes the
+    edges of a minimum spanning tree in order, folded from the pairs as they pass. Equal distances go to the smaller id.
     """
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}")
@@ -121,23 +121,27 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     rows = pairs.select("i", "j", F.col(distance).cast("double").alias("s"))
     for end, name in (("i", "r"), ("j", "c")):
         rows = lookup_join(rows, names.select(F.col("file_id").alias(end), F.col("number").alias(name)), end, salt_by=["i", "j"])
+    if method == "single":
+        ends = rows.select(F.least("r", "c").alias("a"), F.greatest("r", "c").alias("b"), F.col("s").alias("d"))
+        return _tree(single_merges(pairs.sparkSession, pair_tree(ends, n), n), names, n)
     value = F.col("s") * F.col("s") if method == "ward" else F.col("s")
     both = F.array(F.struct(F.col("r").alias("r"), F.col("c").alias("c")), F.struct(F.col("c").alias("r"), F.col("r").alias("c")))
     matrix = matrix_rows(rows.select(F.explode(both).alias("p"), value.alias("s")).select("p.r", "p.c", "s"), n)
-    if method == "single":
-        merges = single_merges(pairs.sparkSession, spanning_tree(matrix, n), n)
-    else:
-        merges = linkage(matrix, n, method, last)
+    tree = _tree(linkage(matrix, n, method, last), names, n)
+    forget(matrix)
+    return tree
+
+
+def _tree(merges: DataFrame, names: DataFrame, n: int) -> Tree:
+    """The merges of numbers as a tree of named files."""
     for side in ("left", "right"):
         table = names.select(F.col("number").alias(f"{side}_number"), F.col("file_id").alias(f"{side}_id"))
         merges = lookup_join(merges, table, f"{side}_number", salt_by=["step"])
     named = lambda step, own: F.when(step < 0, F.col(own)).otherwise(F.concat(step.cast("string"), F.lit(":"), F.col(own)))
-    tree = Tree(settle(merges.select(
+    return Tree(settle(merges.select(
         named(F.col("step"), "left_id").alias("node"), named(F.col("left_step"), "left_id").alias("left_node"),
         named(F.col("right_step"), "right_id").alias("right_node"), "left_id", "right_id", "height", "size", "left_size",
     )), settle(names.select("file_id")), n)
-    forget(matrix)
-    return tree
 
 
 def leaf_order(tree: Tree) -> DataFrame:

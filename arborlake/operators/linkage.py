@@ -21,6 +21,9 @@ LINKAGES = ("average", "ward", "complete", "single")
 #: Cells that one task lays out as rows, clusters that are merged by one task, and merges that are sent at once.
 STRIP_CELLS = 1 << 21
 LAST_CLUSTERS = 512
+#: Pairs that a task holds before it folds them to a spanning forest, and tasks that fold the forests of all others.
+FOREST_PAIRS = 1 << 21
+FOREST_TASKS = 16
 MERGES = "step long, left_number long, right_number long, left_step long, right_step long, height double, size long, left_size long"
 
 
@@ -300,6 +303,71 @@ def spanning_tree(matrix: DataFrame, n: int) -> np.ndarray:
     return np.array(sorted(edges), float).reshape(-1, 3)
 
 
+def forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges of the minimum spanning forest, of edges (d, a, b) with a < b in that order, shortest first."""
+    order = np.lexsort((b, a, d))
+    a, b, label, alive, kept = a[order], b[order], np.arange(n), np.arange(len(order)), []
+    while len(alive):
+        x, y = label[a[alive]], label[b[alive]]
+        out = x != y
+        alive, x, y = alive[out], x[out], y[out]
+        if not len(alive):
+            break
+        # edges are in order, so of the edges out of a component the one written last, from the back, is the shortest
+        best, towards = np.full(n, -1), np.arange(n)
+        for ends, others in ((x, y), (y, x)):
+            first = np.full(n, -1)
+            first[ends[::-1]] = np.arange(len(alive))[::-1]
+            better = (first >= 0) & ((best < 0) | (first < best))
+            best[better], towards[better] = first[better], others[first[better]]
+        kept.append(np.unique(alive[best[best >= 0]]))
+        # two components that chose the same edge point at each other; the smaller one is the root
+        both = (towards[towards] == np.arange(n)) & (np.arange(n) < towards)
+        towards[both] = np.flatnonzero(both)
+        while not np.array_equal(towards, towards[towards]):
+            towards = towards[towards]
+        label = towards[label]
+    return order[np.sort(np.concatenate([*kept, np.zeros(0, np.int64)]))]
+
+
+def _forests(n: int, most: int):
+    """The edges that a task's pairs leave in their spanning forest; what is held never exceeds ``most`` pairs and the forest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append([batch.column(c).to_numpy() for c in ("a", "b", "d")])
+            waiting += batch.num_rows
+            if waiting >= most:
+                held, waiting = [_fold(held, n)], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _fold(held, n)], ["a", "b", "d"])
+
+    return run
+
+
+def _fold(held: list[list[np.ndarray]], n: int) -> list[np.ndarray]:
+    a, b, d = (np.concatenate(x) for x in zip(*held))
+    kept = forest(a, b, d, n)
+    return [a[kept], b[kept], d[kept]]
+
+
+def pair_tree(pairs: DataFrame, n: int, most: int = FOREST_PAIRS) -> np.ndarray:
+    """(n - 1, 3) rows (length, smaller end, greater end) of the minimum spanning tree of all pairs (a, b, d), sorted.
+
+    An edge that is not in the forest of some of the pairs is not in that of all. So every task keeps the forest of its pairs
+    while they pass, fewer than n edges; those are folded once more by few tasks, and what these leave on the driver. The
+    pairs are read once and neither moved nor written.
+    """
+    edges, schema = pairs.select("a", "b", "d"), "a long, b long, d double"
+    few = edges.mapInArrow(_forests(n, most), schema).repartition(FOREST_TASKS).mapInArrow(_forests(n, most), schema).toArrow()
+    a, b, d = (few.column(c).to_numpy() for c in ("a", "b", "d"))
+    kept = forest(a, b, d, n)
+    if len(kept) < n - 1:
+        raise ValueError("the table lacks pairs that would connect all numbers")
+    return np.stack([d[kept], a[kept], b[kept]], axis=1).astype(float).reshape(-1, 3)
+
+
 def single_merges(spark: SparkSession, tree: np.ndarray, n: int) -> DataFrame:
     """Merges (``MERGES``) of single linkage: the edges of the spanning tree from the shortest on."""
     parent, size, node = np.arange(n), np.ones(n, np.int64), -1 - np.arange(n)

@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from arborlake.model import Grid
@@ -71,3 +73,35 @@ def test_tiles_leave_in_strips(spark, monkeypatch):
     dense = {f: {k: x for g, k, x in vectors if g == f} for f in {v[0] for v in vectors if v[0]}}
     sums = {(a, b): sum(x * dense[b].get(k, 0.0) for k, x in dense[a].items()) for a in dense for b in dense if a < b}
     assert {p: s for p, s in found.items() if s} == {p: s for p, s in sums.items() if s}
+
+
+def test_single_linkage_moves_no_pair(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    from arborlake.operators import clustering as K, linkage as L
+
+    rng = np.random.default_rng(3)
+    d = {(i, j): float(rng.integers(1, 30)) for i, j in itertools.combinations(range(50), 2)}  # with many equal lengths
+    rows = spark.createDataFrame([(f"n{i:02d}", f"n{j:02d}", w) for (i, j), w in d.items()], "i string, j string, distance double")
+    ids = spark.createDataFrame([(f"n{k:02d}",) for k in range(50)], "file_id string")
+    monkeypatch.setattr(K, "matrix_rows", lambda *a: pytest.fail("a matrix is written"))
+    lead, want = list(range(50)), []
+
+    def root(k):
+        while lead[k] != k:
+            k = lead[k]
+        return k
+
+    for w, i, j in sorted((w, i, j) for (i, j), w in d.items()):
+        if root(i) != root(j):
+            lead[root(i)] = root(j)
+            want.append((w, i, j))
+    numbers = spark.createDataFrame([(i, j, w) for (i, j), w in d.items()], "a long, b long, d double").repartition(5)
+    for most in (1, 60, 1 << 21):
+        assert [tuple(r) for r in L.pair_tree(numbers, 50, most).tolist()] == want
+    tree = K.hierarchical(rows, ids, "single")
+    assert sorted(r["height"] for r in tree.merges.collect()) == [w for w, _, _ in want]
+    with pytest.raises(ValueError, match="lacks pairs"):
+        L.pair_tree(numbers.filter("a <> 7 AND b <> 7"), 50)
