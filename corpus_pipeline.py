@@ -13,9 +13,10 @@ from arborlake.llm.decontaminate import occurrences
 from arborlake.llm.language_id import fit, language_id
 from arborlake.llm.near_copies import similar_groups
 from arborlake.llm.queries import packed_rows, table
-from arborlake.llm.simhash import keep_one
+from arborlake.llm.simhash import keep_one, near_groups
 from arborlake.llm.substring_dedup import dedup_substrings
-from arborlake.session import forget, settle
+from arborlake.operators.components import connected_components
+from arborlake.session import forget, lookup_join, settle
 
 #: No SQL expresses hashing tokenizers, deficit queues or trigram models; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -34,13 +35,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _without(docs, named.filter("rejected").select("id", "code"))
 
 
+def joined_groups(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of groups that documents of either table join; rows without an id follow both of theirs."""
+    first, second = settle(first.select("doc_id", "component_id")), settle(second.select("doc_id", "component_id"))
+    both = first.unionByName(second)
+    links = both.filter("doc_id <> component_id").select(F.col("doc_id").alias("src"), F.col("component_id").alias("dst")).distinct()
+    links = settle(links)
+    linked = links.select(F.col("src").alias("id")).union(links.select("dst")).distinct()
+    table = settle(connected_components(linked, links).select(F.col("id").alias("component_id"), F.col("component")))
+    rows = first.filter("doc_id IS NOT NULL").unionByName(both.filter("doc_id IS NULL"))
+    own = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return lookup_join(own, table, "component_id", "left", salt_by=["doc_id"]).select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group linked by a Jaccard similarity of 0.8 over five-word shingles.
+    """One document, that of the smallest id, of every group linked by fingerprints or by a Jaccard similarity of 0.8.
 
-    Parities of the shingle sets are compared in vertical bit planes with carry-save counters, as in the operator; fingerprints
-    of majority bits would need a radius of about twelve for this similarity and still miss short texts.
+    The operator's fingerprints link at two or fewer bits. Majority bits would need a radius of about twelve for a similarity of
+    0.8 and still miss short texts, so sets of five-word shingles add their links; a group is what links of either kind reach.
     """
-    return keep_one(docs, similar_groups(docs))
+    return keep_one(docs, joined_groups(near_groups(docs), similar_groups(docs)))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -141,3 +141,30 @@ def test_unlike_texts_with_a_common_line(spark, crowd):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in similar_groups(docs, crowd=crowd).collect()}
     assert found == {k: k for k in range(len(texts))}
+
+
+def test_stage_takes_links_of_fingerprints_and_of_sets(spark):
+    """Groups of either kind count: texts of one fingerprint whose sets differ, and similar sets of other fingerprints."""
+    from arborlake.llm.simhash import near_groups
+
+    words = [f"w{k}" for k in range(60)]
+    turned = words.copy()
+    turned[30] = "other"
+    docs = [(1, "same words " * 40), (2, "same words " * 80), (3, " ".join(words)), (4, " ".join(turned)), (5, "A B c"), (6, "a b C"), (7, "quite another text")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    prints = {r["doc_id"]: r["component_id"] for r in near_groups(frame).collect()}
+    sets = {r["doc_id"]: r["component_id"] for r in similar_groups(frame).collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()}
+    assert kept == {k for k in prints if prints[k] == k and sets[k] == k}
+    halves = [spark.createDataFrame(rows, "doc_id long, component_id long") for rows in (
+        [(1, 1), (2, 1), (3, 3), (4, 4), (None, None)], [(1, 1), (2, 2), (3, 2), (4, 4), (None, 4)])]
+    joined = sorted(((r["doc_id"], r["component_id"]) for r in corpus_pipeline.joined_groups(*halves).collect()), key=str)
+    assert joined == sorted([(1, 1), (2, 1), (3, 1), (4, 4), (None, None), (None, 4)], key=str)
+
+
+def test_stage_goes_through_the_operator(spark, monkeypatch):
+    """A pair that fingerprints alone link leaves one document."""
+    docs = spark.createDataFrame([(1, "one text"), (2, "a different one")], "doc_id long, text string")
+    pair = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, component_id long")
+    monkeypatch.setattr(corpus_pipeline, "near_groups", lambda rows: pair)
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()] == [1]
