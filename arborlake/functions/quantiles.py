@@ -34,9 +34,13 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int]) -> list[flo
     state = {r: (None, None, None, None, 2) for r in wanted}
     while len(found) < len(wanted):
         open_ = [r for r in wanted if r not in found]
-        aggregates = []
-        for k, r in enumerate(open_):
+        aggregates, names = [], {}
+        for r in open_:
             low, high, a, b, _ = state[r]
+            # ranks with the same bounds, as all have in the first pass, share one sketch
+            if state[r][:4] in names:
+                continue
+            k = names[state[r][:4]] = len(names)
             inside = _inside(value, a if a is not None else low, b if b is not None else high)
             held = F.when(inside, value)
             grid = F.percentile_approx(held, [s / STEPS for s in range(STEPS + 1)], ACCURACY)
@@ -45,9 +49,9 @@ def order_statistics(df: DataFrame, name: str, ranks: Sequence[int]) -> list[flo
             aggregates.append(F.struct(under.alias("under"), at[0].alias("below"), at[1].alias("at_a"), at[2].alias("at_b"), F.count(held).alias("n"), F.min(held).alias("lo"), F.max(held).alias("hi"), grid.alias("grid")).alias(f"r{k}"))
         row = df.agg(*aggregates).first()
         small = {}
-        for k, r in enumerate(open_):
+        for r in open_:
             low, high, a, b, margin = state[r]
-            seen = row[f"r{k}"]
+            seen = row[f"r{names[state[r][:4]]}"]
             if a is None:
                 below = seen["under"]
             else:
