@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SPACES, bounded_batches, flat, packed, parts_for, text_bytes, unpacked, with_results, word_codes, word_spans
+from .common import SPACES, bounded_batches, flat, frugal_group, packed, parts_for, text_bytes, unpacked, with_results, word_codes, word_spans
 
 #: Odd multipliers of the two rolling hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -26,10 +26,12 @@ RESULTS = ("n_words", "n_removed", "kept_text", "removed_spans")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
-    """Spread the entropy of a product over all bits (the finaliser of splitmix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    """Spread the entropy of a product over all bits, in place (the finaliser of splitmix64)."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= h >> np.uint64(shift)
+        h *= np.uint64(factor)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def rolling(codes: np.ndarray, window: int, base: int) -> np.ndarray:
@@ -43,29 +45,47 @@ def rolling(codes: np.ndarray, window: int, base: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     powers = np.full(n, base, np.uint64)
     powers[0] = 1
+    np.cumprod(powers, out=powers)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(codes * np.cumprod(powers), out=prefix[1:])
-    powers[1:] = pow(base, -1, 1 << 64)
-    return _mixed((prefix[window:] - prefix[:-window]) * np.cumprod(powers)[: n - window + 1])
+    np.multiply(codes, powers, out=prefix[1:])
+    np.cumsum(prefix[1:], out=prefix[1:])
+    powers[0], powers[1:] = 1, pow(base, -1, 1 << 64)
+    np.cumprod(powers, out=powers)
+    found = prefix[window:] - prefix[:-window]
+    found *= powers[: n - window + 1]
+    return _mixed(found)
 
 
 class Windows:
-    """The windows of one part: their first words and their distinct hashes in (bucket, hash) order."""
+    """The windows of one part: their first words and their distinct hashes in (bucket, hash) order.
+
+    Arrays as long as the words are what a worker holds beside the JVM: places are 32 bits wide and nothing stays that is not read.
+    """
 
     def __init__(self, texts, window: int, buckets: int):
         self.data, self.begins = flat(texts)
         self.starts, self.ends, self.first = word_spans(self.data, self.begins, SPACES)
+        n = len(self.starts)
+        place = np.int32 if n < 1 << 31 else np.int64
         codes = word_codes(self.data, self.starts, self.ends, SPACES)
-        low, high = rolling(codes, window, BASES[0]), rolling(codes, window, BASES[1])
-        last = np.repeat(self.first[1:], np.diff(self.first))[: len(low)]
-        self.at = np.flatnonzero(np.arange(len(low)) + window <= last)
-        low, bucket = low[self.at], (high[self.at] % np.uint64(buckets)).astype(np.uint32)
-        self.order = np.lexsort((low, bucket))
-        low, bucket = low[self.order], bucket[self.order]
+        # a window starts at all words of a text but its last ones
+        opens = np.zeros(n + 1, np.int8)
+        whole = np.diff(self.first) >= window
+        np.add.at(opens, self.first[:-1][whole], 1)
+        np.add.at(opens, self.first[1:][whole] - window + 1, -1)
+        starts = np.cumsum(opens[:n], dtype=np.int8).astype(bool)[: max(n - window + 1, 0)]
+        low = rolling(codes, window, BASES[0])[starts]
+        high = rolling(codes, window, BASES[1])[starts]
+        del codes
+        bucket = (high % np.uint64(buckets)).astype(np.uint32)
+        del high
+        order = np.lexsort((low, bucket)).astype(place)
+        low, bucket = low[order], bucket[order]
         new = np.ones(len(low), bool)
         new[1:] = (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
-        self.ordinal = np.cumsum(new) - 1
         self.hashes, self.bucket = low[new], bucket[new]
+        #: First words of the windows in the order of their hashes, and the ordinals of these.
+        self.at, self.ordinal = np.flatnonzero(starts).astype(place)[order], np.cumsum(new, dtype=place) - place(1)
 
     def by_bucket(self) -> Iterator[tuple[int, int, int]]:
         cuts = np.flatnonzero(np.diff(self.bucket, prepend=-1)) if len(self.bucket) else np.zeros(0, np.int64)
@@ -92,7 +112,9 @@ def _count(table: pa.Table) -> pa.Table:
     sizes = np.array([len(b) // 8 for b in blobs])
     hashes = np.frombuffer(b"".join(blobs), np.uint64)
     order = np.argsort(hashes)
-    equal = hashes[order][1:] == hashes[order][:-1]
+    ordered = hashes[order]
+    equal = ordered[1:] == ordered[:-1]
+    del ordered
     again = np.zeros(len(hashes), bool)
     again[order[1:][equal]] = True
     again[order[:-1][equal]] = True
@@ -105,6 +127,13 @@ def _count(table: pa.Table) -> pa.Table:
     }).filter(pa.array(keep))
 
 
+def _sums(values: np.ndarray, first: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of the words of each text."""
+    total = np.zeros(len(values) + 1, kind)
+    np.cumsum(values, dtype=kind, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]
+
+
 def _remove(window: int, buckets: int, text: str):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.column("row").combine_chunks()
@@ -114,31 +143,34 @@ def _remove(window: int, buckets: int, text: str):
         for bucket, a, b in found.by_bucket():
             if bucket in bits:
                 repeated[a:b] |= np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=b - a).astype(bool)
-        n = len(found.starts)
-        edge = np.zeros(n + 1, np.int64)
-        hit = found.at[found.order[repeated[found.ordinal]]]
+        n, starts, ends, data = len(found.starts), found.starts, found.ends, found.data.copy()
+        first, hit = found.first, found.at[repeated[found.ordinal]]
+        del found, repeated
+        edge = np.zeros(n + 1, np.int32)
         edge[hit] += 1
         edge[hit + window] -= 1
-        gone = np.cumsum(edge[:n]) > 0
-        first, words = found.first, np.diff(found.first)
-        lost = np.concatenate([[0], np.cumsum(gone)])
-        removed = lost[first[1:]] - lost[first[:-1]]
-
-        cover = np.zeros(len(found.data) + 1, np.int8)
-        cover[found.starts[~gone]] += 1
-        cover[found.ends[~gone] + 1] -= 1
-        mask = np.cumsum(cover[:-1], dtype=np.int8).astype(bool)
-        data = found.data.copy()
-        data[found.ends] = 0x20
-        size = np.concatenate([[0], np.cumsum(mask)])[found.begins]
-        kept = data[mask].tobytes()
+        gone = np.cumsum(edge[:n], dtype=np.int32) > 0
+        del edge, hit
+        words = np.diff(first)
+        removed = _sums(gone, first, np.int32 if n < 1 << 31 else np.int64)
+
+        data[ends] = 0x20
+        cover = np.zeros(len(data) + 1, np.int8)
+        cover[starts[~gone]] += 1
+        cover[ends[~gone] + 1] -= 1
+        np.cumsum(cover, out=cover)
+        kept = data[cover[:-1].view(bool)].tobytes()
+        size = np.concatenate([[0], np.cumsum(_sums(np.where(gone, 0, ends - starts + 1), first, np.int64))])
+        del data, cover, starts, ends
         texts = [kept[a:max(a, b - 1)] for a, b in zip(size[:-1].tolist(), size[1:].tolist())]
 
-        owner = np.repeat(np.arange(len(words)), words)
-        turn = np.flatnonzero(gone & (np.concatenate([[True], ~gone[:-1]]) | np.concatenate([[True], owner[1:] != owner[:-1]]))) if n else np.zeros(0, int)
-        stop = np.flatnonzero(gone & (np.concatenate([~gone[1:], [True]]) | np.concatenate([owner[1:] != owner[:-1], [True]]))) + 1 if n else turn
-        span = pa.StructArray.from_arrays(
-            [pa.array(turn - first[owner[turn]], pa.int64()), pa.array(stop - first[owner[turn]], pa.int64())], names=["first", "end"])
+        # runs of gone words, cut where a text ends
+        opens = np.zeros(n + 1, bool)
+        opens[first] = True
+        turn = np.flatnonzero(gone & (opens[:n] | ~np.concatenate([[False], gone[:-1]])))
+        stop = np.flatnonzero(gone & (opens[1:] | ~np.concatenate([gone[1:], [False]]))) + 1
+        inside = first[np.searchsorted(first, turn, "right") - 1]
+        span = pa.StructArray.from_arrays([pa.array(turn - inside, pa.int64()), pa.array(stop - inside, pa.int64())], names=["first", "end"])
         offsets = pa.array(np.searchsorted(turn, first), pa.int32())
         return pa.table({
             "row": rows, "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()),
@@ -169,8 +201,8 @@ def dedup_substrings(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     row = packed(docs)
     key = F.pmod(F.xxhash64(F.col("row").getField(id_col), F.col("row").getField(text)), F.lit(parts)).cast("int")
     staged = row.withColumn("part", key)
-    sent = staged.groupBy("part").applyInArrow(_fingerprint(window, parts, text), "part int, bucket int, hashes binary")
-    again = sent.groupBy("bucket").applyInArrow(_count, "part int, bucket int, again binary")
+    sent = staged.groupBy("part").applyInArrow(frugal_group(_fingerprint(window, parts, text)), "part int, bucket int, hashes binary")
+    again = sent.groupBy("bucket").applyInArrow(frugal_group(_count), "part int, bucket int, again binary")
     kind = with_results(row, "n_words long, n_removed long, kept_text string, removed_spans array<struct<first:long,end:long>>")
-    out = staged.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(_remove(window, parts, text), kind)
+    out = staged.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(frugal_group(_remove(window, parts, text)), kind)
     return unpacked(out, docs.columns, RESULTS)
