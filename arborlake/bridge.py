@@ -91,11 +91,15 @@ class Tables:
 
     @cached_property
     def named_nodes(self) -> DataFrame:
-        """Nodes with the acronym and name of their region; the ontology is a literal of known size."""
+        """Nodes with the acronym and name of their region.
+
+        The ontology is a literal of a few rows whose size Spark does not know, so it is broadcast by name: joined by region, all
+        nodes of a region would be sorted in one task.
+        """
         names = self.structures.select(
             F.col("id").alias("region_id"), F.col("acronym").alias("region_acronym"), F.col("name").alias("region_name")
         )
-        return self.nodes.join(names, "region_id", "left")
+        return self.nodes.join(F.broadcast(names), "region_id", "left")
 
     @cached_property
     def annotation(self) -> DataFrame:

@@ -105,3 +105,11 @@ def test_single_linkage_moves_no_pair(spark, monkeypatch):
     assert sorted(r["height"] for r in tree.merges.collect()) == [w for w, _, _ in want]
     with pytest.raises(ValueError, match="lacks pairs"):
         L.pair_tree(numbers.filter("a <> 7 AND b <> 7"), 50)
+
+
+def test_names_of_regions_move_no_node(spark):
+    from arborlake.bridge import Tables
+
+    rows = Tables(spark, "/root/testdata/sf0.001").named_nodes.groupBy("region_name").agg(F.count("*").alias("n"))
+    moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(rows))
+    assert moved and not [m for m in moved if "region_id" in m]
