@@ -11,17 +11,20 @@ from functools import cached_property
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import number_rows, running_before
 from ..session import forget, lookup_join, settle, union_all
 from .components import connected_components
 from .linkage import LAST_CLUSTERS, LINKAGES, linkage, matrix_rows, pair_tree, single_merges
-from .pairs import all_pairs, block_pairs, tiles, with_block
+from .pairs import STRIP_PAIRS, all_pairs, block_pairs, tiles, with_block
 
 BLOCK = 512
 #: Points of a block: a pair of blocks is one tile of distances, and enough tiles are made to keep all tasks busy.
 POINTS_PER_BLOCK = 1024
+#: Leaves of a block whose highest gaps are found together, a power of two.
+REACH = 1 << 14
 
 
 def soma_distances(coords: DataFrame, dims: Sequence[str] = "xyz", n: int | None = None) -> DataFrame:
@@ -251,20 +254,112 @@ def cophenetic(tree: Tree) -> DataFrame:
     return inner.unionByName(pairs.select("i", "j", height.alias("height")))
 
 
-def _average_ranks(heights: DataFrame, name: str) -> DataFrame:
-    """Mean rank of each distinct height: there are fewer of them than leaves, whatever the number of pairs."""
-    counts = heights.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-    before = running_before(counts, [name], "n", "before")
-    return before.select(name, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(f"rank_{name}"))
+def range_rows(gaps: DataFrame, n: int) -> DataFrame:
+    """(position, tops) of leaves 0 to n - 1, of (position, value): the gap after each leaf, null after the last.
+
+    Positions p < q first differ, from the top, in bit k; the highest gap between the two is the greater of ``tops[k]`` of both.
+    So two rows answer for their pair alone. Blocks of ``REACH`` leaves are worked off apart, and of each only the highest gap,
+    one number for ``REACH`` leaves, is known to the others.
+    """
+    width, low = REACH, REACH.bit_length() - 1
+    levels = max((n - 1).bit_length(), 1)
+    rows = gaps.select("position", F.col("value").cast("double").alias("value"), F.shiftright("position", low).alias("block"))
+    tops = np.full(max(-(-n // REACH), 1), -np.inf)
+    for r in rows.groupBy("block").agg(F.max("value").alias("top")).toLocalIterator():
+        tops[r["block"]] = -np.inf if r["top"] is None else r["top"]
+
+    def reach(part: pa.Table) -> pa.Table:
+        at, block = part.column("position").to_numpy(), part.column("block")[0].as_py()
+        gap = np.full(width, -np.inf)
+        gap[at - block * width] = pc.fill_null(part.column("value"), -np.inf).to_numpy()
+        after = lambda g: np.maximum.accumulate(g[..., ::-1], axis=-1)[..., ::-1]
+        before = lambda g: np.concatenate([np.full((*g.shape[:-1], 1), -np.inf), np.maximum.accumulate(g, axis=-1)[..., :-1]], axis=-1)
+        out = np.empty((width, levels))
+        for k in range(levels):
+            if k < low:
+                halves = gap.reshape(-1, 2, 1 << k)
+                out[:, k] = np.stack([after(halves[:, 0]), before(halves[:, 1])], axis=1).ravel()
+            else:
+                first = block >> k - low << k - low
+                if block >> k - low & 1:
+                    out[:, k] = np.maximum(before(gap), tops[first: block].max(initial=-np.inf))
+                else:
+                    out[:, k] = np.maximum(after(gap), tops[block + 1: first + (1 << k - low)].max(initial=-np.inf))
+        found = out[at - block * width]
+        offsets = pa.array(np.arange(len(at) + 1) * levels, pa.int32())
+        return pa.table({"position": part.column("position"), "tops": pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))})
+
+    return rows.groupBy("block").applyInArrow(reach, "position long, tops array<double>")
+
+
+def _ranked_leaves(tree: Tree, common: DataFrame, prefix: str) -> DataFrame:
+    """(file_id, position, tops) of the common leaves: ``range_rows`` of the mean ranks of heights over all pairs of common leaves.
+
+    A merge joins as many pairs as the product of its sides, so ranks come from the merges. A height that lies below one inside,
+    as rounding can leave it, counts as that one. Ranks are taken from their mean.
+    """
+    merges = settle(tree.merges.join(tree.starts, "node").select(
+        F.col("start").alias("first"), (F.col("start") + F.col("left_size")).alias("second"), (F.col("start") + F.col("size")).alias("end"), "height"))
+    order = settle(tree.leaf_order)
+    codes = number_rows(merges.select("height").distinct(), ["height"], "code")
+    coded = settle(merges.join(codes, merges["height"].eqNullSafe(codes["height"])).select("first", "second", "end", F.col("code").cast("double").alias("code")))
+
+    def reached(rows: DataFrame, value: str) -> DataFrame:
+        gaps = rows.select((F.col("second") - 1).alias("position"), F.col(value).alias("value"))
+        return range_rows(order.select("position").join(gaps, "position", "left"), tree.size)
+
+    tops = settle(reached(coded, "code"))
+    level = F.length(F.bin(F.col("first").bitwiseXOR(F.col("end") - 1)))
+    one = tops.select(F.col("position").alias("first"), F.col("tops").alias("_first"))
+    two = tops.select((F.col("position") + 1).alias("end"), F.col("tops").alias("_end"))
+    whole = coded.join(one, "first").join(two, "end").select("first", "second", "end", F.greatest(F.element_at("_first", level), F.element_at("_end", level)).alias("code"))
+    flagged = order.join(common.withColumn("in", F.lit(1).cast("long")), "file_id", "left").withColumn("in", F.coalesce("in", F.lit(0).cast("long")))
+    n = flagged.agg(F.coalesce(F.sum("in"), F.lit(0))).first()[0]
+    earlier = settle(running_before(flagged.select("position", "in"), ["position"], "in", "before").select("position", "before"))
+    for end in ("first", "second", "end"):
+        whole = whole.join(earlier.select(F.col("position").alias(end), F.col("before").alias(f"n_{end}")), end, "left")
+    held = settle(whole.withColumn("pairs", (F.col("n_second") - F.col("n_first")) * (F.coalesce("n_end", F.lit(n)) - F.col("n_second"))))
+    before = running_before(held.groupBy("code").agg(F.sum("pairs").alias("pairs")), ["code"], "pairs", "before")
+    mean = (n * (n - 1) // 2 + 1) / 2.0
+    ranks = before.select("code", (F.col("before") + (F.col("pairs") + 1) / F.lit(2.0) - F.lit(mean)).alias("rank"))
+    found = reached(held.join(ranks, "code"), "rank").withColumnRenamed("tops", f"{prefix}tops")
+    return order.join(common, "file_id", "left_semi").join(found, "position").withColumnRenamed("position", f"{prefix}position")
+
+
+def _rank_products(table: pa.Table) -> pa.Table:
+    """Sums of products of both ranks over the pairs of one tile, in strips."""
+    own = {c: table.column(c).to_numpy() for c in ("block", "bi", "bj")}
+    left, right = np.flatnonzero(own["block"] == own["bi"]), np.flatnonzero(own["block"] == own["bj"])
+    trees = []
+    for prefix in "xy":
+        tops = pa.concat_arrays(table.column(f"{prefix}tops").chunks).flatten().to_numpy().reshape(table.num_rows, -1)
+        trees.append((table.column(f"{prefix}position").to_numpy(), tops))
+    total, n, step = np.zeros(3), 0, max(STRIP_PAIRS // max(len(right), 1), 1)
+    for start in range(0, len(left), step):
+        part, ranks = left[start: start + step], []
+        keep = part[:, None] < right[None, :] if own["bi"][0] == own["bj"][0] else np.ones((len(part), len(right)), bool)
+        a, b = np.nonzero(keep)
+        a, b = part[a], right[b]
+        for position, tops in trees:
+            level = np.frexp((position[a] ^ position[b]).astype(float))[1] - 1
+            ranks.append(np.maximum(tops[a, level], tops[b, level]))
+        x, y = ranks
+        total, n = total + [x @ x, y @ y, x @ y], n + len(a)
+    return pa.table({"n": pa.array([n], pa.int64()), **{c: pa.array([float(v)]) for c, v in zip(("xx", "yy", "xy"), total)}})
 
 
 def cophenetic_spearman(first: Tree, second: Tree) -> DataFrame:
-    """One row: rank correlation of the two trees' merge heights over all pairs."""
-    pairs = settle(cophenetic(first).withColumnRenamed("height", "h1").join(cophenetic(second).withColumnRenamed("height", "h2"), ["i", "j"]))
-    rows = pairs
-    for name in ("h1", "h2"):
-        rows = lookup_join(rows, _average_ranks(pairs, name), name, salt_by=["i", "j"])
-    return rows.agg(F.corr("rank_h1", "rank_h2").alias("spearman"), F.count(F.lit(1)).alias("pairs"))
+    """One row: rank correlation of the two trees' merge heights over all pairs of files that both hold.
+
+    No pair is a row: tiles of files with their ``range_rows`` in both trees are summed where they meet.
+    """
+    common = settle(first.ids.select("file_id").join(second.ids.select("file_id"), "file_id").distinct())
+    rows = settle(_ranked_leaves(first, common, "x").join(_ranked_leaves(second, common, "y"), "file_id"))
+    blocks = max(1, math.ceil(rows.count() / POINTS_PER_BLOCK / 4))
+    sums = block_pairs(with_block(rows, blocks), blocks).groupBy("bi", "bj").applyInArrow(_rank_products, "n long, xx double, yy double, xy double")
+    sums = sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), *[F.sum(c).alias(c) for c in ("xx", "yy", "xy")])
+    spread = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(F.when(spread > 0, F.col("xy") / spread).alias("spearman"), "pairs")
 
 
 def ordered_distances(pairs: DataFrame, tree: Tree, labels: DataFrame, distance: str = "distance") -> DataFrame:

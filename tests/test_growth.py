@@ -113,3 +113,31 @@ def test_names_of_regions_move_no_node(spark):
     rows = Tables(spark, "/root/testdata/sf0.001").named_nodes.groupBy("region_name").agg(F.count("*").alias("n"))
     moved = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(rows))
     assert moved and not [m for m in moved if "region_id" in m]
+
+
+def test_rank_correlation_of_trees_makes_no_row_per_pair(spark, monkeypatch):
+    import itertools
+
+    import numpy as np
+
+    from arborlake.operators import clustering as K
+
+    rng = np.random.default_rng(5)
+    names = [f"n{k:02d}" for k in range(41)]
+
+    def tree(of):
+        d = [(i, j, float(rng.integers(1, 25))) for i, j in itertools.combinations(of, 2)]
+        ids = spark.createDataFrame([(i,) for i in of], "file_id string")
+        return K.hierarchical(spark.createDataFrame(d, "i string, j string, distance double"), ids, "single")
+
+    one, two = tree(names[:38]), tree(names[3:])  # some files stand in one tree alone
+    heights = [{(r["i"], r["j"]): r["height"] for r in K.cophenetic(t).collect()} for t in (one, two)]
+    both = sorted(set(heights[0]) & set(heights[1]))
+    rank = lambda v: np.array([(np.asarray(v) < x).sum() + ((np.asarray(v) == x).sum() + 1) / 2 for x in v])
+    want = np.corrcoef(*[rank([h[p] for p in both]) for h in heights])[0, 1]
+    monkeypatch.setattr(K, "cophenetic", lambda tree: pytest.fail("a row per pair is made"))
+    for reach, points in ((4, 2), (1 << 14, 1024)):
+        monkeypatch.setattr(K, "REACH", reach)
+        monkeypatch.setattr(K, "POINTS_PER_BLOCK", points)
+        got = K.cophenetic_spearman(one, two).first()
+        assert got["pairs"] == len(both) and got["spearman"] == pytest.approx(want, abs=1e-9)
