@@ -69,7 +69,7 @@ def test_digest_of_the_query(spark, docs):
 
 
 def test_a_part_takes_little_memory():
-    """What a worker holds for one part of ordinary size, beside the text: before, 150 MB for four."""
+    """What a worker holds for one part of ordinary size, beside the text: before, 130 MB for 4.1 MB of text."""
     import random
     import tracemalloc
 
