@@ -95,21 +95,25 @@ def node_side(grid: Grid, suffix: str = "") -> Column:
 
 
 def _together(rows: DataFrame) -> DataFrame:
-    """Rows of a file by groups of its node numbers, each group in one task."""
-    return rows.withColumn("_group", F.floor(F.col("node_id") / F.lit(NODE_GROUP))).repartition("file_id", "_group")
+    """Rows of a file by groups of its node numbers, each group in one task.
+
+    It comes after a join by node, never before: Spark deals the rows of a join by all of its keys, which would spread a file again.
+    """
+    return rows.repartition("file_id", F.floor(F.col("node_id") / F.lit(NODE_GROUP)))
 
 
 def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
     """(file_id, region_id, side, compartment, cable, termini): edges by the region of their portions, termini by their own.
 
     One join finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
-    terminus unless it is a soma. Parents and children meet by file and group of node numbers, so an ordinary file's portions
-    are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on is a few rows
-    per file, not one per file and voxel; for a larger one cable is summed per voxel before the regions are looked up.
+    terminus unless it is a soma. What has met is gathered by file and group of node numbers before it is cut, so an ordinary
+    file's portions are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on
+    is a few rows per file, not one per file and voxel, nor one per file and task; for a larger one cable is summed per voxel
+    before the regions are looked up.
     """
     parent = nodes.select("file_id", "node_id", F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     child = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    met = _portions(_together(parent).join(_together(child), ["file_id", "_group", "node_id"], "left"), grid)
+    met = _portions(_together(parent.join(child, ["file_id", "node_id"], "left")), grid)
     met = met.select("file_id", "own_type", "own_region", "type", *[f"{c}{k}" for c in "xyz" for k in (1, 2)], "_length", F.inline_outer("_p"))
     place, childless = _portion_place(grid), F.col("type").isNull()
     own = node_side(grid, "2")

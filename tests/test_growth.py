@@ -40,6 +40,22 @@ def test_portions_are_folded_before_they_move(spark):
     assert moved and not [m for m in moved if "voxel" in m]
 
 
+def test_a_file_is_folded_in_one_task_however_many_there_are(spark):
+    # dealt by node, every task would see some of every file, and the folded rows that move would grow with files times tasks
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        text = plan(P.tree_rows(tree(spark), volume(spark), GRID))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    dealt = re.search(r"Exchange hashpartitioning\(([^\n]*), 4\)", text[text.index("Generate"):])[1]
+    keys = re.sub(r"FLOOR\(.*\)", "group", dealt)
+    assert re.fullmatch(r"file_id#\d+, (group|_group#\d+L?)", keys), keys
+
+
 def test_profile_rows_agree_with_a_large_volume(spark, monkeypatch):
     nodes, cells = tree(spark), volume(spark)
     keys = ["file_id", "region_id", "side", "compartment"]
