@@ -123,6 +123,33 @@ def test_single_linkage_moves_no_pair(spark, monkeypatch):
         L.pair_tree(numbers.filter("a <> 7 AND b <> 7"), 50)
 
 
+def test_ward_of_points_writes_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    from arborlake.operators import clustering as K, linkage as L
+
+    rng = np.random.default_rng(9)
+    points = np.vstack([rng.normal(size=(50, 3)) * 40, np.repeat(rng.integers(0, 9, (4, 3)), 5, axis=0), [[1.0, 2.0, 3.0]] * 3])
+    points = points[rng.permutation(len(points))]
+    rows = spark.createDataFrame([(f"n{k:02d}", *map(float, p)) for k, p in enumerate(points)], "file_id string, x double, y double, z double")
+    ids = rows.select("file_id")
+    # one merge at a time: the nearest pair, of equal ones that of the smaller first and then the smaller second member
+    groups, want = [[k] for k in range(len(points))], []
+    while len(groups) > 1:
+        gap = lambda a, b: round(2 * len(a) * len(b) / (len(a) + len(b)) * ((points[a].mean(0) - points[b].mean(0)) ** 2).sum(), 9)
+        h, i, j = min((gap(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        want.append((f"n{groups[i][0]:02d}", f"n{groups[j][0]:02d}", round(h ** 0.5, 6), len(groups[i]) + len(groups[j])))
+        groups[i] += groups.pop(j)
+    read = lambda tree: sorted((r["left_id"], r["right_id"], round(r["height"], 6), r["size"]) for r in tree.merges.collect())
+    plain = K.soma_distances(rows)
+    copied = plain.select("*")  # a frame that does not know its points takes the matrix
+    assert read(K.hierarchical(copied, ids, "ward")) == sorted(want)
+    monkeypatch.setattr(K, "matrix_rows", lambda *a: pytest.fail("a matrix is written"))
+    for last, cells in ((512, 1 << 26), (9, 200), (1, 1 << 26)):
+        monkeypatch.setattr(L, "TASK_CELLS", cells)
+        assert read(K.hierarchical(plain, ids, "ward", last=last)) == sorted(want)
+
+
 def test_names_of_regions_move_no_node(spark):
     from arborlake.bridge import Tables
 
