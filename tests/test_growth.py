@@ -150,6 +150,35 @@ def test_ward_of_points_writes_no_pair(spark, monkeypatch):
         assert read(K.hierarchical(plain, ids, "ward", last=last)) == sorted(want)
 
 
+def test_average_linkage_of_correlations_writes_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    from arborlake.operators import clustering as K, linkage as L
+    from arborlake.operators.pearson import pearson
+
+    rng = np.random.default_rng(11)
+    c = rng.integers(0, 4, (70, 23)) * (rng.random((70, 23)) < 0.5)
+    c[[5, 31, 47]], c[[8, 60]] = c[2], c[40]  # equal vectors
+    rows = [(f"n{f:02d}", int(v), int(c[f, v])) for f, v in zip(*np.nonzero(c))] + [(None, 3, 2), ("flat", 0, 0)]
+    found = pearson(spark.createDataFrame(rows, "file_id string, voxel long, c long"))
+    ids = found.ids.filter("file_id IS NOT NULL")
+    r = {(p["i"], p["j"]): 1 - p["r"] for p in found.pairs.collect()}
+    names = sorted(x[0] for x in ids.collect())
+    apart = np.array([[r.get((min(a, b), max(a, b)), 0.0) for b in names] for a in names])
+    groups, want = [[k] for k in range(len(names))], []
+    while len(groups) > 1:
+        h, i, j = min((round(apart[np.ix_(groups[i], groups[j])].mean(), 9), i, j) for i in range(len(groups)) for j in range(i + 1, len(groups)))
+        want.append((names[groups[i][0]], names[groups[j][0]], round(h, 6) + 0.0, len(groups[i]) + len(groups[j])))
+        groups[i] += groups.pop(j)
+    read = lambda tree: sorted((r["left_id"], r["right_id"], round(r["height"], 6) + 0.0, r["size"]) for r in tree.merges.collect())
+    assert len(names) == 70 and read(K.hierarchical(found.distances().select("*"), ids, "average")) == sorted(want)  # by the matrix
+    monkeypatch.setattr(K, "matrix_rows", lambda *a: pytest.fail("a matrix is written"))
+    for last, cells, strip in ((512, 1 << 23, 4096), (9, 200, 5)):
+        monkeypatch.setattr(L, "BLOCK_CELLS", cells)
+        monkeypatch.setattr(L, "KEYS_PER_STRIP", strip)
+        assert read(K.hierarchical(found.distances(), ids, "average", last=last)) == sorted(want)
+
+
 def test_names_of_regions_move_no_node(spark):
     from arborlake.bridge import Tables
 
