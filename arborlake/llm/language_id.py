@@ -35,7 +35,8 @@ TEMPER = 1 / 3
 STRENGTH = 10.0
 UNKNOWN_PRIOR = 0.01
 UNKNOWN = "und"
-SLICE_BYTES = 1 << 20
+#: Text that is looked up at once; it takes some 120 times its bytes of memory on the way.
+SLICE_BYTES = 1 << 17
 
 #: Bytes that carry language: letters and all of UTF-8 beyond ASCII; the rest counts as a space.
 _LETTER = FOLDED.copy()
@@ -110,7 +111,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str
         rows = rows.join(F.broadcast(most), "lang", "left_semi")
     total: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
-    for row in _sample(rows, sample).repartition(4).mapInArrow(_count, "lang string, docs long, counts binary").toLocalIterator():
+    for row in _sample(rows, sample).repartition(4).mapInArrow(frugal(_count), "lang string, docs long, counts binary").toLocalIterator():
         total[row["lang"]] = total.get(row["lang"], 0) + np.frombuffer(row["counts"], "<i8")[:BINS]
         docs[row["lang"]] = docs.get(row["lang"], 0) + row["docs"]
     model = {}

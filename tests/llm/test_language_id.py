@@ -159,3 +159,25 @@ def test_posteriors_by_plain_loops(spark, labelled):
     found, want = (sorted(x, key=lambda r: (r[0], r[1])) for x in ([(r["id"], r["lang"], r["probability"], r["rejected"]) for r in found], want))
     assert [(a, b, d) for a, b, _, d in found] == [(a, b, d) for a, b, _, d in want]
     assert [p for _, _, p, _ in found] == pytest.approx([p for _, _, p, _ in want], rel=2e-3)
+
+
+def test_memory_of_a_task_is_bounded_by_a_slice():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from arborlake.llm import language_id as L
+
+    names = ["en", "fr", "de", "es"]
+    flat = {name: np.full(BINS, np.log(1 / BINS)) for name in names}
+    texts = pa.array(["the cat sat on the mat " * 40] * 4_000)  # 3.7 MB
+    ids = pa.array(np.arange(len(texts)))
+    row = pa.StructArray.from_arrays([ids, texts, pa.nulls(len(texts), pa.string())], ["doc_id", "text", "lang"])
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.nulls(len(texts), pa.string()), row], ["id", "code", "host", "row"])
+    run = L._score(flat, "text", "lang", False)
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == len(texts) and most < 40, most
