@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
 from .. import session as joins
@@ -94,26 +94,44 @@ def node_side(grid: Grid, suffix: str = "") -> Column:
     return F.when(c == mid, "midline").when(c < mid, "lower").otherwise("upper")
 
 
-def _together(rows: DataFrame) -> DataFrame:
-    """Rows of a file by groups of its node numbers, each group in one task.
+def _families(nodes: DataFrame) -> DataFrame:
+    """(file_id, own_type, own_region, x2, y2, z2, type, x1, y1, z1): a node with each of its children; without children, one row of nulls.
 
-    It comes after a join by node, never before: Spark deals the rows of a join by all of its keys, which would spread a file again.
+    These are the rows of a left join of nodes with their children by file and number. A join deals both sides by node, which spreads
+    a file, and its rows would have to be gathered again. Here a node moves once, to the group of its number, and a second time only if
+    its parent's is another; there a window over parent and children, which is dealt by file and group as well, finds them.
     """
-    return rows.repartition("file_id", F.floor(F.col("node_id") / F.lit(NODE_GROUP)))
+    group = lambda name: F.floor(F.col(name) / F.lit(NODE_GROUP))
+    has_parent = F.col("file_id").isNotNull() & (F.col("parent_id") != -1)
+    groups = F.when(has_parent, F.array_distinct(F.array(group("node_id"), group("parent_id")))).otherwise(F.array(group("node_id")))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a node's portions outgrow its bytes, so tasks are not merged by them
+    dealt = nodes.select("file_id", "node_id", "parent_id", "type", "region_id", *"xyz", F.explode(groups).alias("_group")).repartition(parts, "file_id", "_group")
+    is_child = F.col("_child")
+    met = dealt.withColumn("_child", F.explode(F.array(F.lit(False), F.lit(True))))
+    met = met.filter(F.when(is_child, has_parent & (group("parent_id") == F.col("_group"))).otherwise(group("node_id").eqNullSafe(F.col("_group"))))
+    own = F.struct(F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    kid = F.struct("type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
+    met = met.select(
+        "file_id", "_group", F.when(is_child, F.col("parent_id")).otherwise(F.col("node_id")).alias("_key"),
+        F.when(~is_child, own).alias("_own"), F.when(is_child, kid).alias("_kid"),
+    )
+    family = Window.partitionBy("file_id", "_group", "_key")
+    # the list has a node more than once where its number repeats
+    met = met.select("file_id", "_own", "_kid", F.collect_list("_own").over(family).alias("_parents"), F.count("_kid").over(family).alias("_children"))
+    whose = F.when(F.col("_kid").isNotNull(), F.col("_parents")).when(F.col("_children") == 0, F.array("_own"))
+    return met.select("file_id", "_kid.*", F.inline(whose))
 
 
 def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
     """(file_id, region_id, side, compartment, cable, termini): edges by the region of their portions, termini by their own.
 
-    One join finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
-    terminus unless it is a soma. What has met is gathered by file and group of node numbers before it is cut, so an ordinary
-    file's portions are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on
+    One meeting finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
+    terminus unless it is a soma. They meet by file and group of node numbers, where they are cut, so an ordinary file's
+    portions are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on
     is a few rows per file, not one per file and voxel, nor one per file and task; for a larger one cable is summed per voxel
     before the regions are looked up.
     """
-    parent = nodes.select("file_id", "node_id", F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    child = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    met = _portions(_together(parent.join(child, ["file_id", "node_id"], "left")), grid)
+    met = _portions(_families(nodes), grid)
     met = met.select("file_id", "own_type", "own_region", "type", *[f"{c}{k}" for c in "xyz" for k in (1, 2)], "_length", F.inline_outer("_p"))
     place, childless = _portion_place(grid), F.col("type").isNull()
     own = node_side(grid, "2")
@@ -151,7 +169,7 @@ def build_profile(nodes: DataFrame, annotation: DataFrame, structures: DataFrame
     """The profile of valid trees; with ``validate`` the first broken rules raise.
 
     Sides are relative to the soma, so they are resolved after both parts are folded to a few rows per file: the node
-    table is never joined with the soma table, and moves twice, as parents and as children.
+    table is never joined with the soma table, and its rows move once.
     """
     if validate:
         issues = settle(validate_trees(nodes, structures))

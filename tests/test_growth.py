@@ -56,6 +56,36 @@ def test_a_file_is_folded_in_one_task_however_many_there_are(spark):
     assert re.fullmatch(r"file_id#\d+, (group|_group#\d+L?)", keys), keys
 
 
+def test_a_node_moves_once_to_meet_its_parent(spark):
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        text = plan(P.tree_rows(tree(spark), volume(spark), GRID))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # one exchange of nodes and one of folded rows
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2 and "SortMergeJoin" not in text
+
+
+def test_families_are_the_rows_of_a_join(spark):
+    rows = [
+        ("a", 1, -1, 1), ("a", 2, 1, 2), ("a", 2, 1, 3), ("a", 3, 2, None), ("a", 70_000, 2, 2), ("a", 70_000, 3, 2), ("a", 70_001, 70_000, 2),
+        ("a", 4, 99, 2), ("a", 5, None, 2), ("a", None, 1, 2), ("a", None, 200_000, 2), ("a", 6, 6, 2), ("a", -3, 1, 2), ("a", 9, -3, 2),
+        ("b", 1, -1, 1), ("b", 1, -1, 1), ("c", 70_000, 1, 2), (None, 1, -1, 1), (None, 2, 1, 2), (None, None, None, None),
+        *[("star", k, -1 if k == 1 else 1, 2) for k in range(1, 300)],
+    ]
+    rows = [(*r, float(k), float(k % 7) if k % 5 else None, 1.5, k % 3) for k, r in enumerate(rows)]
+    nodes = spark.createDataFrame(rows, "file_id string, node_id int, parent_id int, type int, x double, y double, z double, region_id int")
+    got = P._families(nodes)
+    parent = nodes.select("file_id", "node_id", F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    child = nodes.filter("parent_id <> -1").select("file_id", F.col("parent_id").alias("node_id"), "type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
+    want = parent.join(child, ["file_id", "node_id"], "left").select(*got.columns)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_profile_rows_agree_with_a_large_volume(spark, monkeypatch):
     nodes, cells = tree(spark), volume(spark)
     keys = ["file_id", "region_id", "side", "compartment"]
