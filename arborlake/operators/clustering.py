@@ -15,10 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ranks import number_rows, running_before
+from ..model import finite
 from ..session import forget, lookup_join, settle, union_all
 from .components import connected_components
-from .linkage import LAST_CLUSTERS, LINKAGES, linkage, matrix_rows, pair_tree, single_merges, vector_merges, ward_merges
-from .pairs import STRIP_PAIRS, all_pairs, block_pairs, tiles, with_block
+from .linkage import (
+    BLOCK_CELLS, LAST_CLUSTERS, LINKAGES, count_distances, linkage, matrix_rows, pair_tree, point_distances, single_merges, tile_tree,
+    vector_merges, ward_merges,
+)
+from .pairs import STRIP_PAIRS, all_pairs, block_files, block_pairs, tiles, with_block
 
 BLOCK = 512
 #: Points of a block: a pair of blocks is one tile of distances, and enough tiles are made to keep all tasks busy.
@@ -122,7 +126,8 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     reciprocal nearest clusters of a round at once, which gives the same tree as one merge at a time; single linkage takes the
     edges of a minimum spanning tree in order, folded from the pairs as they pass. Equal distances go to the smaller id. Ward of
     the frame of ``soma_distances`` takes its heights from the points, so that no pair is written (``ward_merges``), and the average of
-    Pearson's ``distances`` takes them from the vectors (``vector_merges``).
+    Pearson's ``distances`` takes them from the vectors (``vector_merges``). The spanning tree of both frames is folded from tiles of
+    distances, so that no pair is a row (``tile_tree``).
     """
     if method not in LINKAGES:
         raise ValueError(f"unknown linkage {method!r}")
@@ -134,6 +139,9 @@ def hierarchical(pairs: DataFrame, ids: DataFrame, method: str = "average", dist
     merges = _vector_merges(pairs, names, n, last) if method == "average" and distance == "distance" else None
     if merges is not None:
         return _tree(merges, names, n)
+    tree = _tile_tree(pairs, names, n) if method == "single" and distance == "distance" else None
+    if tree is not None:
+        return _tree(single_merges(pairs.sparkSession, tree, n), names, n)
     rows = pairs.select("i", "j", F.col(distance).cast("double").alias("s"))
     for end, name in (("i", "r"), ("j", "c")):
         rows = lookup_join(rows, names.select(F.col("file_id").alias(end), F.col("number").alias(name)), end, salt_by=["i", "j"])
@@ -175,6 +183,28 @@ def _vector_merges(pairs: DataFrame, names: DataFrame, n: int, last: int) -> Dat
     return merges
 
 
+def _tile_tree(pairs: DataFrame, names: DataFrame, n: int) -> np.ndarray | None:
+    """The minimum spanning tree from points or counted vectors; None where the pairs are not those of one finite one per file."""
+    points, counted = pairs.__dict__.get("_points"), pairs.__dict__.get("_counts")
+    if n < 2 or points is None and counted is None:
+        return None
+    own, v = (points, 0.0) if counted is None else counted
+    rows = settle(names.join(own.withColumn("file_id", F.col("file_id").cast("string")), "file_id").drop("file_id"))
+    values = ["sx", "var"] if counted is not None else [c for c in points.columns if c != "file_id"]
+    sound = F.lit(True)
+    for c in values:
+        sound = sound & finite(c)
+    size = F.size("keys").cast("long") if counted is not None else F.lit(0).cast("long")
+    found = rows.agg(F.count_if(sound).alias("sound"), F.count_distinct("number").alias("n"), F.count(F.lit(1)).alias("rows"), F.sum(size).alias("cells")).first()
+    tree = None
+    if found["sound"] == found["rows"] == found["n"] == n == names.select("file_id").distinct().count():
+        each = min(block_files(n), max(BLOCK_CELLS // max(found["cells"] // n, 1), 1))
+        measure = (lambda a, b: point_distances(a, b, values)) if counted is None else (lambda a, b: count_distances(a, b, v))
+        tree = tile_tree(rows, n, each, measure)
+    forget(rows)
+    return tree
+
+
 def _tree(merges: DataFrame, names: DataFrame, n: int) -> Tree:
     """The merges of numbers as a tree of named files."""
     for side in ("left", "right"):

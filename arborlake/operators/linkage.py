@@ -7,7 +7,8 @@ clusters, the root of the matrix. Only when the number of clusters has halved th
 size, so all writes together are less than one and a half matrices, however many rounds there are.
 
 Two linkages need no matrix, since heights follow from sums over a cluster and its size: ward between points, and the average of
-distances 1 - r, because a mean of products of vectors is the product of their means.
+distances 1 - r, because a mean of products of vectors is the product of their means. Single linkage needs none either: a tile of
+distances is folded to its spanning tree where it is made.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import forget, scratch_path, settle
-from .pairs import KEYS_PER_STRIP, block_files
+from .pairs import KEYS_PER_STRIP, STRIP_PAIRS, block_files, block_pairs
 
 LINKAGES = ("average", "ward", "complete", "single")
 #: Cells that one task lays out as rows, clusters that are merged by one task, and merges that are sent at once.
@@ -606,6 +607,83 @@ def pair_tree(pairs: DataFrame, n: int, most: int = FOREST_PAIRS) -> np.ndarray:
     return np.stack([d[kept], a[kept], b[kept]], axis=1).astype(float).reshape(-1, 3)
 
 
+def tile_tree_edges(apart: np.ndarray, left: np.ndarray, right: np.ndarray | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (smaller number, greater number, length) of the minimum spanning tree of one tile, by Prim's method.
+
+    ``apart`` has the distances between the numbers ``left`` and ``right``, which are disjoint; without ``right`` it is square, over
+    ``left`` alone, and its diagonal is not read. Edges are in the strict order (length, smaller number, greater number).
+    """
+    own, size = right is None, len(left)
+    number = left.astype(np.int64) if own else np.concatenate([left, right]).astype(np.int64)
+    best, code, towards = np.full(len(number), np.inf), np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    waits, at, edges = np.ones(len(number), bool), 0, []
+    waits[0] = False
+    for _ in range(len(number) - 1):
+        if own:
+            reach, new = slice(None), apart[at]
+        elif at < size:
+            reach, new = slice(size, None), apart[at]
+        else:
+            reach, new = slice(0, size), apart[:, at - size]
+        old, closer = best[reach], waits[reach] & (new <= best[reach])
+        found = np.flatnonzero(closer)
+        if len(found):
+            mine = number[reach][found]
+            names = np.minimum(mine, number[at]) * n + np.maximum(mine, number[at])
+            taken = (new[found] < old[found]) | (names < code[reach][found])
+            found = found[taken] + (reach.start or 0)
+            best[found], code[found], towards[found] = new[found - (reach.start or 0)], names[taken], number[at]
+        at = int(best.argmin())
+        equal = np.flatnonzero(best == best[at])
+        if len(equal) > 1:
+            equal = equal[waits[equal]]
+            at = int(equal[code[equal].argmin()])
+        edges.append((number[at], towards[at], best[at]))
+        waits[at], best[at] = False, np.inf
+    a, b, d = (np.array(x) for x in zip(*edges)) if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64), d.astype(float)
+
+
+def tile_tree(rows: DataFrame, n: int, each: int, measure, most: int = FOREST_PAIRS) -> np.ndarray:
+    """(n - 1, 3) rows (length, smaller end, greater end) of the minimum spanning tree of n numbers, sorted, without a row per pair.
+
+    ``measure`` makes the matrix of finite distances between two tables of ``rows``, which have a column ``number``. Numbers form
+    blocks of ``each``; a pair of blocks is a tile, whose spanning tree, one edge per number, is all that leaves its task.
+    """
+    blocks = -(-n // each)
+
+    def fold(table: pa.Table) -> pa.Table:
+        block, bi, bj = (table.column(c).to_numpy() for c in ("block", "bi", "bj"))
+        left, right = (table.filter(pa.array(block == side)) for side in (bi, bj))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], kind) for c, kind in (("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()))})
+        ends = [t.column("number").to_numpy() for t in (left, right)]
+        apart = measure(left, right)
+        return pa.table(dict(zip("abd", map(pa.array, tile_tree_edges(apart, ends[0], None if bi[0] == bj[0] else ends[1], n)))))
+
+    sent = block_pairs(rows.withColumn("block", F.pmod("number", F.lit(blocks)).cast("int")), blocks)
+    return pair_tree(sent.groupBy("bi", "bj").applyInArrow(fold, "a long, b long, d double"), n, most)
+
+
+def point_distances(left: pa.Table, right: pa.Table, dims: list[str]) -> np.ndarray:
+    """Euclidean distances between the points of two tables, as ``soma_distances`` has them."""
+    total = np.zeros((left.num_rows, right.num_rows))
+    for d in dims:
+        total += (left.column(d).to_numpy()[:, None] - right.column(d).to_numpy()[None, :]) ** 2
+    return np.sqrt(total, out=total)
+
+
+def count_distances(left: pa.Table, right: pa.Table, v: float) -> np.ndarray:
+    """1 - r between vectors of counts (keys, values, sx, var) of two tables over v voxels, as ``pearson`` has them."""
+    out = _products(left, right)
+    (sx, var), (sx_j, var_j) = ([t.column(c).to_numpy() for c in ("sx", "var")] for t in (left, right))
+    step = max(STRIP_PAIRS // max(right.num_rows, 1), 1)
+    for at in range(0, len(out), step):
+        part = slice(at, at + step)
+        out[part] = 1.0 - (v * out[part] - sx[part, None] * sx_j) / np.sqrt(var[part, None] * var_j)
+    return out
+
+
 def single_merges(spark: SparkSession, tree: np.ndarray, n: int) -> DataFrame:
     """Merges (``MERGES``) of single linkage: the edges of the spanning tree from the shortest on."""
     parent, size, node = np.arange(n), np.ones(n, np.int64), -1 - np.arange(n)

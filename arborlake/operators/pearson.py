@@ -38,18 +38,23 @@ def pair_cross_products(counts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class PearsonResult:
-    """``pairs`` (i < j, r), the eligible ids, ids without variance, the size of the voxel universe and the vectors behind r."""
+    """``pairs`` (i < j, r), the eligible ids, ids without variance, the size of the voxel universe and the vectors behind r.
+
+    ``counts`` are the same vectors as they were counted, with Σc and variance.
+    """
 
     pairs: DataFrame
     ids: DataFrame
     zero_variance: DataFrame
     voxel_count: int
     vectors: DataFrame | None = None
+    counts: DataFrame | None = None
 
     def distances(self) -> DataFrame:
         """(i, j, distance) with 1 - r; the frame remembers its vectors, for what follows from them without the pairs."""
         out = self.pairs.select("i", "j", (1.0 - F.col("r")).alias("distance"))
         out._vectors = self.vectors
+        out._counts = None if self.counts is None else (self.counts, float(self.voxel_count))
         return out
 
     def table(self) -> DataFrame:
@@ -68,6 +73,13 @@ def standard_vectors(counts: DataFrame, stats: DataFrame, v: Column) -> DataFram
         (F.col("sx") / F.sqrt("var")).alias("shift"), *[F.xxhash64(F.lit(k), "cells").alias(name) for k, name in enumerate(("mark", "mark2"))])
 
 
+def count_vectors(counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """(file_id, keys, values, sx, var) of the files in ``stats``."""
+    packed = vectors_of(counts).filter("file_id IS NOT NULL AND key IS NOT NULL").groupBy("file_id").agg(
+        F.collect_list(F.struct("key", F.col("value").cast("double").alias("value"))).alias("cells"))
+    return packed.join(stats, "file_id").select("file_id", F.col("cells.key").alias("keys"), F.col("cells.value").alias("values"), "sx", "var")
+
+
 def pearson(counts: DataFrame, policy: str = "corrected") -> PearsonResult:
     """All-pairs r of (file_id, voxel, c) over the union of occupied voxels."""
     if policy not in POLICIES:
@@ -90,7 +102,7 @@ def pearson(counts: DataFrame, policy: str = "corrected") -> PearsonResult:
         r = F.least(F.greatest(r, F.lit(-1.0)), F.lit(1.0))
     return PearsonResult(
         products.select("i", "j", r.alias("r")), kept.select("file_id"), every.filter("var <= 0").select("file_id"),
-        int(found["v"]), standard_vectors(counts, kept, v) if policy == "corrected" else None,
+        int(found["v"]), *((standard_vectors(counts, kept, v), count_vectors(counts, kept)) if policy == "corrected" else ()),
     )
 
 
