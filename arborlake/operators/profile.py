@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..model import COMPARTMENTS, LATERALITIES, PROFILE_SCHEMA, SOMA, Grid
 from .. import session as joins
 from ..session import forget, lookup_join, settle
 from .blocks import at_voxels, block_volume
 from .catalog import voxel_of
+from .portions import Folder, Group, Volume, whole_groups
 from .topology import validate_trees
 
 # Crossings closer than this in edge parameter are one corner.
@@ -94,12 +97,13 @@ def node_side(grid: Grid, suffix: str = "") -> Column:
     return F.when(c == mid, "midline").when(c < mid, "lower").otherwise("upper")
 
 
-def _families(nodes: DataFrame) -> DataFrame:
+def _families(nodes: DataFrame, fold=None, schema: str | None = None) -> DataFrame:
     """(file_id, own_type, own_region, x2, y2, z2, type, x1, y1, z1): a node with each of its children; without children, one row of nulls.
 
     These are the rows of a left join of nodes with their children by file and number. A join deals both sides by node, which spreads
     a file, and its rows would have to be gathered again. Here a node moves once, to the group of its number, and a second time only if
-    its parent's is another; there a window over parent and children, which is dealt by file and group as well, finds them.
+    its parent's is another; there it stands once for itself and once for its parent's child, and groups that lie together are worked off as arrays.
+    ``fold`` makes rows of ``schema`` of whole groups in their place.
     """
     group = lambda name: F.floor(F.col(name) / F.lit(NODE_GROUP))
     has_parent = F.col("file_id").isNotNull() & (F.col("parent_id") != -1)
@@ -109,17 +113,16 @@ def _families(nodes: DataFrame) -> DataFrame:
     is_child = F.col("_child")
     met = dealt.withColumn("_child", F.explode(F.array(F.lit(False), F.lit(True))))
     met = met.filter(F.when(is_child, has_parent & (group("parent_id") == F.col("_group"))).otherwise(group("node_id").eqNullSafe(F.col("_group"))))
-    own = F.struct(F.col("type").alias("own_type"), F.col("region_id").alias("own_region"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    kid = F.struct("type", *[F.col(c).alias(f"{c}1") for c in "xyz"])
-    met = met.select(
-        "file_id", "_group", F.when(is_child, F.col("parent_id")).otherwise(F.col("node_id")).alias("_key"),
-        F.when(~is_child, own).alias("_own"), F.when(is_child, kid).alias("_kid"),
-    )
-    family = Window.partitionBy("file_id", "_group", "_key")
-    # the list has a node more than once where its number repeats
-    met = met.select("file_id", "_own", "_kid", F.collect_list("_own").over(family).alias("_parents"), F.count("_kid").over(family).alias("_children"))
-    whose = F.when(F.col("_kid").isNotNull(), F.col("_parents")).when(F.col("_children") == 0, F.array("_own"))
-    return met.select("file_id", "_kid.*", F.inline(whose))
+    met = met.select("file_id", "_group", "_child", F.when(is_child, F.col("parent_id")).otherwise(F.col("node_id")).alias("_key"), "type", "region_id", *"xyz")
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    names = [("file_id", "file_id"), ("own_type", "type"), ("own_region", "region_id"), *[(f"{c}2", c) for c in "xyz"], ("type", "type"), *[(f"{c}1", c) for c in "xyz"]]
+    schema = schema or ", ".join(f"{name} {kinds[c]}" for name, c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes in whole_groups(batches):
+            yield from [Group(nodes).rows()] if fold is None else fold(nodes)
+
+    return met.sortWithinPartitions("file_id", "_group").mapInArrow(run, schema)
 
 
 def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
@@ -127,30 +130,29 @@ def tree_rows(nodes: DataFrame, annotation: DataFrame, grid: Grid) -> DataFrame:
 
     One meeting finds both: a node meets its children, each of which is an edge; a node that meets none is childless, and a
     terminus unless it is a soma. They meet by file and group of node numbers, where they are cut, so an ordinary file's
-    portions are made in one task. A volume within the bound of a broadcast names their regions there, and what moves on
-    is a few rows per file, not one per file and voxel, nor one per file and task; for a larger one cable is summed per voxel
-    before the regions are looked up.
+    portions are made in one task, in batches of edges as arrays (``portions``). A volume within the bound of a broadcast names
+    their regions there, and what moves on is a few rows per file, not one per file and voxel, nor one per file and task; for a
+    larger one cable is summed per voxel before the regions are looked up.
     """
-    met = _portions(_families(nodes), grid)
-    met = met.select("file_id", "own_type", "own_region", "type", *[f"{c}{k}" for c in "xyz" for k in (1, 2)], "_length", F.inline_outer("_p"))
-    place, childless = _portion_place(grid), F.col("type").isNull()
-    own = node_side(grid, "2")
-    rows = met.select(
-        "file_id", F.when(~childless, place["voxel"]).alias("voxel"), F.when(childless, F.col("own_region")).alias("own_region"),
-        F.when(childless, own).otherwise(place["side"]).alias("side"), _compartment(F.when(childless, F.col("own_type")).otherwise(F.col("type"))).alias("compartment"),
-        F.coalesce((F.col("t1") - F.col("t0")) * F.col("_length"), F.lit(0.0)).alias("cable"),
-        F.when(childless & (F.col("own_type") != SOMA), 1).otherwise(0).cast("long").alias("termini"), childless.alias("_end"),
-    )
     volume = annotation.filter(grid.holds() & (F.col("region_id") != 0)).select(grid.linear().alias("voxel"), "region_id")
-    if joins.fits_broadcast(volume):
-        joined = rows.filter("_end OR cable > 0").join(F.broadcast(volume), "voxel", "left")
+    small = joins.fits_broadcast(volume)
+    table = volume.toArrow() if small else None
+    small = small and len(table["voxel"].unique()) == len(table)  # a voxel that repeats counts once per row
+    known = Volume.of(grid, table["voxel"].to_numpy(), table["region_id"].to_numpy()) if small else None
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    schema = f"file_id {kinds['file_id']}, place long, _end boolean, side string, compartment string, cable double, termini long"
+    rows = _families(nodes, Folder(grid, GAP, known), schema)
+    kind = "long" if "bigint" in (kinds["region_id"], annotation.schema["region_id"].dataType.simpleString()) else "int"
+    if small:
+        joined = rows.withColumn("region_id", F.col("place").cast(kind))
     else:
-        sums = rows.groupBy("file_id", "voxel", "own_region", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
+        sums = rows.groupBy("file_id", "place", "side", "compartment", "_end").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
+        sums = sums.withColumn("voxel", F.when(~F.col("_end"), F.col("place")))
         # blocks crowded with nodes are crowded with their cable, and nodes need no join to be counted
         blocks = block_volume(volume, grid, "voxel", ["region_id"])
-        joined = at_voxels(sums.filter("_end OR cable > 0"), "voxel", blocks, grid, ["region_id"], salt_by=["file_id", "side"], summary=voxel_of(nodes, grid, "voxel"))
-    region = F.when(F.col("_end"), F.col("own_region")).otherwise(F.coalesce("region_id", F.lit(0)))
-    return joined.groupBy("file_id", region.alias("region_id"), "side", "compartment").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
+        joined = at_voxels(sums, "voxel", blocks, grid, ["region_id"], salt_by=["file_id", "side"], summary=voxel_of(nodes, grid, "voxel"))
+        joined = joined.withColumn("region_id", F.when(F.col("_end"), F.col("place").cast(kind)).otherwise(F.coalesce("region_id", F.lit(0))))
+    return joined.groupBy("file_id", "region_id", "side", "compartment").agg(F.sum("cable").alias("cable"), F.sum("termini").alias("termini"))
 
 
 def node_rows(nodes: DataFrame, grid: Grid) -> DataFrame:
